@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from upland.llm import decontam, htmltext, jaccard, langid, licences, mixing, quality, tokenbin
+from upland.llm import brown, decontam, htmltext, jaccard, langid, licences, mixing, quality, tokenbin
 from upland.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
+    "op4_lm_scores": op4_lm_scores,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_source_mix": op6_source_mix,
     "op7_language_id": op7_language_id,
