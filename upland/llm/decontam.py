@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,16 +220,21 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return out if out is not None else docs.sparkSession.createDataFrame([], RESULT)
 
 
+def leaks(seeds: Broadcast, threshold: float):
+    """A column function: whether a text holds a passage of an item."""
+
+    @F.arrow_udf("boolean")
+    def run(column: pa.Array) -> pa.Array:
+        found = np.zeros(len(column), bool)
+        found[[m[0] for m in matches(seeds.value, threshold, column)]] = True
+        return pa.array(found)
+
+    return run
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that no item is found in, with their columns as they are."""
     for ids, texts in slices(items):
         seeds = docs.sparkSession.sparkContext.broadcast(seeds_of(docs, ids, texts))
-
-        @F.arrow_udf("boolean")
-        def leaks(column: pa.Array, seeds=seeds) -> pa.Array:
-            found = np.zeros(len(column), bool)
-            found[[m[0] for m in matches(seeds.value, threshold, column)]] = True
-            return pa.array(found)
-
-        docs = docs.filter(~leaks(F.col("text").cast("string")))
+        docs = docs.filter(~leaks(seeds, threshold)(F.col("text").cast("string")))
     return docs

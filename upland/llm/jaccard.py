@@ -281,8 +281,8 @@ def postings_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(rows.join(one, "token", "left_semi"), "postings")
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, whose columns beyond doc_id and text aren't read."""
+def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' sets, and f1, f2, n, component and component_id of every node."""
     sets = sets_of(docs, size, num, den)
     nodes = cut(sets.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("doc_id", "row").alias("own"), F.count(F.lit(1)).alias("copies")), "nodes")
     postings = postings_of(sets, nodes)
@@ -295,9 +295,41 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     full = cut(keyed_join(full, wanted.select("node", "f1", "f2", "n"), ["f1", "f2", "n"], "inner").dropDuplicates(["node"]).select("node", "n", "tokens"), "full-sets")
     labels = Join(postings, full, num, den).run()
     if labels is None:
-        named = nodes.select("f1", "f2", "n", F.col("least").alias("component_id"))
-    else:
-        rows = keyed_join(nodes, labels, ["node"], "left").withColumn("component", F.coalesce("component", "node"))
-        least = rows.groupBy("component").agg(F.min("least").alias("component_id"))
-        named = rows.join(least, "component").select("f1", "f2", "n", "component_id")
+        return sets, nodes.select("f1", "f2", "n", F.col("node").alias("component"), F.col("least").alias("component_id"))
+    rows = keyed_join(nodes, labels, ["node"], "left").withColumn("component", F.coalesce("component", "node"))
+    least = rows.groupBy("component").agg(F.min("least").alias("component_id"))
+    return sets, rows.join(least, "component").select("f1", "f2", "n", "component", "component_id")
+
+
+def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, whose columns beyond doc_id and text aren't read."""
+    sets, named = _joined(docs, size, num, den)
     return sets.join(named, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One document of each component, that of the least doc_id, with its columns as they are; documents without
+    words stay.
+
+    Where doc_ids are unique, those to drop are looked up by doc_id. Else rows are told apart by their sets
+    too, and one row of each least doc_id and set is kept."""
+    named = cut(jaccard_components(docs, size, num, den), "components-of-documents")
+    dropped = named.filter("doc_id <> component_id").select("doc_id")
+    odd = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("doc_id is null or rows > 1")
+    if odd.isEmpty():
+        return keyed_join(docs, dropped, ["doc_id"], "left_anti")
+
+    @F.arrow_udf("struct<n:bigint,f1:bigint,f2:bigint>")
+    def marks(column: pa.Array) -> pa.Array:
+        rows = [(len(t), *prints(t)) for t in token_sets(column, size)]
+        columns = zip(*rows, strict=True) if rows else [[]] * 3
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["n", "f1", "f2"])
+
+    mark = "set_of_row_" + "_".join(docs.columns)  # a name that no column has
+    marked = cut(docs.withColumn(mark, marks(F.col("text").cast("string"))), "marked-documents")
+    sets, nodes = _joined(docs, size, num, den)
+    parts = sets.select("doc_id", "f1", "f2", "n").join(nodes, ["f1", "f2", "n"])
+    best = parts.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "f1", "f2", "n")).alias("x")).select(F.col("x.doc_id").alias("best_id"), "x.f1", "x.f2", "x.n")
+    on = marked["doc_id"].cast("long").eqNullSafe(best["best_id"]) & (marked[f"{mark}.f1"] == best["f1"]) & (marked[f"{mark}.f2"] == best["f2"]) & (marked[f"{mark}.n"] == best["n"])
+    kept = marked.join(best, on, "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.unionByName(marked.filter(F.col(f"{mark}.n") == 0)).drop(mark)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from upland.llm import brown, decontam, htmltext, jaccard, langid, licences, mixing, quality, tokenbin
+from upland.llm import brown, decontam, htmltext, jaccard, langid, licences, mixing, quality, secrets, tokenbin
 from upland.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -56,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_html_text": op8_html_text,
     "op9_token_ids": op9_token_ids,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
