@@ -3,9 +3,28 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once an application, so that Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="upland-")) / "upland.zip"
+    with zipfile.ZipFile(bundle, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, Path(package.name) / file.relative_to(package))
+    context.addPyFile(str(bundle))
+    _SHIPPED.add(context.applicationId)
+
 
 def local_session(cores: int | None = None, name: str = "upland", **conf: str) -> SparkSession:
     """A local session with the settings the engine is tested under; `conf` keys use `__` for dots."""
