@@ -5,17 +5,21 @@ among the first n - ceil(n * num / den) + 1 of each, in any fixed order of all t
 a band of the hash range first, and in it rare tokens before frequent ones, so a node's prefix is mostly tokens
 that no other node has, and those cost nothing further. Document frequencies are exact, over all nodes.
 
-Nodes that share a prefix token form a group. In a group the sets, in one global order, are stored in a trie
-whose edges are runs of tokens; each set is probed before it is stored. A probe carries the overlap along
-shared paths and leaves a subtree once the tokens left on both sides cannot reach the overlap needed, or once
-all of the subtree is in the probe's own component. Groups are worked in rounds:
+Nodes that share a prefix token, and are near enough in size to be linked, form a group; groups that share
+nodes form a cluster, found as a connected component. In a cluster the sets, in one global order, are stored in
+a trie whose edges are runs of tokens; each set is probed before it is stored. A probe carries the overlap
+along shared paths and leaves a subtree once the tokens left on both sides cannot reach the overlap needed, or
+once all of the subtree is in the probe's own component. So each set is sent to one task, once, and copies are
+not expanded into pairs.
+
+A cluster of more than BLOCK_TOKENS tokens is no task's; its groups are worked in rounds instead:
 
 1. each node at its rarest shared token, in blocks of bounded size;
 2. at each token whose nodes are in several components, one node for each component;
 3. at tokens still in several components, all nodes, blocks against blocks.
 
 A token all of whose nodes are connected can add nothing and is left out, as is one with the very nodes of
-another token, so groups of copies are not expanded into pairs, and no link between components is lost.
+another token. No link between components is lost.
 
 Texts are lower-cased (A-Z) and cut into words at white space. Fewer than `n` words make one n-gram of the whole
 sequence; no words, null text included, make an empty set, linked with nothing. Rows with equal text are
@@ -25,6 +29,7 @@ doc_id and text are read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +43,9 @@ from upland.llm.common import cut, keyed_join
 from upland.llm.components import components
 
 #: Tokens of the sets that one task of a group holds at most (8 bytes each), beside a single longer set.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 8_000_000
+#: Nodes of a cluster that one trie holds; those of a larger one are taken token by token.
+TOGETHER = 500
 #: The band's share of the hash range, as a multiple of the share of a set that its prefix has.
 BAND = 1.6
 
@@ -197,6 +204,34 @@ class Linker:
         return sorted({(self.root(x), root) for x, root in started.items() if self.root(x) != root})
 
 
+def _link_cluster(num: int, den: int, together: int):
+    """node and component of the linked nodes of a cluster."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["n", "node"])
+        names, sets = rows["node"].tolist(), [np.frombuffer(t, "<u8") for t in rows["tokens"]]
+        linker = Linker(num, den)
+        linker.up = {x: x for x in names}
+        groups: dict[int, list[int]] = {}
+        if len(names) <= together:
+            groups[0] = list(range(len(names)))
+        else:
+            for k, keys in enumerate(rows["keys"]):
+                for key in keys:
+                    groups.setdefault(key, []).append(k)
+        for key in sorted(groups, key=lambda key: (len(groups[key]), key)):
+            if len({linker.root(names[k]) for k in groups[key]}) > 1:
+                linker.trie = Trie(np.zeros(0, np.uint64))
+                for k in groups[key]:
+                    linker.probe(sets[k], names[k])
+                    linker.trie.add(sets[k], names[k], linker)
+        found = [(x, linker.root(x)) for x in names]
+        many = {root for x, root in found if x != root}
+        return pd.DataFrame([f for f in found if f[1] in many], columns=["node", "component"]).astype("int64")
+
+    return run
+
+
 def _link(num: int, den: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         edges = []
@@ -262,8 +297,9 @@ def sets_of(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return cut(rows.mapInArrow(_prefixes(size, num, den), _SETS).withColumn("row", F.monotonically_increasing_id()), "token-sets")
 
 
-def postings_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """token, node, df, n: where each node's prefix has tokens that other nodes' prefixes may have."""
+def postings_of(sets: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """token, node, df, n: where each node's prefix has tokens that other nodes' prefixes may have; `token` is a
+    token and a size class."""
     others = sets.select("row", "f1", "f2", "n").join(nodes.filter("copies > 1").select("f1", "f2", "n", "node"), ["f1", "f2", "n"]).filter("row <> node").select("row")
     ones = keyed_join(sets.filter("n > 0"), others, ["row"], "left_anti")
     at = ones.select(F.col("row").alias("node"), F.posexplode("tokens").alias("k", "token"), "in_band", "prefix", "n")
@@ -275,17 +311,40 @@ def postings_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     room = F.greatest(F.lit(0), F.col("prefix") - (F.col("in_band") - F.size("inside"))).cast("int")
     kept = lists.join(meta, "node").select("node", "n", F.concat(F.slice(F.sort_array("inside"), F.lit(1), room), F.col("outside")).alias("tokens"))
     rows = cut(kept.select("node", "n", F.inline("tokens")), "postings")
+    # linked sizes differ by no more than num / den, so they meet in one of two neighbouring size classes
+    size_class = F.floor(F.log("n") / math.log(den / num)) if den > num else F.col("n")
+    classes = F.array(size_class, size_class + 1) if den > num else F.array(size_class)
+    rows = rows.withColumn("class", F.explode(classes)).select("node", "n", "df", F.xxhash64("token", "class").alias("token"))
     # tokens left with one node link nothing; tokens with the same nodes are one
     group = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(7), "node").cast("decimal(38,0)")).alias("s2"), F.min("df").alias("df"))
     one = group.filter("m > 1").groupBy("m", "s1", "s2").agg(F.min(F.struct("df", "token")).alias("x")).select(F.col("x.token").alias("token"))
     return cut(rows.join(one, "token", "left_semi"), "postings")
 
 
+def _labels(postings: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame | None:
+    """node and component of every linked node; None if no two nodes share a prefix token."""
+    if postings.isEmpty():
+        return None
+    centres = postings.groupBy("token").agg(F.min("node").alias("centre"))
+    clusters = components(postings.join(centres, "token").select(F.col("node").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "cluster")
+    keys = postings.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("token").alias("keys"))
+    rows = cut(keyed_join(keys, clusters, ["node"], "inner"), "clusters")
+    large = cut(rows.groupBy("cluster").agg(F.sum("n").alias("size")).filter(F.col("size") > BLOCK_TOKENS).select("cluster"), "large-clusters")
+    small = keyed_join(rows, large, ["cluster"], "left_anti").select("cluster", "node", "keys")
+    sent = keyed_join(full, small, ["node"], "inner")
+    labels = cut(sent.groupBy("cluster").applyInPandas(_link_cluster(num, den, TOGETHER), "node long, component long"), "cluster-labels")
+    if not large.isEmpty():
+        rest = keyed_join(postings, keyed_join(rows, large, ["cluster"], "left_semi").select("node"), ["node"], "left_semi")
+        more = Join(cut(rest, "large-postings"), full, num, den).run()
+        labels = labels if more is None else labels.unionByName(more.select("node", "component"))
+    return labels
+
+
 def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """The documents' sets, and f1, f2, n, component and component_id of every node."""
     sets = sets_of(docs, size, num, den)
     nodes = cut(sets.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("doc_id", "row").alias("own"), F.count(F.lit(1)).alias("copies")), "nodes")
-    postings = postings_of(sets, nodes)
+    postings = postings_of(sets, nodes, num, den)
     wanted = cut(keyed_join(nodes.select("node", "own", "f1", "f2", "n"), postings.select("node").distinct(), ["node"], "left_semi"), "candidates")
     ids = wanted.select(F.col("own").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -293,7 +352,7 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
         texts = keyed_join(texts, ids, ["doc_id"], "left_semi")
     full = texts.select("text").mapInArrow(_full_sets(size), "n long, f1 long, f2 long, tokens binary")
     full = cut(keyed_join(full, wanted.select("node", "f1", "f2", "n"), ["f1", "f2", "n"], "inner").dropDuplicates(["node"]).select("node", "n", "tokens"), "full-sets")
-    labels = Join(postings, full, num, den).run()
+    labels = _labels(postings, full, num, den)
     if labels is None:
         return sets, nodes.select("f1", "f2", "n", F.col("node").alias("component"), F.col("least").alias("component_id"))
     rows = keyed_join(nodes, labels, ["node"], "left").withColumn("component", F.coalesce("component", "node"))
