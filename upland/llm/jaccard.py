@@ -43,11 +43,13 @@ from upland.llm.common import cut, keyed_join
 from upland.llm.components import components
 
 #: Tokens of the sets that one task of a group holds at most (8 bytes each), beside a single longer set.
-BLOCK_TOKENS = 8_000_000
+BLOCK_TOKENS = 6_000_000
 #: Nodes of a cluster that one trie holds; those of a larger one are taken token by token.
 TOGETHER = 500
-#: The band's share of the hash range, as a multiple of the share of a set that its prefix has.
-BAND = 1.6
+#: The band's share of the hash range, at least, and as a multiple of the share of a set that its prefix has.
+BAND, BAND_TIMES = 0.3, 1.5
+#: Rounds in which nodes that can have no partner are left out and the others' shared tokens counted anew.
+PEELS = 2
 
 _SETS = "doc_id long, n long, f1 long, f2 long, in_band long, prefix long, tokens array<long>"
 
@@ -81,7 +83,7 @@ def prints(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _prefixes(size: int, num: int, den: int):
-    limit = np.uint64(min(1.0, BAND * (den - num) / den) * (2.0**64 - 2**12))
+    limit = np.uint64(min(1.0, max(BAND, BAND_TIMES * (den - num) / den)) * (2.0**64 - 2**12))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,6 +206,34 @@ class Linker:
         return sorted({(self.root(x), root) for x, root in started.items() if self.root(x) != root})
 
 
+def peeled(sets: list[np.ndarray], num: int, den: int) -> tuple[list[int], list[list[int]]]:
+    """The sets that may have a partner among `sets`, and groups of them that share a prefix token.
+
+    In the order of their counts here, tokens of one set alone come first; a set with a prefix full of them has no
+    partner and goes, which leaves others' tokens alone in turn."""
+    token, back = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(size)])
+    owner = np.repeat(np.arange(len(sets)), size)
+    prefix = np.array([prefix_length(n, num, den) for n in size.tolist()])
+    alive = np.ones(len(sets), bool)
+    while True:
+        count = np.bincount(back[alive[owner]], minlength=len(token))
+        alone = np.bincount(owner, count[back] <= 1, len(sets))
+        kept = alive & (alone < prefix)
+        if kept.sum() == alive.sum():
+            break
+        alive = kept
+    groups: dict[int, list[int]] = {}
+    for k in np.flatnonzero(alive).tolist():
+        own = back[at[k] : at[k + 1]]
+        for t in own[np.lexsort((own, count[own]))[: prefix[k]]].tolist():
+            if count[t] > 1:
+                groups.setdefault(t, []).append(k)
+    distinct = {tuple(g): g for g in groups.values() if len(g) > 1}
+    return np.flatnonzero(alive).tolist(), sorted(distinct.values(), key=lambda g: (len(g), g))
+
+
 def _link_cluster(num: int, den: int, together: int):
     """node and component of the linked nodes of a cluster."""
 
@@ -212,17 +242,13 @@ def _link_cluster(num: int, den: int, together: int):
         names, sets = rows["node"].tolist(), [np.frombuffer(t, "<u8") for t in rows["tokens"]]
         linker = Linker(num, den)
         linker.up = {x: x for x in names}
-        groups: dict[int, list[int]] = {}
-        if len(names) <= together:
-            groups[0] = list(range(len(names)))
-        else:
-            for k, keys in enumerate(rows["keys"]):
-                for key in keys:
-                    groups.setdefault(key, []).append(k)
-        for key in sorted(groups, key=lambda key: (len(groups[key]), key)):
-            if len({linker.root(names[k]) for k in groups[key]}) > 1:
+        alive, groups = peeled(sets, num, den)
+        if len(alive) <= together:
+            groups = [alive]
+        for group in groups:
+            if len({linker.root(names[k]) for k in group}) > 1:
                 linker.trie = Trie(np.zeros(0, np.uint64))
-                for k in groups[key]:
+                for k in group:
                     linker.probe(sets[k], names[k])
                     linker.trie.add(sets[k], names[k], linker)
         found = [(x, linker.root(x)) for x in names]
@@ -305,8 +331,14 @@ def postings_of(sets: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
     at = ones.select(F.col("row").alias("node"), F.posexplode("tokens").alias("k", "token"), "in_band", "prefix", "n")
     at = at.select("node", "token", (F.col("k") < F.col("in_band")).alias("banded"))
     shared = at.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    met = at.join(shared, "token")
     meta = ones.select(F.col("row").alias("node"), "in_band", "prefix", "n")
+    met = cut(at.join(shared, "token"), "shared-tokens")
+    for _ in range(PEELS):
+        filled = met.groupBy("node").agg(F.count_if("banded").alias("shared"))
+        alive = keyed_join(meta, filled, ["node"], "inner").filter(F.col("in_band") - F.col("shared") < F.col("prefix")).select("node")
+        left = keyed_join(met.drop("df"), cut(alive, "alive"), ["node"], "left_semi")
+        again = left.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        met = cut(left.join(again, "token"), "shared-tokens")
     lists = met.groupBy("node").agg(F.collect_list(F.when(F.col("banded"), F.struct("df", "token"))).alias("inside"), F.collect_list(F.when(~F.col("banded"), F.struct("df", "token"))).alias("outside"))
     room = F.greatest(F.lit(0), F.col("prefix") - (F.col("in_band") - F.size("inside"))).cast("int")
     kept = lists.join(meta, "node").select("node", "n", F.concat(F.slice(F.sort_array("inside"), F.lit(1), room), F.col("outside")).alias("tokens"))
@@ -327,10 +359,9 @@ def _labels(postings: DataFrame, full: DataFrame, num: int, den: int) -> DataFra
         return None
     centres = postings.groupBy("token").agg(F.min("node").alias("centre"))
     clusters = components(postings.join(centres, "token").select(F.col("node").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "cluster")
-    keys = postings.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("token").alias("keys"))
-    rows = cut(keyed_join(keys, clusters, ["node"], "inner"), "clusters")
+    rows = cut(keyed_join(postings.select("node", "n").distinct(), clusters, ["node"], "inner"), "clusters")
     large = cut(rows.groupBy("cluster").agg(F.sum("n").alias("size")).filter(F.col("size") > BLOCK_TOKENS).select("cluster"), "large-clusters")
-    small = keyed_join(rows, large, ["cluster"], "left_anti").select("cluster", "node", "keys")
+    small = keyed_join(rows, large, ["cluster"], "left_anti").select("cluster", "node")
     sent = keyed_join(full, small, ["node"], "inner")
     labels = cut(sent.groupBy("cluster").applyInPandas(_link_cluster(num, den, TOGETHER), "node long, component long"), "cluster-labels")
     if not large.isEmpty():
