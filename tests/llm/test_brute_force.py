@@ -1,0 +1,260 @@
+"""Each operator against a plain version, a round trip, or held-out accuracy."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from upland.llm import brown, decontam, htmltext, jaccard, langid, licences, mixing, quality, registry, secrets, tokenbin
+
+SPACE_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf_dir):
+    return {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+def result(spark, sf_dir, name):
+    return {r[0]: r for r in registry.QUERIES[name](spark, sf_dir).collect()}
+
+
+def test_licence_base(spark, sf_dir, documents):
+    phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+    got = result(spark, sf_dir, "op1_license_scan")
+    for i, d in documents.items():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", d.text.translate(LOWER))
+        at = sorted((k, name) for name, p in phrases.items() for k in range(len(w)) if w[k : k + len(p)] == p)
+        want = (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({n for _, n in at})))
+        assert tuple(got[i])[1:6] == want
+        assert set(filter(None, want[4].split(","))) <= set(got[i].labels.split(",")) and 0 <= got[i].score <= 1
+
+
+@pytest.mark.parametrize(("text", "postfix", "verdict"), [
+    ("MIT OR GPL-3.0-only", ["mit", "gpl-3.0-only", "or"], True), ("MIT AND GPL-3.0-only", ["mit", "gpl-3.0-only", "and"], False), ("GPL-2.0 WITH Classpath-exception-2.0", ["gpl-2.0", "classpath-exception-2.0", "with"], True),
+    ("MIT OR Apache-2.0 AND GPL-2.0", ["mit", "apache-2.0", "gpl-2.0", "and", "or"], True), ("(MIT OR Apache-2.0) AND GPL-2.0", ["mit", "apache-2.0", "or", "gpl-2.0", "and"], False),
+    ("MIT OR", ["mit"], True), ("(MIT OR (", ["mit"], True), ("nothing", [], None),
+])
+def test_licence_expressions(text, postfix, verdict):
+    assert licences.parse(text) == postfix
+    assert licences.evaluate(postfix) is verdict
+
+
+def test_licence_neighbours():
+    row = licences.scan(b"under the MIT License or the Apache License, Version 2.0")
+    assert row[:4] == (10, 2, 2, 6) and row[7] == "(mit OR apache-2.0)" and row[8] is True
+
+
+def test_quality_counts(spark, sf_dir, documents):
+    got = result(spark, sf_dir, "op2_quality_rules")
+    for i, d in documents.items():
+        w = SPACE_WORDS.findall(d.text)
+        n = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {k + j for k, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if n[x] > 1 for j in range(3)}
+        lines = [x for x in d.text.split("\n") if SPACE_WORDS.search(x)]
+        assert tuple(got[i])[1:6] == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", d.text)), len(lines) - len(set(lines)), len(covered))
+        assert got[i].base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (got[i].base_failed and got[i].kept)
+
+
+def test_quality_order_is_by_rejections_per_cost(spark, sf_dir):
+    sample = quality.measured(spark.read.parquet(f"{sf_dir}/documents.parquet")).cache()
+    assert sorted(quality.order_rules(sample, quality.rules())) == sorted(quality.rules())
+
+
+def test_alignment_against_plain_smith_waterman():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        a, b = rng.integers(0, 4, rng.integers(1, 12)), rng.integers(0, 4, rng.integers(1, 20))
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                h[i, j] = max(0, h[i - 1, j - 1] + (decontam.MATCH if a[i - 1] == b[j - 1] else decontam.MISMATCH), h[i - 1, j] + decontam.GAP, h[i, j - 1] + decontam.GAP)
+        assert decontam.align(a, b)[0] == pytest.approx(h.max() / (decontam.MATCH * len(a)))
+
+
+def test_edited_copies_are_found(spark):
+    random.seed(4)
+    words = [f"w{k}" for k in range(5000)]
+    items = [" ".join(random.choices(words, k=40)) for _ in range(20)]
+    docs, want = [], set()
+    for i in range(200):
+        body = random.choices(words, k=150) + ["the"] * 20
+        random.shuffle(body)
+        if i % 2 == 0:
+            w = items[i % 20].split()
+            for _ in range(6):  # changed, left-out and added words
+                k = random.randrange(len(w))
+                w[k : k + 1] = random.choice([[], [random.choice(words)], [w[k], "the"]])
+            body[75:75] = [x.upper() + "," for x in w]
+            want.add((i, i % 20))
+        docs.append((i, " ".join(body)))
+    rows = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want
+
+
+def test_lm_base_scores(spark, sf_dir, documents):
+    got = result(spark, sf_dir, "op4_lm_scores")
+    words = {i: SPACE_WORDS.findall(d.text.translate(LOWER)) for i, d in documents.items()}
+    train = [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for i in train for w in words[i])
+    n, v = sum(c.values()) + len(train), len(c) + 1
+    for i, w in words.items():
+        want = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
+        assert got[i].base_score == pytest.approx(want) and got[i].n_known == sum(x in c for x in w) + 1 and got[i].train_tokens == n and got[i].n_tokens == len(w) + 1
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_exchange_reaches_a_local_optimum():
+    rng = np.random.default_rng(0)
+    n = 12
+    m = rng.integers(0, 6, (n + 2, n + 2)).astype(float)
+    i, j = np.nonzero(m >= 0)
+    own = brown.exchange(brown.Bigrams(n + 2, i, j, m.ravel()), 3)
+
+    def likelihood(o):
+        k = np.zeros((o.max() + 1,) * 2)
+        np.add.at(k, (o[:, None], o[None, :]), m)
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return f(k) - f(k.sum(0)) - f(k.sum(1))
+
+    assert all(likelihood(own) >= likelihood(np.concatenate([own[:w], [c], own[w + 1 :]])) - 1e-9 for w in range(n) for c in range(3))
+
+
+def components_by_hand(rows, size, num, den):
+    sets = {i: frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if (w := SPACE_WORDS.findall((t or "").translate(LOWER))) else frozenset() for i, t in rows}
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    held = defaultdict(set)
+    for i, s in sets.items():
+        for j, both in Counter(o for g in s for o in held[g]).items():
+            if den * both >= num * len(s | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+        for g in s:
+            held[g].add(i)
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("num", "limits"), [(90, {}), (70, {"TOGETHER": 5}), (80, {"BLOCK_TOKENS": 500})])
+def test_jaccard_components(spark, monkeypatch, num, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(jaccard, k, v)
+    random.seed(3)
+    words = [f"w{i}" for i in range(60)]
+    base = [random.choices(words, k=random.choice([3, 8, 12, 20, 60, 150])) for _ in range(30)]
+    rows = []
+    for i in range(300):
+        b = list(random.choice(base))
+        for _ in range(random.choice([0, 0, 1, 1, 2, 5])):
+            k = random.randrange(len(b))
+            b[k : k + 1] = random.choice([[random.choice(words)], [b[k], random.choice(words)]])
+        rows.append((i, " ".join(b)))
+    rows += [(600, None), (601, ""), (602, "One two"), (603, "one TWO"), (604, "  "), (605, "one")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, num, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components_by_hand(rows, 3, num, 100)
+
+
+def water(sizes, weights=(5, 2, 1)):
+    """Targets by resharing the excess until none is above its cap."""
+    names, total = sorted(sizes, key=lambda s: (s is None, (s or "").encode())), sum(sizes.values())
+    weight, out, left = {s: weights[k % 3] for k, s in enumerate(names)}, {}, float(total)
+    while True:
+        open_ = [s for s in names if s not in out]
+        over = [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 3 * sizes[s]]
+        if not over:
+            return out | {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        for s in over:
+            out[s] = 3.0 * sizes[s]
+        left = total - sum(out.values())
+
+
+def test_mix_targets_and_totals(spark):
+    random.seed(6)
+    rows = [(i, " ".join(["w"] * random.choice([0, 1, 5, 30, 200])), random.choice(["a"] * 30 + ["b", "B", "é", None, "", "c", "d"])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, again = mixing.mix(docs).collect(), mixing.mix(docs).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    source = {i: s for i, _, s in rows}
+    sizes = Counter()
+    for i, t, s in rows:
+        sizes[s] += len(t.split())
+    want, taken = water(sizes), Counter()
+    for r in got:
+        assert r.taken <= 3 * r.size and r.target == pytest.approx(want[source[r.doc_id]]) and r.source_size == sizes[source[r.doc_id]]
+        taken[source[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - want[s]) <= max(3, 0.01 * want[s]) for s in sizes)
+    assert len({r.rate for r in got if source[r.doc_id] == "a" and r.size}) > 1  # tilted by size
+    assert mixing.repeat(docs).count() == sum(r.copies for r in got)
+
+
+def test_language_accuracy(spark, sf_dir, documents):
+    got = [r for r in result(spark, sf_dir, "op7_language_id").values() if r.held_out]
+    assert sum(r.lang_pred == documents[r.doc_id].lang for r in got) >= 0.95 * len(got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
+
+
+def test_language_model_ignores_other_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a = {r.doc_id: tuple(r) for r in langid.identify(docs).collect()}
+    b = {r.doc_id: tuple(r) for r in langid.identify(docs.selectExpr("doc_id", "text", "case when crc32(cast(doc_id as string)) % 4 <> 2 then lang end lang", "'x' source")).collect()}
+    assert a == b
+
+
+def test_page_text():
+    page = """<html><head><title>x</title><script>var a="<p>no</p>"</script></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies on this site for the ads</div>
+    <main><h1>A title</h1><p>The story of the man and the sea is a long one, and it is told for the people of the town &amp; hill.</p><p>Short.<div class="ad">Buy the thing of the day and be happy with it for ever and ever, in the sun</div>
+    <p>It was then that the man of the sea came to the town with all of his friends.</p></main><section id="comments"><p>I think that this is the best story of the year and I love it, thank you</p></section><form>name</form><footer>&copy;</footer>"""
+    assert htmltext.extract(page).split("\n\n") == ["A title", "The story of the man and the sea is a long one, and it is told for the people of the town & hill.", "Short.", "It was then that the man of the sea came to the town with all of his friends."]
+
+
+def test_second_pass_takes_the_nearest_label():
+    b = lambda r: htmltext.Block("x", 0, False, False, r)
+    assert htmltext.second_pass([b(0)] * 5 + [b(1)], [True, None, None, None, False, None]) == [True, True, True, False, False, False]
+
+
+def test_encoder_equals_the_tokenizer():
+    random.seed(1)
+    texts = ["", "a\n\nb", " \n b\n", "don't  it's\t\tx", "a  b c", "日本 語", "<|endoftext|> z", "a\x1cb", "ébc's1a!1\n the\n\n"]
+    texts += ["".join(random.choice(["a", "bc", " ", "\n", "\t", "é", "'s", "1", "!", " ", "　", " the"]) for _ in range(random.randint(0, 14))) for _ in range(2000)]
+    e = tokenbin.Encoder(tokenbin.vocabulary_file())
+    assert [x.tolist() for x in e.encode(pa.array(texts))] == [e.whole(t).tolist() if t else [] for t in texts]
+
+
+@pytest.mark.parametrize("bits", [False, True])
+def test_planes_round_trip(bits):
+    for ids in (np.random.default_rng(1).integers(0, 50257, 5001), np.zeros(9), np.zeros(0), np.array([2**32 - 1, 0])):
+        ids = ids.astype(np.uint32)
+        assert (tokenbin.unpack(tokenbin.pack(ids, bits)) == ids).all()
+    assert tokenbin.crc_join(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
+
+
+def test_token_files_round_trip(spark, documents, sf_dir):
+    e = tokenbin.encoder(tokenbin.vocabulary_file())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r for r in tokenbin.encode_documents(docs, block_ids=1000, bits=True).collect()}  # most texts lie across blocks
+    start = 0
+    for i in sorted(documents):
+        ids = np.append(e.whole(documents[i].text), 0).astype("<u4")
+        assert tuple(got[i]) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_secrets_are_found_and_decoys_left(spark, documents, sf_dir):
+    want = {i for i, d in documents.items() if re.search(r'(?i)token = "[0-9a-f]{40}"', d.text)}
+    assert {r.doc_id for r in secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()} == want
+    model = secrets.fit(secrets.labelled_findings(spark))
+    fresh = secrets.labelled_findings(spark, 6000).limit(6000).filter("true")
+    rows = secrets.score(fresh.select("value", "before", "after", "path"), model).join(fresh, ["value", "before", "after", "path"]).select("score", "label").collect()
+    assert sum((r.score >= 0.5) == (r.label == 1) for r in rows) >= 0.98 * len(rows)
