@@ -67,10 +67,10 @@ def _quality_sql() -> str:
     symbols = "'[#*$%&|<>]'"
     count = lambda pattern: f"len(regexp_extract_all(text, {pattern}))"
     stops = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
-    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT *, regexp_extract_all(text, {word}) AS words, list_filter(str_split(text, chr(10)), x -> regexp_matches(x, {space})) AS lines FROM t),
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT *, regexp_extract_all(text, {word}) AS words, list_filter(str_split(text, chr(10)), lambda x: regexp_matches(x, {space})) AS lines FROM t),
       g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS times FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
       c AS (SELECT doc_id, count(DISTINCT p) AS covered FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE times > 1) GROUP BY doc_id),
-      f AS (SELECT w.doc_id, text, words, len(words) AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars, {count(symbols)} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered, 0) AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+      f AS (SELECT w.doc_id, text, words, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, {count(symbols)} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered, 0) AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
       b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_dup_lines > 3 * n_lines
         OR 10 * {count("'[0-9]'")} > 3 * word_chars OR 10 * {count(chr(39) + chr(92) + "p{Lu}" + chr(39))} > 6 * word_chars OR len(list_intersect(words, [{stops}])) < 2) AS kept FROM b"""
