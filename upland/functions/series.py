@@ -52,7 +52,7 @@ def changepoint(columns: list[str] = NTL, years: tuple[int, ...] = YEARS) -> Col
     options = []
     for k in range(2, len(years) - 1):
         (pre, r1, n1), (post, r2, n2) = _segment(columns[:k], years[:k]), _segment(columns[k:], years[k:])
-        found = F.struct((r1 + r2).alias("rss"), F.lit(years[k]).alias("year"), pre.alias("pre"), post.alias("post"))
+        found = F.struct(F.round(r1 + r2, 9).alias("rss"), F.lit(years[k]).alias("year"), pre.alias("pre"), post.alias("post"))
         options.append(F.when((n1 >= 2) & (n2 >= 2), found))
     return F.array_min(F.filter(F.array(*options), lambda o: o.isNotNull()))
 

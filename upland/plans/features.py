@@ -212,7 +212,7 @@ def _changepoint_sql() -> str:
             cols += [f"{n} AS n{tag}", f"{s} AS s{tag}"]
             terms += [f"pow(coalesce(ntl_{y} - ({s} * ({y - mid})::DOUBLE + {mean}), 0), 2)" for y in ys]
         parts.append(f"SELECT id, {years[k]} AS yr, {', '.join(cols)}, {' + '.join(terms)} AS rss FROM dense")
-    return f"WITH {o.DENSE}, opts AS ({' UNION ALL '.join(parts)}), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rss, yr) AS rn FROM opts WHERE na >= 2 AND nb >= 2)"
+    return f"WITH {o.DENSE}, opts AS ({' UNION ALL '.join(parts)}), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(rss, 9), yr) AS rn FROM opts WHERE na >= 2 AND nb >= 2)"
 
 
 def _interpolated() -> str:
