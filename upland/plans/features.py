@@ -51,7 +51,7 @@ def ols_trend_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = src.widen(src.dense_panel(spark, sf_dir)).withColumn("c", series.changepoint())
-    return rounded(rows.select("id", F.col("c.year").alias("ntl_breakpoint_year"), F.col("c.pre").alias("ntl_pre_slope"), F.col("c.post").alias("ntl_post_slope"), (F.col("c.post") - F.col("c.pre")).alias("ntl_acceleration")), "ntl_pre_slope", "ntl_post_slope", "ntl_acceleration")
+    return rounded(rows.select("id", F.col("c.year").alias("ntl_breakpoint_year"), F.col("c.pre").alias("ntl_pre_slope"), F.col("c.post").alias("ntl_post_slope"), (F.col("c.post") - F.col("c.pre")).alias("ntl_acceleration")), "ntl_pre_slope", "ntl_post_slope", "ntl_acceleration", places=8)  # slopes have up to seven places, so six would round ties
 
 
 def pct_rank_nulls_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +239,7 @@ ORACLE_SQL = {
     "growth_signals": f"WITH {o.GROWN} SELECT id, {_R('ntl_growth_pct', 'ntl_growth_log', 'builtup_change', 'ghsl_change')} FROM grown",
     "ols_trend": f"WITH {o.GAPPY} SELECT id, count(value) AS n_years, round(CASE WHEN count(value) >= 3 THEN regr_slope(value, yr) END, 6) AS slope FROM long_gappy GROUP BY id",
     "ols_trend_wide": f"WITH {o.GAPPY} SELECT id, round(CASE WHEN count(value) >= 3 THEN regr_slope(value, yr) END, 6) AS slope FROM long_gappy GROUP BY id",
-    "changepoint": f"{_changepoint_sql()} SELECT d.id, yr AS ntl_breakpoint_year, round(sa, 6) AS ntl_pre_slope, round(sb, 6) AS ntl_post_slope, round(sb - sa, 6) AS ntl_acceleration FROM dense d LEFT JOIN (SELECT * FROM best WHERE rn = 1) b ON d.id = b.id",
+    "changepoint": f"{_changepoint_sql()} SELECT d.id, yr AS ntl_breakpoint_year, round(sa, 8) AS ntl_pre_slope, round(sb, 8) AS ntl_post_slope, round(sb - sa, 8) AS ntl_acceleration FROM dense d LEFT JOIN (SELECT * FROM best WHERE rn = 1) b ON d.id = b.id",
     "pct_rank_nulls_bottom": f"WITH {o.PANEL} SELECT id, round(ghsl_change, 6) AS ghsl_change, round({o.pct_rank('ghsl_change')}, 6) AS pct FROM panel",
     "minmax_score": f"WITH {o.GROWN} SELECT id, round({o.minmax('ntl_growth_log', 'grown')}, 6) AS ntl_growth_log_score, round({o.minmax('ghsl_change', 'grown')}, 6) AS ghsl_change_score, 0.0::DOUBLE AS missing_score, round((1 + (count(*) OVER () - 1) / 2.0) / count(*) OVER () * 100.0, 6) AS flat_score FROM grown",
     "zscore_by_state": f"WITH {o.PANEL} SELECT id, state_name, round({o.zscore('ghsl_change', 'state_name')}, 6) AS ghsl_change_z FROM panel",
