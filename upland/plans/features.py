@@ -42,11 +42,11 @@ def growth_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ols_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = src.gappy_panel(spark, sf_dir).groupBy("id").agg(F.count("value").alias("n_years"), F.regr_slope("value", "year").alias("slope"))
-    return rounded(fit.withColumn("slope", F.when(F.col("n_years") >= 3, F.col("slope"))), "slope")
+    return rounded(fit.withColumn("slope", F.when(F.col("n_years") >= 3, F.col("slope"))), "slope", places=9)  # six places would round ties
 
 
 def ols_trend_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(src.widen(src.gappy_panel(spark, sf_dir)).select("id", series.trend()[0].alias("slope")), "slope")
+    return rounded(src.widen(src.gappy_panel(spark, sf_dir)).select("id", series.trend()[0].alias("slope")), "slope", places=9)
 
 
 def changepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,8 +237,8 @@ _ACCESS = """acc AS (SELECT 'brand#' || (n_nationkey % 4 + 2)::VARCHAR || (n_nat
 ORACLE_SQL = {
     "entity_panel_wide": f"WITH {o.ENTITY}, {o.DENSE} SELECT e.id, village_name, state_name, district_name, {_R('latitude', 'longitude', *_NTL)} FROM entity e LEFT JOIN dense d ON e.id = d.id",
     "growth_signals": f"WITH {o.GROWN} SELECT id, {_R('ntl_growth_pct', 'ntl_growth_log', 'builtup_change', 'ghsl_change')} FROM grown",
-    "ols_trend": f"WITH {o.GAPPY} SELECT id, count(value) AS n_years, round(CASE WHEN count(value) >= 3 THEN regr_slope(value, yr) END, 6) AS slope FROM long_gappy GROUP BY id",
-    "ols_trend_wide": f"WITH {o.GAPPY} SELECT id, round(CASE WHEN count(value) >= 3 THEN regr_slope(value, yr) END, 6) AS slope FROM long_gappy GROUP BY id",
+    "ols_trend": f"WITH {o.GAPPY} SELECT id, count(value) AS n_years, round(CASE WHEN count(value) >= 3 THEN regr_slope(value, yr) END, 9) AS slope FROM long_gappy GROUP BY id",
+    "ols_trend_wide": f"WITH {o.GAPPY} SELECT id, round(CASE WHEN count(value) >= 3 THEN regr_slope(value, yr) END, 9) AS slope FROM long_gappy GROUP BY id",
     "changepoint": f"{_changepoint_sql()} SELECT d.id, yr AS ntl_breakpoint_year, round(sa, 8) AS ntl_pre_slope, round(sb, 8) AS ntl_post_slope, round(sb - sa, 8) AS ntl_acceleration FROM dense d LEFT JOIN (SELECT * FROM best WHERE rn = 1) b ON d.id = b.id",
     "pct_rank_nulls_bottom": f"WITH {o.PANEL} SELECT id, round(ghsl_change, 6) AS ghsl_change, round({o.pct_rank('ghsl_change')}, 6) AS pct FROM panel",
     "minmax_score": f"WITH {o.GROWN} SELECT id, round({o.minmax('ntl_growth_log', 'grown')}, 6) AS ntl_growth_log_score, round({o.minmax('ghsl_change', 'grown')}, 6) AS ghsl_change_score, 0.0::DOUBLE AS missing_score, round((1 + (count(*) OVER () - 1) / 2.0) / count(*) OVER () * 100.0, 6) AS flat_score FROM grown",
