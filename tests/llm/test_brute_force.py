@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from upland.llm import brown, decontam, htmltext, jaccard, langid, licences, mixing, quality, registry, secrets, tokenbin
 
@@ -212,6 +213,23 @@ def test_language_model_ignores_other_columns(spark, sf_dir):
     assert a == b
 
 
+FOREIGN = [
+    "Москва является столицей России и крупнейшим по численности населения городом страны, расположенным на реке Москве. ",
+    "Warszawa jest stolicą Polski i największym miastem kraju, położonym w środkowo-wschodniej części państwa nad Wisłą, gdzie mieszka prawie dwa miliony ludzi. ",
+    "Helsinki on Suomen pääkaupunki ja maan suurin kaupunki, joka sijaitsee Suomenlahden rannalla etelässä ja jossa asuu yli kuusisataatuhatta ihmistä. ",
+]
+
+
+def test_foreign_text_of_any_length_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    texts = spark.createDataFrame([((t * (1 + n // len(t)))[:n],) for t in FOREIGN for n in (160, 300, 2000, 30000, 300000)], "text string")
+    assert all(r.p.rejected for r in texts.select(langid.predict(model, F.col("text")).alias("p")).collect())
+    for size in (20, 60, 10**9):  # texts of its own languages stay, cut or whole
+        starts = docs.filter(langid.held_out() & F.col("text").rlike("[a-z]{3}")).select(langid.predict(model, F.substring("text", 1, size))["rejected"].cast("int").alias("r"))
+        assert starts.agg(F.avg("r")).first()[0] < 0.15
+
+
 def test_page_text():
     page = """<html><head><title>x</title><script>var a="<p>no</p>"</script></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies on this site for the ads</div>
     <main><h1>A title</h1><p>The story of the man and the sea is a long one, and it is told for the people of the town &amp; hill.</p><p>Short.<div class="ad">Buy the thing of the day and be happy with it for ever and ever, in the sun</div>

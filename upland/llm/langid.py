@@ -5,9 +5,10 @@ FEATURES cells). Each language has several centroids, found by spherical k-means
 the centroid with the largest cosine, and is rejected where that cosine is far below what the language's own
 training texts of about its length reach.
 
-Document frequencies come from all training rows. The centroids are fitted on a bounded sample: about
-`per_language` rows of each language, chosen by a hash of doc_id (documented bound, 1,000 by default); the
-model holds `centroids` vectors for each language and is all that reaches the driver.
+Document frequencies and the cosines below which texts are rejected come from all training rows. The centroids
+are fitted on a bounded sample: about `per_language` rows of each language, chosen by a hash of doc_id (documented
+bound, 1,000 by default); the model holds `centroids` vectors for each language, and it and a histogram of cosines
+for each language and length are all that reaches the driver.
 
 Null text and text without a letter give `und` with score 0, rejected. Rows of null lang or without a letter
 teach nothing; without any training row every text is `und`. Ties go to the first language in code-point
@@ -16,7 +17,7 @@ order. Only the text decides a prediction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -33,8 +34,11 @@ SIZES = (2, 3, 4)
 PER_LANGUAGE = 1000
 CENTROIDS = 4
 #: A text is rejected below this part of the cosine that 99 of 100 training texts of the language and length
-#: (by powers of two, LENGTHS of them) reach; with fewer than LEAST_ROWS such texts it is not rejected.
-REJECT, LENGTHS, LEAST_ROWS = 0.5, 24, 20
+#: (by powers of two, LENGTHS of them) reach; a length with fewer than LEAST_ROWS such texts takes the bound of the
+#: sample's texts cut to that length, which 99 of 100 of them reach in full, or else of the nearest length that has
+#: one. Cosines are counted in BINS.
+REJECT, LENGTHS, LEAST_ROWS, BINS = 0.5, 24, 20, 4096
+CUTS = 13  # texts are cut to 2, 4, ... 4,096 characters
 
 _LETTERS = np.zeros(256, np.uint8)
 _LETTERS[:] = 0x20
@@ -141,17 +145,73 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CEN
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "counts"])
         count = np.stack([np.frombuffer(c, "<u2") for c in rows["counts"]])
-        x, size = vectors(count, idf), length_class(count)
-        c = _cluster(x, centroids)
-        cosine = (x @ c.T).max(1)
-        least = [float(np.quantile(cosine[size == k], 0.01)) * REJECT if (size == k).sum() >= LEAST_ROWS else 0.0 for k in range(LENGTHS)]
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "vector": [v.astype("<f4").tobytes() for v in c], "least": [least] * len(c)})
+        c = _cluster(vectors(count, idf), centroids)
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "vector": [v.astype("<f4").tobytes() for v in c]})
 
-    rows = sample.mapInArrow(_sampled, "lang string, doc_id long, counts binary").groupBy("lang").applyInPandas(group, "lang string, vector binary, least array<double>").toPandas()
+    rows = sample.mapInArrow(_sampled, "lang string, doc_id long, counts binary").groupBy("lang").applyInPandas(group, "lang string, vector binary").toPandas()
     rows = rows.sort_values(["lang", "vector"])
     stacked = np.stack([np.frombuffer(v, "<f4") for v in rows["vector"]]) if len(rows) else np.zeros((0, FEATURES), np.float32)
-    least = np.array([list(x) for x in rows["least"]]).reshape(-1, LENGTHS)
-    return Model(list(rows["lang"]), stacked, idf, least)
+    names = list(rows["lang"])
+    cut_at = F.explode(F.array(*[F.lit(1 << k) for k in range(1, CUTS)])).alias("size")
+    starts = sample.select("lang", "text", cut_at).filter(F.length("text") > F.col("size")).select("lang", F.expr("substring(text, 1, size)").alias("text"))
+
+    def histograms(texts: DataFrame) -> dict[str, np.ndarray]:
+        if not names:
+            return {}
+        seen = texts.mapInArrow(_cosines(names, stacked, idf), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+        return {k: np.bincount(part["cell"].astype(int), part["n"], LENGTHS * BINS).reshape(LENGTHS, BINS) for k, part in seen.groupby("lang")}
+
+    bounds = thresholds(histograms(train.select("lang", "text")), histograms(starts))
+    return Model(names, stacked, idf, np.array([bounds[k] for k in names]).reshape(-1, LENGTHS))
+
+
+def _cosines(names: list[str], centroids: np.ndarray, idf: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How many texts of each language have each length and cosine to the nearest of its centroids; one batch a task."""
+    languages = list(dict.fromkeys(names))
+    place = np.array([languages.index(k) for k in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(languages) * LENGTHS * BINS, np.int64)
+        for batch in batches:
+            batch = batch.filter(pa.array(lettered(batch.column("text"))))
+            own, at = pc.fill_null(pc.index_in(batch.column("lang"), pa.array(languages, pa.string())), -1).to_numpy(zero_copy_only=False), 0
+            for count in counts(batch.column("text")):
+                lang = own[at : at + len(count)]
+                at += len(count)
+                cosine = np.where(place == lang[:, None], vectors(count, idf) @ centroids.T, -1.0).max(1)
+                bins = np.clip((cosine * BINS).astype(np.int64), 0, BINS - 1)
+                np.add.at(total, ((lang * LENGTHS + length_class(count)) * BINS + bins)[lang >= 0], 1)
+        k = np.flatnonzero(total)
+        cells = LENGTHS * BINS
+        yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()).take(pa.array(k // cells)), pa.array((k % cells).astype(np.int32)), pa.array(total[k])], names=["lang", "cell", "n"])
+
+    return run
+
+
+def thresholds(whole: dict[str, np.ndarray], starts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """For each language and length the cosine below which a text is rejected, from the histograms of the cosines of
+    its texts and of their starts.
+
+    A language none of whose lengths has LEAST_ROWS texts or starts is bounded by all its texts; one with fewer in
+    all takes the least bound of the other languages, and without any such language nothing is rejected."""
+
+    def bound(cells: np.ndarray, part: float = REJECT) -> float:
+        return float(np.searchsorted(np.cumsum(cells), 0.01 * cells.sum(), "right")) / BINS * part
+
+    out: dict[str, np.ndarray] = {}
+    for lang, grid in whole.items():
+        cut = starts.get(lang, np.zeros_like(grid))
+        part = np.where(grid.sum(1) >= LEAST_ROWS, REJECT, 1.0)
+        grid = np.where(grid.sum(1, keepdims=True) >= LEAST_ROWS, grid, grid + cut)
+        enough = np.flatnonzero(grid.sum(1) >= LEAST_ROWS)
+        if whole[lang].sum() < LEAST_ROWS:
+            continue
+        if len(enough):
+            out[lang] = np.array([bound(grid[j], part[j]) for j in enough[np.abs(enough[None] - np.arange(LENGTHS)[:, None]).argmin(1)]])
+        else:
+            out[lang] = np.full(LENGTHS, bound(whole[lang].sum(0)))
+    lowest = np.min(list(out.values()), axis=0) if out else np.zeros(LENGTHS)
+    return {lang: out.get(lang, lowest) for lang in whole}
 
 
 def predict(model: Model, text: Column) -> Column:
