@@ -17,15 +17,15 @@ def _main(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gbt_amplifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ml.amplify(_main(spark, sf_dir), SIGNALS, trees=12).select("id", "ml_growth_prob"), "ml_growth_prob")
+    return rounded(ml.amplify(_main(spark, sf_dir), SIGNALS).select("id", "ml_growth_prob"), "ml_growth_prob")
 
 
 def kmeans_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.cluster(_main(spark, sf_dir), SIGNALS, ks=(3, 4), seeds=(0, 1)).select("id", "cluster")
+    return ml.cluster(_main(spark, sf_dir), SIGNALS).select("id", "cluster")
 
 
 def tree_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.attribute(_main(spark, sf_dir), SIGNALS, trees=6).select("id", "top1", "top2", "top3")
+    return ml.attribute(_main(spark, sf_dir), SIGNALS).select("id", "top1", "top2", "top3")
 
 
 QUERIES = {f.__name__: f for f in (gbt_amplifier, kmeans_archetypes, tree_attribution)}
