@@ -1,7 +1,9 @@
 """Registered queries run with the operators' own sizes."""
 
-from upland.operators import ml
-from upland.plans import machine
+import inspect
+
+from upland.operators import ml, validation
+from upland.plans import machine, validation_queries
 
 LARGER = "/root/testdata/sf0.01"  # has the positives that the amplifier needs
 
@@ -18,3 +20,11 @@ def test_clusters_have_all_starts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(ml, "KMeans", lambda k, seed: asked.append((k, seed)) or means(k=k, seed=seed, maxIter=1))
     assert machine.kmeans_archetypes(spark, sf_dir).count() > 0
     assert asked == [(k, seed) for k in (3, 4, 5, 6) for seed in range(10)]
+
+
+def test_draws_are_all_made(spark, sf_dir, monkeypatch):
+    asked, moran = [], validation.moran_permutations
+    monkeypatch.setattr(validation, "moran_permutations", lambda *a, **b: asked.append(inspect.signature(moran).bind(*a, **b)) or moran(*a[:3], draws=2))
+    assert validation_queries.moran_p(spark, sf_dir).count() == 1
+    asked[0].apply_defaults()
+    assert asked[0].arguments["draws"] == 999 and len(validation_queries.DRAWS) == 200

@@ -11,7 +11,7 @@ from upland.plans.features import grown, rounded, scored, shortlist
 from upland.sources import panel as src
 
 SIGNALS = ["ntl_growth_pct", "builtup_change", "ghsl_change"]
-DRAWS = validation.weight_draws([0.30, 0.15], 60)
+DRAWS = validation.weight_draws([0.30, 0.15], 200)
 
 
 def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def moran_i(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def moran_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The permutation test; its hash order is the engine's own, so only rows are compared."""
-    return rounded(validation.moran_permutations(grown(spark, sf_dir), "ntl_growth_log", 8, draws=99), "i", "p_value")
+    return rounded(validation.moran_permutations(grown(spark, sf_dir), "ntl_growth_log", 8), "i", "p_value")
 
 
 def rank_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
