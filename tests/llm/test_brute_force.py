@@ -1,5 +1,6 @@
 """Each operator against a plain version, a round trip, or held-out accuracy."""
 
+import hashlib
 import math
 import random
 import re
@@ -276,3 +277,17 @@ def test_secrets_are_found_and_decoys_left(spark, documents, sf_dir):
     fresh = secrets.labelled_findings(spark, 6000).limit(6000).filter("true")
     rows = secrets.score(fresh.select("value", "before", "after", "path"), model).join(fresh, ["value", "before", "after", "path"]).select("score", "label").collect()
     assert sum((r.score >= 0.5) == (r.label == 1) for r in rows) >= 0.98 * len(rows)
+
+
+def test_every_secret_of_a_word_is_found(spark):
+    a, b, c = "9f8a7c6d5e4b3a2918070f6e5d4c3b2a1908f7e6", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "Zx9Qm4Lp7Rt2Vw8Yk3Bn6Hd1"
+    texts = [f"see https://example.com/callback?api_key={a} for it", f'{{"api_key":"{a}","client_secret":"{b}"}}', f"postgres://admin.example:{c}@db.example.com/x", f"token={a}&password={b}#x", f'var t="ghp_{c}{c}",secret="{a}"']
+    found = secrets.candidates(spark.createDataFrame([(i, x, "src") for i, x in enumerate(texts)], "doc_id long, text string, source string")).collect()
+    got = defaultdict(set)
+    for r in found:
+        got[r.doc_id].add(r.value)
+    assert all(want <= got[i] for i, want in enumerate([{a}, {a, b}, {c}, {a, b}, {f"ghp_{c}{c}", a}])), got
+    ends = {r.value: r.before.split(" ")[-1] for r in found if r.doc_id == 1}
+    assert ends[a] == 'api_key":"' and ends[b] == 'client_secret":"'
+    stand = secrets.scan(spark.createDataFrame([(1, texts[1], "src")], "doc_id long, text string, source string")).collect()
+    assert {r.value_sha256 for r in stand} == {hashlib.sha256(x.encode()).hexdigest() for x in (a, b)}

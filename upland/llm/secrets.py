@@ -1,12 +1,12 @@
 """Secret scan with DataFrame operations only: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a word that holds a long run of key characters with a digit, a value assigned to a telling name,
-or a known key's prefix. Its features are length, character classes and their transitions, coverage by a small
+A candidate is a long run of key characters with a digit, a value assigned to a telling name, or a known key; one
+word may hold several, each with what stands before it in the word. Its features are length, character classes and their transitions, coverage by a small
 dictionary of word parts, the path, and the neighbouring words. The forest is trained on labelled findings: a
 table of value, before, after, path and label, by default the made-up ones of `labelled_findings`, whose number
 is its documented bound.
 
-One row is returned for each finding that stands, with a digest in place of the value. Null and empty texts have
+One row is returned for each finding that stands, several for a word of several, with a digest in place of the value. Null and empty texts have
 none; a null path is an empty one; repeated words or rows are findings each; only doc_id, text and source are
 read; an empty table gives no rows.
 """
@@ -48,6 +48,9 @@ _RUN = r"[A-Za-z0-9+/_=.-]{16,}"
 #: A text without this has no candidate: a run of key characters with a digit in a long word, a telling name, or a prefix.
 _ANY = "|".join([r"[A-Za-z0-9+/_=.-]{16}", _NAME + r"[a-z_-]*[\"']?\s*[:=]", *PREFIXES.values()])
 _ASSIGNED = _NAME + r"[a-z0-9_-]*[\"']?[:=]+[\"']?"
+#: Where a value begins within a word: after a telling name, or after the user in a URL.
+_BEGINS = _ASSIGNED + r"|://[^\s/@:]*:(?=[^\s/@]+@)"
+_EDGES = r"^[\"'(\[{<]+|[\"')\]}>,;.!?#$%&*|]+$"
 
 FEATURES = ["length", "distinct", "digits", "uppers", "others", "changes", "vowels", "covered", "hex", "numeric", "prefix", "named", "assigned", "harmless", "quiet"]
 _CONTEXT = ["value", "before", "after", "path"]
@@ -70,8 +73,30 @@ def candidates(docs: DataFrame) -> DataFrame:
     near = lambda a, b: F.concat_ws(" ", *[F.coalesce(F.get("words", F.col("word") + k), F.lit("")) for k in range(a, b)])
     own = F.get("words", F.col("word"))
     inner = F.regexp_replace(own, _ASSIGNED, "")
-    value = F.coalesce(F.nullif(F.regexp_extract(inner, r"([A-Za-z0-9+/_=.-]{12,}[A-Za-z0-9/_=-])", 1), F.lit("")), F.regexp_replace(inner, r"^[\"'(\[{<]+|[\"')\]}>,;.!?#$%&*|]+$", ""))
-    return found.select("doc_id", F.col("word").cast("long").alias("word"), value.alias("value"), F.concat_ws(" ", near(-3, 0), F.regexp_extract(own, _ASSIGNED, 0)).alias("before"), near(1, 3).alias("after"), "path")
+    whole = F.coalesce(F.nullif(F.regexp_extract(inner, r"([A-Za-z0-9+/_=.-]{12,}[A-Za-z0-9/_=-])", 1), F.lit("")), F.regexp_replace(inner, _EDGES, ""))
+    pieces = F.split(F.regexp_replace(F.translate("own", "\x01\x02", "  "), f"({_BEGINS})", "\x01$1\x02"), "\x01")
+    values = F.flatten(F.transform(pieces, _values))
+    only = F.array(F.struct(F.col("whole").alias("value"), F.regexp_extract("own", _ASSIGNED, 0).alias("name")))
+    cut = found.select("doc_id", "path", "word", own.alias("own"), whole.alias("whole"), near(-3, 0).alias("prior"), near(1, 3).alias("after"))
+    each = cut.select("doc_id", "path", "word", "prior", "after", F.explode(F.when(F.size(values) > 0, values).otherwise(only)).alias("v"))
+    return each.select("doc_id", F.col("word").cast("long").alias("word"), F.col("v.value").alias("value"), F.concat_ws(" ", "prior", "v.name").alias("before"), "after", "path")
+
+
+def _values(piece: Column) -> Column:
+    """value and name of all candidates in a piece of a word: its name's value, and runs with a digit or prefix."""
+    named = F.contains(piece, F.lit("\x02"))
+    name = F.when(named, F.substring_index(piece, "\x02", 1)).otherwise("")
+    rest = F.substring_index(piece, "\x02", -1)
+    ends = F.when(name.rlike("://"), F.regexp_extract(rest, "^[^@]*", 0)).when(name.rlike("[\"']$"), F.regexp_extract(rest, "^[^\"']*", 0)).otherwise(F.regexp_extract(rest, r"^[^\"'&;,<>(){}\[\]|]*", 0))
+    head = F.when(named, ends).otherwise("")
+    tail = F.substr(rest, F.length(head) + 1)
+    run = F.regexp_extract(head, r"([A-Za-z0-9+/_=.-]{12,}[A-Za-z0-9/_=-])", 1)
+    given = F.coalesce(F.nullif(run, F.lit("")), F.regexp_replace(head, _EDGES, ""))
+    runs = lambda text: F.filter(F.regexp_extract_all(text, F.lit("(" + "|".join([_RUN, *PREFIXES.values()]) + ")"), F.lit(1)), lambda r: r.rlike("[0-9]") | r.rlike("|".join(PREFIXES.values())))
+    struct = lambda value, name: F.struct(F.regexp_replace(value, "[+.]+$", "").alias("value"), name.alias("name"))
+    first = F.when(F.length(given) >= 6, F.array(F.struct(given.alias("value"), name.alias("name")))).otherwise(F.array().cast("array<struct<value:string,name:string>>"))
+    more = F.transform(F.concat(runs(F.substr(head, F.position(run, head) + F.length(run))), runs(tail)), lambda r: struct(r, F.lit("")))
+    return F.concat(first, more)
 
 
 def kind(value: Column) -> Column:
