@@ -243,12 +243,26 @@ def test_second_pass_takes_the_nearest_label():
     assert htmltext.second_pass([b(0)] * 5 + [b(1)], [True, None, None, None, False, None]) == [True, True, True, False, False, False]
 
 
-def test_encoder_equals_the_tokenizer():
+@pytest.fixture(scope="module")
+def plain_ids():
+    """The library's own call, in no way altered."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenbin.vocabulary_file())
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids if text else []
+
+
+def test_encoder_equals_the_tokenizer(monkeypatch, plain_ids):
     random.seed(1)
-    texts = ["", "a\n\nb", " \n b\n", "don't  it's\t\tx", "a  b c", "日本 語", "<|endoftext|> z", "a\x1cb", "ébc's1a!1\n the\n\n"]
-    texts += ["".join(random.choice(["a", "bc", " ", "\n", "\t", "é", "'s", "1", "!", " ", "　", " the"]) for _ in range(random.randint(0, 14))) for _ in range(2000)]
-    e = tokenbin.Encoder(tokenbin.vocabulary_file())
-    assert [x.tolist() for x in e.encode(pa.array(texts))] == [e.whole(t).tolist() if t else [] for t in texts]
+    texts = ["", "a\n\nb", " \n b\n", "don't  it's\t\tx", "a  b c", "日本 語", "<|endoftext|> z", "a<|endoftext|><|endoftext|>", "a\x1cb", "ébc's1a!1\n the\n\n"]
+    parts = ["a", "bc", " ", "\n", "\t", "é", "'s", "1", "!", " ", "　", " the", "<|endoftext|>", "<|endoft", "ext|>"]
+    texts += ["".join(random.choice(parts) for _ in range(random.randint(0, 14))) for _ in range(3000)]
+    want = [plain_ids(t) for t in texts]
+    for cache, fresh, block in ((10**6, 10**5, 1 << 20), (50, 10, 200)):  # also with a cache that is often full
+        monkeypatch.setattr(tokenbin, "CACHE_WORDS", cache)
+        monkeypatch.setattr(tokenbin, "FRESH_WORDS", fresh)
+        monkeypatch.setattr(tokenbin, "BLOCK_BYTES", block)
+        assert [x.tolist() for x in tokenbin.Encoder(tokenbin.vocabulary_file()).encode(pa.array(texts))] == want
 
 
 @pytest.mark.parametrize("bits", [False, True])
@@ -256,20 +270,32 @@ def test_planes_round_trip(bits):
     for ids in (np.random.default_rng(1).integers(0, 50257, 5001), np.zeros(9), np.zeros(0), np.array([2**32 - 1, 0])):
         ids = ids.astype(np.uint32)
         assert (tokenbin.unpack(tokenbin.pack(ids, bits)) == ids).all()
-    assert tokenbin.crc_join(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
+    for n in (0, 1, 5, 1000, 70001):
+        assert tokenbin.crc_join(zlib.crc32(b"abc"), zlib.crc32(b"x" * n), n) == zlib.crc32(b"abc" + b"x" * n)
 
 
-def test_token_files_round_trip(spark, documents, sf_dir):
-    e = tokenbin.encoder(tokenbin.vocabulary_file())
+def test_token_files_round_trip(spark, documents, sf_dir, plain_ids):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id: r for r in tokenbin.encode_documents(docs, block_ids=1000, bits=True).collect()}  # most texts lie across blocks
     start = 0
     for i in sorted(documents):
-        ids = np.append(e.whole(documents[i].text), 0).astype("<u4")
+        ids = np.array([*plain_ids(documents[i].text), 0], "<u4")
         assert tuple(got[i]) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
 
 
+def test_rows_of_one_doc_id_are_many_shards(spark):
+    rows = [(1, f"text {k % 7} of <|endoftext|>") for k in range(4000)] + [(0, "first"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    folder = tokenbin.new_folder(spark, "hot")
+    tokenbin.write(docs, folder, tokenbin.vocabulary_file(), block_ids=500)
+    shards = tokenbin.blocks(spark, folder).groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
+    assert len(shards) > 1 and max(r.n for r in shards) < 0.8 * sum(r.n for r in shards)
+    got = sorted(tokenbin.documents(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [0] + [1] * 4000 + [2] and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    assert len({r.ids_crc32 for r in got[1:-1]}) == 7
+
+
 def test_secrets_are_found_and_decoys_left(spark, documents, sf_dir):
     want = {i for i, d in documents.items() if re.search(r'(?i)token = "[0-9a-f]{40}"', d.text)}
     assert {r.doc_id for r in secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()} == want

@@ -85,6 +85,7 @@ def prints(tokens: np.ndarray) -> tuple[int, int]:
 def _prefixes(size: int, num: int, den: int):
     limit = np.uint64(min(1.0, max(BAND, BAND_TIMES * (den - num) / den)) * (2.0**64 - 2**12))
 
+    @tk.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -100,6 +101,7 @@ def _prefixes(size: int, num: int, den: int):
 
 
 def _full_sets(size: int):
+    @tk.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(len(t), *prints(t), t.tobytes()) for t in token_sets(batch.column("text"), size)]

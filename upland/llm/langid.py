@@ -57,8 +57,8 @@ def counts(column: pa.Array) -> Iterator[np.ndarray]:
     """For each block of texts, how often each of its texts has each n-gram."""
     data, offsets = tk.buffers(pc.utf8_lower(column))
     for i, j in tk.blocks(offsets, 1 << 20):
-        for a in range(i, j, 256):  # 256 rows of FEATURES cells at most
-            yield _counts(data, offsets[a : min(a + 256, j) + 1])
+        for a in range(i, j, 128):  # 128 rows of FEATURES cells at most
+            yield _counts(data, offsets[a : min(a + 128, j) + 1])
 
 
 def _counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -96,6 +96,7 @@ def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(norm, 1e-12)
 
 
+@tk.lean
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts that have each cell, and all texts at cell FEATURES; one batch a task."""
     total = np.zeros(FEATURES + 1, np.int64)
@@ -107,6 +108,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array(total)], names=["cell", "n"])
 
 
+@tk.lean
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = pa.array(lettered(batch.column("text")))
@@ -170,6 +172,7 @@ def _cosines(names: list[str], centroids: np.ndarray, idf: np.ndarray) -> Callab
     languages = list(dict.fromkeys(names))
     place = np.array([languages.index(k) for k in names])
 
+    @tk.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(languages) * LENGTHS * BINS, np.int64)
         for batch in batches:

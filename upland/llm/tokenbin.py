@@ -13,12 +13,17 @@ A block is one row of a Parquet folder, whose commit protocol keeps whole shards
                      the block, ids in the block, ids of the text in all
 
 All but `payload` is the chunk index: column pruning reads it without touching the planes.
-Null texts count as empty and give the end id alone; null doc_ids come first; equal doc_ids follow each
-other in the order of their texts; an empty table gives an empty folder.
+Ids are those of the tokenizer's own call on the whole text without special tokens added; a special token's
+string within a text gives that token's id, as the call does.
+
+Null texts count as empty and give the end id alone; null doc_ids come first; rows of equal doc_id follow each
+other in the order of a hash of their texts, and are dealt to shards like others; an empty table gives an
+empty folder.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import re
@@ -38,10 +43,17 @@ from upland.llm.common import new_folder
 
 MAGIC = b"UPT1"
 BLOCK_IDS = 1 << 16
-BLOCK_SCHEMA = "shard int, block int, start long, n_ids int, payload binary, index array<struct<doc_id:long,ordinal:long,at:long,n:int,total:long>>"
+BLOCK_SCHEMA = (
+    "shard int, block int, start long, n_ids int, payload binary, "
+    "index array<struct<doc_id:long,ordinal:long,at:long,n:int,total:long>>"
+)
 
 #: Words whose ids a worker remembers; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
+#: New words are kept apart, and join the others once there are so many.
+FRESH_WORDS = 50_000
+#: Bytes of text that are cut and encoded at once; working arrays take about 60 times as much.
+BLOCK_BYTES = 1 << 19
 
 #: Kinds of bytes. Before a mark that follows a letter or digit the split pattern always splits.
 OTHER, SPACE, LETTER, DIGIT, MARK = range(5)
@@ -90,38 +102,82 @@ def unpack(payload: bytes) -> np.ndarray:
     return out
 
 
+def _applied(matrix: list[int], vector: int) -> int:
+    total, k = 0, 0
+    while vector:
+        if vector & 1:
+            total ^= matrix[k]
+        vector, k = vector >> 1, k + 1
+    return total
+
+
+@functools.cache
+def _zeros(k: int) -> list[int]:
+    """What 2 ** k zero bits do to a CRC-32, as a bit matrix."""
+    if k == 0:
+        return [0xEDB88320, *[1 << j for j in range(31)]]
+    half = _zeros(k - 1)
+    return [_applied(half, x) for x in half]
+
+
 def crc_join(a: int, b: int, n: int) -> int:
     """The CRC-32 of two strings together, from that of each and the second's length."""
-    if not n:
-        return a
-    odd, even, row = [0xEDB88320], [], 1
-    for _ in range(31):
-        odd.append(row)
-        row <<= 1
-
-    def times(matrix: list[int], vector: int) -> int:
-        total, k = 0, 0
-        while vector:
-            if vector & 1:
-                total ^= matrix[k]
-            vector, k = vector >> 1, k + 1
-        return total
-
-    even = [times(odd, x) for x in odd]
-    odd = [times(even, x) for x in even]
+    k = 3  # bits of a byte
     while n:
-        even = [times(odd, x) for x in odd]
         if n & 1:
-            a = times(even, a)
-        n >>= 1
-        odd, even = even, odd
+            a = _applied(_zeros(k), a)
+        n, k = n >> 1, k + 1
     return a ^ b
 
 
+class Cache:
+    """Ids of pieces by hash: two ascending tables, one of them small and often rewritten."""
+
+    def __init__(self) -> None:
+        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.tables = [self._empty(), self._empty()]
+
+    @staticmethod
+    def _empty() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def find(self, hashes: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each piece, -1 if it isn't known, and whether its hash is another piece's."""
+        place, clash = np.full(len(hashes), -1), np.zeros(len(hashes), bool)
+        for known, second, where in self.tables:
+            if len(known):
+                spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                there = known[spot] == hashes
+                place[there] = where[spot[there]]
+                clash[there] = second[spot[there]] != check[there]
+        return place, clash
+
+    def add(self, hashes: np.ndarray, check: np.ndarray, found: list[list[int]]) -> np.ndarray:
+        """Store ids of new pieces, whose hashes ascend; their places."""
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        place = len(self) + np.arange(len(hashes))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+        fresh = self._merged(self.tables[1], (hashes, check, place))
+        if len(fresh[0]) > FRESH_WORDS:
+            self.tables[0], fresh = self._merged(self.tables[0], fresh), self._empty()
+        self.tables[1] = fresh
+        return place
+
+    @staticmethod
+    def _merged(table: tuple, more: tuple) -> tuple:
+        where = np.searchsorted(table[0], more[0])
+        return tuple(np.insert(x, where, y) for x, y in zip(table, more, strict=True))
+
+
 class Encoder:
     """Ids of whole columns of text. A text is cut where the tokenizer's own pattern always splits, and a worker
     runs the tokenizer once for each distinct piece it meets: the bare BPE model for an optional space and Latin
-    letters, all of the tokenizer for any other piece. Texts with white space outside ASCII are encoded whole.
+    letters, all of the tokenizer for any other piece. Texts with white space outside ASCII, or with the string of
+    a special token, are encoded whole.
 
     Pieces are told apart by a 64-bit hash, checked against a second one when a block meets the cache."""
 
@@ -130,44 +186,36 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.wide = re.compile(f"[{WIDE_SPACES}]")
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # byte-level BPE's alphabet
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = np.arange(256, dtype="<u2")
         self.alphabet[hidden] = 256 + np.arange(len(hidden))
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.place, self.at, self.ids = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.cache = Cache()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, new: np.ndarray, check: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray, plain: np.ndarray) -> None:
+    def _learnt(self, text: np.ndarray, first: np.ndarray, last: np.ndarray, plain: np.ndarray) -> list[list[int]]:
         """The ids of pieces not met before."""
-        found: list[list[int]] = [[]] * len(new)
+        found: list[list[int]] = [[]] * len(first)
         shown, tokenize = self.alphabet[text].tobytes().decode("utf-16-le"), self.model.tokenize
         for k, a, b in zip(np.flatnonzero(plain).tolist(), first[plain].tolist(), last[plain].tolist(), strict=True):
             found[k] = [t.id for t in tokenize(shown[a:b])]
         if not plain.all():
-            raw, other = text.tobytes(), np.flatnonzero(~plain).tolist()
-            pieces = [raw[first[k] : last[k]].decode("utf-8", "replace") for k in other]
+            other = np.flatnonzero(~plain).tolist()
+            pieces = [text[first[k] : last[k]].tobytes().decode("utf-8", "replace") for k in other]
             for k, e in zip(other, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
                 found[k] = e.ids
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        place = len(self.at) - 1 + np.arange(len(new))
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))])
-        where = np.searchsorted(self.known, new)
-        self.known, self.check, self.place = (np.insert(x, where, y) for x, y in ((self.known, new), (self.check, check), (self.place, place)))
+        return found
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, without the end id."""
         data, offsets = tk.buffers(column)
-        for i, j in tk.blocks(offsets):
+        for i, j in tk.blocks(offsets, BLOCK_BYTES):
             yield from self._block(data, offsets, i, j)
 
     def _block(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> Iterator[np.ndarray]:
@@ -198,24 +246,20 @@ class Encoder:
             return
         distinct, one, back = np.unique(tk.hashes(text, first, last), return_index=True, return_inverse=True)
         check = tk.hashes(text, first[one], last[one], seed=77)
-        if len(self.known) > CACHE_WORDS:
-            self.forget()
-        spot = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = spot < len(self.known)
-        new[inside] = self.known[spot[inside]] != distinct[inside]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = Cache()
+        place, clash = self.cache.find(distinct, check)  # a clash is a piece with the hash of another
+        new = place < 0
         if new.any():
             odd = np.concatenate([[0], np.cumsum(kind != LETTER)])
             a, b = first[one[new]], last[one[new]]
             plain = odd[b] - odd[a + (text[a] == 0x20)] == 0
             plain &= b - a > (text[a] == 0x20)
-            self._learn(distinct[new], check[new], text[:size], a, b, plain)
-            spot = np.searchsorted(self.known, distinct)
-        clash = self.check[spot] != check  # a piece with the hash of another
-        place = self.place[spot][back]
-        n = self.at[place + 1] - self.at[place]
+            place[new] = self.cache.add(distinct[new], check[new], self._learnt(text[:size], a, b, plain))
+        place, starts = place[back], self.cache.at
+        n = starts[place + 1] - starts[place]
         total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(self.at[place] - total[:-1], n) + np.arange(total[-1])]
+        ids = self.cache.ids[np.repeat(starts[place] - total[:-1], n) + np.arange(total[-1])]
         bounds = np.searchsorted(first, at)
         whole = np.zeros(j - i, bool)
         if clash.any():
@@ -224,8 +268,14 @@ class Encoder:
         seen = np.flatnonzero(np.isin(pair, WIDE_PAIRS)) if (kind == OTHER).any() else ()
         for k in np.unique(np.searchsorted(at, seen, "right") - 1) if len(seen) else ():
             whole[k] |= bool(self.wide.search(text[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace")))
+        if self.special:
+            for m in self.special.finditer(text[:size].tobytes()):
+                whole[np.searchsorted(at, m.start(), "right") - 1] = True
         for k in range(j - i):
-            yield self.whole(text[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace")) if whole[k] else ids[total[bounds[k]] : total[bounds[k + 1]]]
+            if whole[k]:
+                yield self.whole(text[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace"))
+            else:
+                yield ids[total[bounds[k]] : total[bounds[k + 1]]]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -238,18 +288,22 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _write_shard(batches: Iterable[pa.RecordBatch], shard: int, path: str, end_id: int, block_ids: int, bits: bool) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([
-        ("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int32()), ("payload", pa.binary()),
-        ("index", pa.list_(pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("total", pa.int64())]))),
-    ])
+_ENTRY = pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("total", pa.int64())])
+_BLOCK = [("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int32()), ("payload", pa.binary())]
+
+
+def _write_shard(
+    batches: Iterable[pa.RecordBatch], shard: int, path: str, end_id: int, block_ids: int, bits: bool
+) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([*_BLOCK, ("index", pa.list_(_ENTRY))])
     held: list[np.ndarray] = []
     index: list[dict] = []
     n = block = start = ordinal = 0
 
     def flush() -> pa.RecordBatch:
         nonlocal held, index, n, block, start
-        row = {"shard": shard, "block": block, "start": start, "n_ids": n, "payload": pack(np.concatenate(held), bits), "index": index}
+        payload = pack(np.concatenate(held), bits)
+        row = {"shard": shard, "block": block, "start": start, "n_ids": n, "payload": payload, "index": index}
         held, index, start, block, n = [], [], start + n, block + 1, 0
         return pa.RecordBatch.from_pylist([row], schema)
 
@@ -271,20 +325,25 @@ def _write_shard(batches: Iterable[pa.RecordBatch], shard: int, path: str, end_i
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, block_ids: int = BLOCK_IDS, bits: bool = False) -> None:
     """Encode `text` of every row and write the blocks, in ascending doc_id order, to `folder`.
 
-    One range shuffle of the texts; each shard is encoded as a stream, holding one block at a time."""
+    One range shuffle of the texts; each shard is encoded as a stream, holding one block at a time. The range key
+    goes on after doc_id, so that many rows of one doc_id are no single task's."""
     from pyspark import TaskContext
 
+    @tk.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _write_shard(batches, TaskContext.get().partitionId(), vocabulary, end_id, block_ids, bits)
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.parquet(folder)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keyed = rows.withColumns({"mark": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("doc_id", "mark", "row").sortWithinPartitions("doc_id", "mark", "text")
+    ordered.select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA).write.parquet(folder)
 
 
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(BLOCK_SCHEMA).parquet(folder)
 
 
+@tk.lean
 def _read_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -296,8 +355,9 @@ def _read_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 crc = zlib.crc32(raw[4 * at : 4 * (at + x["n"])])
                 out.append((row["shard"], x["ordinal"], x["doc_id"], row["start"] + at - x["at"], x["at"], x["n"], x["total"], crc))
                 at += x["n"]
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.int64()] * 7), strict=True)], names=["shard", "ordinal", "doc_id", "start", "at", "n", "total", "crc"])
+            types = (pa.int32(), *[pa.int64()] * 7)
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "ordinal", "doc_id", "start", "at", "n", "total", "crc"])
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -309,7 +369,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     sums = read.groupBy("shard").agg(F.sum(F.col("n_ids").cast("long")).alias("ids"))
     before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     bases = sums.select("shard", F.coalesce(before, F.lit(0)).alias("base"))  # a row per written partition
-    pieces = read.mapInArrow(_read_pieces, "shard int, ordinal long, doc_id long, start long, at long, n long, total long, crc long")
+    schema = "shard int, ordinal long, doc_id long, start long, at long, n long, total long, crc long"
+    pieces = read.mapInArrow(_read_pieces, schema)
 
     @F.arrow_udf("long")
     def joined(parts: pa.Array) -> pa.Array:
@@ -322,22 +383,39 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
         return pa.array(out, pa.int64())
 
     whole = pieces.filter("n = total").select("shard", "doc_id", "start", "total", "crc")
-    split = pieces.filter("n < total").groupBy("shard", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.first("total").alias("total"), F.collect_list(F.struct("at", "n", "crc")).alias("parts"))
+    split = (
+        pieces.filter("n < total")
+        .groupBy("shard", "ordinal")
+        .agg(
+            F.first("doc_id").alias("doc_id"),
+            F.min("start").alias("start"),
+            F.first("total").alias("total"),
+            F.collect_list(F.struct("at", "n", "crc")).alias("parts"),
+        )
+    )
     rows = whole.unionByName(split.select("shard", "doc_id", "start", "total", joined("parts").alias("crc")))
-    return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), F.col("total").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    return rows.join(F.broadcast(bases), "shard").select(
+        "doc_id",
+        (F.col("base") + F.col("start")).alias("start"),
+        F.col("total").alias("n_tokens"),
+        F.col("crc").alias("ids_crc32"),
+    )
 
 
 def ids_of(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, ordinal, at and ids of every piece, for readers that want the ids themselves."""
+    longs = [(k, pa.int64()) for k in ("ordinal", "doc_id", "at")]
+    schema = pa.schema([("shard", pa.int32()), *longs, ("ids", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, at, out = unpack(row["payload"]), 0, []
                 for x in row["index"]:
-                    out.append({"shard": row["shard"], "ordinal": x["ordinal"], "doc_id": x["doc_id"], "at": x["at"], "ids": ids[at : at + x["n"]].tolist()})
+                    own = ids[at : at + x["n"]].tolist()
+                    out.append({"shard": row["shard"], **{k: x[k] for k in ("ordinal", "doc_id", "at")}, "ids": own})
                     at += x["n"]
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("shard", pa.int32()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("ids", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_pylist(out, schema)
 
     return blocks(spark, folder).mapInArrow(run, "shard int, ordinal long, doc_id long, at long, ids array<long>")
 
