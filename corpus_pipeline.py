@@ -5,12 +5,13 @@ All stages but the last return the columns of documents, as they are.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from upland.llm import decontam, jaccard, langid, mixing, tokenbin
-from upland.llm.common import cut, table
+from upland.llm.common import bound_batches, cut, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +39,27 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokenbin.encode_documents(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("source_mix", source_mix),
-    ("token_ids", token_ids),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", _bounded(language_id)),
+    ("near_duplicates", _bounded(near_duplicates)),
+    ("decontamination", _bounded(decontamination)),
+    ("source_mix", _bounded(source_mix)),
+    ("token_ids", _bounded(token_ids)),
 ]
 
-#: SQL can't express learned models and byte-pair encoding; the tests hold run() against its parts by brute force.
+#: SQL can't express learned models and byte-pair encoding; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
