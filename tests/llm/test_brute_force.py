@@ -238,6 +238,84 @@ def test_page_text():
     assert htmltext.extract(page).split("\n\n") == ["A title", "The story of the man and the sea is a long one, and it is told for the people of the town & hill.", "Short.", "It was then that the man of the sea came to the town with all of his friends."]
 
 
+STORY = ["The story of the man and the sea is a long one, and it is told for the people of the town.", "It was then that the man of the sea came to the town with all of his friends."]
+TOLD = "".join(f"<p>{x}</p>" for x in STORY)
+MORE = "<p>I think that this is the best story of the year and I love it, and that is the truth of it</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<head><title>x</title><body><article>{TOLD}</article>",
+    f"<html><head><meta charset=utf-8><link href=x><title>x</title><script>var a='<p>'</script><body><div>{TOLD}</div>",
+    f'<div class="content with-sidebar">{TOLD}</div><div class="sidebar"><p>For the news of the day, go to the list of the stories</p></div>',
+    f'<main class="layout no-sidebar">{TOLD}</main>',
+    f'<article class="post share-enabled">{TOLD}</article><div class="share-buttons">Share it with all of the people that you know in this town</div>',
+    f'<form id="aspnetForm"><div id="main">{TOLD}</div></form>',
+    f"<article><button>Menu{TOLD}</article>",
+    f"<article><button>Menu</button>{TOLD}<button-x></button-x></article>",
+    f'<div class="widget"><article>{TOLD}</article></div><div class="widget"><p>The list of the most read of all the stories in this town</p></div>',
+    f'<article>{TOLD}</article><section id="comments">{MORE * 9}</section>',
+    f'<article>{TOLD}</article><div class="comments-area"><article class="comment-body">{MORE * 9}</article></div>',
+    f'<div class="cookie-notice">We use cookies on this site for the ads, and that is that</div><article data-id="sidebar">{TOLD}</article>',
+    f'<nav><a href=/>The home of the news and of the day</a></nav><main>{TOLD}</main><footer>It is the right of the owner to be the one for it</footer>',
+    f'<div class="siteHeader">The news of the town and of the hill is here for you</div><article>{TOLD}</article><aside>{MORE}</aside>',
+    f"<article>{TOLD}<svg><title>x</title><path d=1></svg><noscript>The page is for those that have the script on</noscript></article>",
+])
+def test_article_of_real_layouts(page):
+    assert htmltext.extract(page).split("\n\n") == STORY
+
+
+def test_header_of_an_article_and_formulas():
+    page = f"<header><h1>Site</h1></header><article><header><div><h1>A title</h1></div><p>By me</p></header><p>It is the law that <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> in the case of the sea and the sun.</p>{TOLD}</article>"
+    assert htmltext.extract(page).split("\n\n") == ["A title", "It is the law that x=2 in the case of the sea and the sun.", *STORY]
+
+
+def test_pages_against_a_plain_reader(spark, sf_dir):
+    """In the given pages the main text is what the article element holds, cut at its block tags."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks, self.text, self.breaks = False, [], "", 0
+
+        def end(self):
+            self.blocks.append(" ".join(self.text.split()))
+            self.text, self.breaks = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag == "br":
+                self.text += " "
+            elif tag not in ("b", "i", "a"):
+                self.end()
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "i", "a"):
+                self.end()
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            self.text += data if self.inside else ""
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        reader = Plain()
+        reader.feed(r.html or "")
+        reader.close()
+        reader.end()
+        want[r.page_id] = "\n\n".join(filter(None, reader.blocks))
+    twice = pages.union(pages)
+    got = registry.QUERIES["op8_html_text"](spark, sf_dir).collect()
+    assert {r.page_id: (r.text, r.n_chars) for r in got} == {k: (v, len(v)) for k, v in want.items()}
+    assert sorted(map(tuple, htmltext.extract_pages(twice).collect())) == sorted(map(tuple, [*got, *got]))
+
+
+def test_long_pages():
+    page = "<article>" + TOLD * 20000 + "</article>"
+    assert htmltext.extract(page).count("\n\n") == 39999
+
+
 def test_second_pass_takes_the_nearest_label():
     b = lambda r: htmltext.Block("x", 0, False, False, r)
     assert htmltext.second_pass([b(0)] * 5 + [b(1)], [True, None, None, None, False, None]) == [True, True, True, False, False, False]

@@ -7,9 +7,13 @@ words, are ambiguous. The second pass gives ambiguous blocks the label of the ne
 region, and of the two sides at equal distance the good one; where nothing in the region is decided, blocks of
 an article are good and others bad.
 
-Null html counts as empty and gives an empty text; pages cut off within a tag, a script or a character
-reference are read as far as they go; repeated rows give repeated results; only page_id, url and html are
-read; an empty table gives no rows.
+Names are no proof: a name that says what the page has, lacks or does (`with-sidebar`, `no-sidebar`,
+`share-enabled`) marks nothing, and a marked element that holds most of the page's stop words is text all the
+same; one whose whole name is a mark must hold an unmarked article for that, too, and comments never are text.
+
+Null html counts as empty and gives an empty text; a head, a paragraph or a button that isn't closed ends where
+the next thing begins; pages cut off within a tag, a script or a character reference are read as far as they go;
+repeated rows give repeated results; only page_id, url and html are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,19 +27,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is no text of the page (fixed values).
-SKIPPED = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "button", "head", "object", "audio", "video", "canvas", "math")
+#: Elements whose content is no text of the page, to the end of the page if need be (fixed values).
+RAW = ("script", "style", "title", "textarea", "iframe")
+#: Elements whose content is no text of the page if they are closed (fixed values).
+CLOSED = ("noscript", "template", "svg", "object", "audio", "video", "canvas", "annotation", "annotation-xml")
+#: The same of those that can't hold one of their own; if they aren't closed, their first run of text (fixed values).
+FLAT = ("button", "select")
 #: Elements that begin and end a block (fixed values).
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot "
+    "th thead tr ul".split()
 )
 #: Elements whose start and end are followed, so that their flags hold for what is in them (fixed values).
 CONTAINERS = frozenset("article aside body details dialog div dl fieldset figure footer form header main menu nav ol section table td ul".split())
 #: Elements that hold no main text (fixed values).
-BOILERPLATE = frozenset("aside dialog fieldset footer form header menu nav".split())
+BOILERPLATE = frozenset("aside dialog fieldset footer header menu nav".split())
 #: Parts of class and id names, and roles, of what holds no main text (fixed values).
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets alert complementary contentinfo form".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies copyright dropdown "
+    "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo "
+    "promoted promotion recommended related search share sharing sidebar signup skyscraper social sponsor sponsored subscribe "
+    "subscription toolbar widget widgets alert complementary contentinfo form".split()
+)
+#: The same of reader comments (fixed values).
+COMMENTS = frozenset("comment comments discussion disqus replies reply respond".split())
+#: Parts of names that tell of a state, not of what is inside (fixed values).
+STATES = frozenset(
+    "active allowed autoload closed count disabled enabled fixed free has hidden hide is layout no non none not off on open "
+    "show sticky visible with without".split()
 )
 #: Frequent words (fixed values).
 STOP_WORDS = frozenset(
@@ -48,14 +68,25 @@ STOP_WORDS = frozenset(
 #: Characters and shares of the first pass.
 SHORT, LONG, FEW_STOPS, MANY_STOPS, MANY_LINKS = 70, 200, 0.06, 0.12, 0.33
 
+_OPEN = r"(?=[\s/>])[^>]*"
 _PARTS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{'|'.join(SKIPPED)})\b[^>]*(?:/>|>.*?(?:</(?P=skip)\s*>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<more>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|<[!?][^>]*(?:>|\Z)|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)"
+    rf"|<(?P<raw>{'|'.join(RAW)}){_OPEN}(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    rf"|<(?P<closed>{'|'.join(CLOSED)}){_OPEN}(?:/>|>.*?</(?P=closed)\s*>)"
+    rf"|<(?P<flat>{'|'.join(FLAT)}){_OPEN}(?:/>|>(?:(?!<(?P=flat)[\s/>]|</?(?:p|div|article|section|main|h\d)[\s>]).)*?</(?P=flat)\s*>|>[^<]*)"
+    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<more>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))"
+    r"|<[!?][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_NAME = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
+#: What marks an element: nothing, its kind or invisibility, comments, a whole name, a part of a name.
+NONE, HARD, COMMENT, WHOLE, PART = range(5)
+
 
 class Block(NamedTuple):
     text: str
@@ -65,47 +96,105 @@ class Block(NamedTuple):
     region: int
 
 
-def hinted(more: str) -> bool:
-    """Whether an element's attributes mark it as no main text."""
+class Frame(NamedTuple):
+    """An open container."""
+
+    tag: str
+    parent: int
+    mark: int
+
+
+def mark_of(tag: str, more: str) -> int:
+    """What marks an element as no main text."""
+    if tag in BOILERPLATE:
+        return HARD
+    best = PART if tag == "form" else NONE
+    if not more or tag == "body":
+        return best
     for name, value in _ATTRIBUTE.findall(more):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and not HINTS.isdisjoint(_NAME.findall(value)):
-            return True
-    return False
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _INVISIBLE.search(value.lower()):
+            return HARD
+        for token in value.split() if name in ("class", "id", "role") else ():
+            parts = [x.lower() for x in _PART.findall(token)]
+            if not STATES.isdisjoint(parts):
+                continue
+            if not COMMENTS.isdisjoint(parts):
+                best = min(best or COMMENT, COMMENT)
+            elif not HINTS.isdisjoint(parts):
+                mark = WHOLE if len(parts) == 1 and tag not in ("article", "main") else PART
+                best = min(best or mark, mark)
+    return best
+
+
+def stop_words(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def _bad_frames(frames: list[Frame], raw: list[tuple]) -> list[bool]:
+    """Whether each container is boilerplate, by its own mark or an outer one."""
+    hard = [False] * len(frames)
+    for k, f in enumerate(frames):
+        hard[k] = f.mark in (HARD, COMMENT) or f.parent >= 0 and hard[f.parent]
+    stops, holds, total = [0] * len(frames), [False] * len(frames), 0
+    if any(f.mark in (WHOLE, PART) for f in frames):
+        for text, _, frame, _, _ in raw:
+            if frame < 0 or not hard[frame]:
+                n = stop_words(text)[0]
+                total += n
+                if frame >= 0:
+                    stops[frame] += n
+        for k in reversed(range(len(frames))):
+            f = frames[k]
+            holds[k] |= f.tag in ("article", "main") and f.mark == NONE
+            if f.parent >= 0:
+                stops[f.parent] += stops[k]
+                holds[f.parent] |= holds[k]
+    bad = [False] * len(frames)
+    for k, f in enumerate(frames):
+        most = 2 * stops[k] > total
+        own = f.mark in (HARD, COMMENT) or f.mark == PART and not most or f.mark == WHOLE and not (most and holds[k])
+        bad[k] = own or f.parent >= 0 and bad[f.parent]
+    return bad
+
+
+def _in_article_header(frames: list[Frame], at: int) -> int:
+    """The container around the header that a container is in, if nothing else marks it; else -1."""
+    while at >= 0 and frames[at].tag != "header" and frames[at].mark == NONE:
+        at = frames[at].parent
+    return frames[at].parent if at >= 0 and frames[at].tag == "header" else -1
 
 
 def blocks_of(page: str) -> list[Block]:
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: name, bad, article
+    frames: list[Frame] = []
+    raw: list[tuple[str, int, int, bool, int]] = []  # text, characters of links, container, heading, steps so far
+    steps: list[int] = []  # a new region: always (-1), or if that container is boilerplate
     parts: list[str] = []
-    linked = region = breaks = 0
-    bad = article = link = heading = False
+    at, linked, breaks = -1, 0, 0
+    link = heading = False
 
     def flush() -> None:
         nonlocal parts, linked, breaks
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, linked, bad and not (heading and article and stack[-1][0] == "header"), article, region))
+            raw.append((text, linked, at, heading, len(steps)))
         parts, linked, breaks = [], 0, 0
 
     for m in _PARTS.finditer(page):
         tag = m["tag"]
         if tag is None:
-            raw = m[0]
-            if raw[0] == "<" and len(raw) > 1:
-                if raw.startswith("<![CDATA["):
-                    continue
-                if m["skip"] and not parts:
-                    continue
-                parts.append(" ") if m["skip"] else None
+            piece = m[0]
+            if piece[0] == "<" and len(piece) > 1:
+                if parts and (m["raw"] or m["closed"] or m["flat"]):
+                    parts.append(" ")
                 continue
-            if raw.strip():
+            if piece.strip():
                 breaks = 0
                 if link:
-                    linked += len(" ".join(raw.split()))
-            parts.append(raw)
+                    linked += len(" ".join(piece.split()))
+            parts.append(piece)
             continue
         tag = tag.lower()
         if tag == "br":
@@ -120,20 +209,35 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             link = False
             if tag in CONTAINERS:
-                region += tag not in ("div", "section", "ul", "ol", "dl", "table", "td", "figure")
+                if tag not in ("div", "section", "ul", "ol", "dl", "table", "td", "figure"):
+                    steps.append(-1)
                 if m["close"]:
-                    if any(x[0] == tag for x in stack):
-                        while stack.pop()[0] != tag:
-                            pass
+                    up = at
+                    while up >= 0 and frames[up].tag != tag:
+                        up = frames[up].parent
+                    at = frames[up].parent if up >= 0 else at
                 elif not m["more"].endswith("/"):
-                    own = tag in BOILERPLATE or tag != "body" and bool(m["more"]) and hinted(m["more"])
-                    stack.append((tag, bad or own, article or tag in ("article", "main")))
-                bad, article = stack[-1][1:] if stack else (False, False)
-                region += tag in ("div", "section") and bad
+                    frames.append(Frame(tag, at, mark_of(tag, m["more"])))
+                    at = len(frames) - 1
+                if tag in ("div", "section") and at >= 0:
+                    steps.append(at)
             heading = not m["close"] and tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        elif tag == "img" or tag == "input":
+        elif tag in ("img", "input", "button", "select"):
             parts.append(" ")
     flush()
+
+    bad, article = _bad_frames(frames, raw), [False] * len(frames)
+    for k, f in enumerate(frames):
+        article[k] = f.tag in ("article", "main") or f.parent >= 0 and article[f.parent]
+    out: list[Block] = []
+    region = seen = 0
+    for text, linked, frame, heading, step in raw:
+        region += sum(x < 0 or bad[x] for x in steps[seen:step])
+        seen = step
+        own, inside = frame >= 0 and bad[frame], frame >= 0 and article[frame]
+        if own and inside and heading and (outer := _in_article_header(frames, frame)) >= 0:
+            own = bad[outer]
+        out.append(Block(text, linked, own, inside, region))
     return out
 
 
@@ -146,8 +250,8 @@ def first_pass(block: Block) -> bool | None:
         return False
     if size < SHORT:
         return None
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    found, words = stop_words(block.text)
+    stops = found / max(1, words)
     if stops >= MANY_STOPS or stops >= FEW_STOPS and size >= LONG:
         return True
     return None if block.article or stops >= FEW_STOPS else False
@@ -189,7 +293,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(x) if x else "" for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
