@@ -6,9 +6,10 @@ the centroid with the largest cosine, and is rejected where that cosine is far b
 training texts of about its length reach.
 
 Document frequencies and the cosines below which texts are rejected come from all training rows. The centroids
-are fitted on a bounded sample: about `per_language` rows of each language, chosen by a hash of doc_id (documented
-bound, 1,000 by default); the model holds `centroids` vectors for each language, and it and a histogram of cosines
-for each language and length are all that reaches the driver.
+are fitted on a bounded sample: about `per_language` distinct rows of each language, chosen by a hash of doc_id and
+text (documented bound, 1,000 by default); rows of one doc_id are told apart by their texts, and equal rows count
+once. The model holds `centroids` vectors for each language, and it and a histogram of cosines for each language
+and length are all that reaches the driver; it goes to the tasks as a broadcast variable.
 
 Null text and text without a letter give `und` with score 0, rejected. Rows of null lang or without a letter
 teach nothing; without any training row every text is `und`. Ties go to the first language in code-point
@@ -24,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,9 +142,13 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CEN
     df = np.zeros(FEATURES + 1)
     df[found.cell.to_numpy()] = found.n.to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + np.float32(0.05)
-    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("rows_of_lang"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id"), 11) / F.lit(float(1 << 53))
-    sample = train.join(F.broadcast(sizes), "lang").filter(draw < F.lit(per_language) / F.col("rows_of_lang")).select("lang", "doc_id", "text")
+    mark = F.xxhash64(F.lit("langid"), "doc_id", "text")
+    marked = train.withColumn("mark", mark)
+    sizes = marked.groupBy("lang").agg(F.approx_count_distinct("mark").alias("rows_of_lang"))
+    draw = F.shiftrightunsigned(F.col("mark"), 11) / F.lit(float(1 << 53))
+    # few languages have a row here each, so AQE sees that the side is small
+    drawn = marked.join(sizes, "lang").filter(draw < F.lit(per_language) / F.col("rows_of_lang"))
+    sample = drawn.select("lang", "doc_id", "text", "mark").dropDuplicates(["lang", "mark"]).drop("mark")
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "counts"])
@@ -154,26 +160,29 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CEN
     rows = rows.sort_values(["lang", "vector"])
     stacked = np.stack([np.frombuffer(v, "<f4") for v in rows["vector"]]) if len(rows) else np.zeros((0, FEATURES), np.float32)
     names = list(rows["lang"])
+    sent = train.sparkSession.sparkContext.broadcast((stacked, idf))
     cut_at = F.explode(F.array(*[F.lit(1 << k) for k in range(1, CUTS)])).alias("size")
     starts = sample.select("lang", "text", cut_at).filter(F.length("text") > F.col("size")).select("lang", F.expr("substring(text, 1, size)").alias("text"))
 
     def histograms(texts: DataFrame) -> dict[str, np.ndarray]:
         if not names:
             return {}
-        seen = texts.mapInArrow(_cosines(names, stacked, idf), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+        found = texts.mapInArrow(_cosines(names, sent), "lang string, cell int, n long")
+        seen = found.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
         return {k: np.bincount(part["cell"].astype(int), part["n"], LENGTHS * BINS).reshape(LENGTHS, BINS) for k, part in seen.groupby("lang")}
 
     bounds = thresholds(histograms(train.select("lang", "text")), histograms(starts))
     return Model(names, stacked, idf, np.array([bounds[k] for k in names]).reshape(-1, LENGTHS))
 
 
-def _cosines(names: list[str], centroids: np.ndarray, idf: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cosines(names: list[str], sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """How many texts of each language have each length and cosine to the nearest of its centroids; one batch a task."""
     languages = list(dict.fromkeys(names))
     place = np.array([languages.index(k) for k in names])
 
     @tk.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, idf = sent.value
         total = np.zeros(len(languages) * LENGTHS * BINS, np.int64)
         for batch in batches:
             batch = batch.filter(pa.array(lettered(batch.column("text"))))
@@ -186,7 +195,8 @@ def _cosines(names: list[str], centroids: np.ndarray, idf: np.ndarray) -> Callab
                 np.add.at(total, ((lang * LENGTHS + length_class(count)) * BINS + bins)[lang >= 0], 1)
         k = np.flatnonzero(total)
         cells = LENGTHS * BINS
-        yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()).take(pa.array(k // cells)), pa.array((k % cells).astype(np.int32)), pa.array(total[k])], names=["lang", "cell", "n"])
+        columns = [pa.array(languages, pa.string()).take(pa.array(k // cells)), pa.array((k % cells).astype(np.int32)), pa.array(total[k])]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "cell", "n"])
 
     return run
 
@@ -217,11 +227,12 @@ def thresholds(whole: dict[str, np.ndarray], starts: dict[str, np.ndarray]) -> d
     return {lang: out.get(lang, lowest) for lang in whole}
 
 
-def predict(model: Model, text: Column) -> Column:
-    """struct<lang, score, rejected> of a text column."""
+def predict(sent: Broadcast, text: Column) -> Column:
+    """struct<lang, score, rejected> of a text column, by a broadcast model."""
 
     @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
     def run(column: pa.Array) -> pa.Array:
+        model: Model = sent.value
         n = len(column)
         best, score, size = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)
         if model.languages:
@@ -236,7 +247,9 @@ def predict(model: Model, text: Column) -> Column:
         names = np.array([*model.languages, "und"], object)[np.where(ok, best, len(model.languages))]
         least = np.vstack([model.least, np.full((1, LENGTHS), 2.0)])[np.where(ok, best, len(model.languages)), size]
         score = np.clip(np.where(ok, score, 0), 0, 1)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(score < least)], names=["lang", "score", "rejected"])
+        tk.give_back()
+        columns = [pa.array(names, pa.string()), pa.array(score), pa.array(score < least)]
+        return pa.StructArray.from_arrays(columns, names=["lang", "score", "rejected"])
 
     return run(text.cast("string"))
 
@@ -248,12 +261,12 @@ def held_out() -> Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every document, learning from those not held out."""
-    model = fit(docs.filter(~held_out()))
-    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), predict(model, F.col("text")).alias("p"))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(~held_out())))
+    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), predict(sent, F.col("text")).alias("p"))
     return rows.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.rejected").alias("rejected"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is not rejected, with their columns as they are."""
-    model = fit(docs.filter(~held_out()))
-    return docs.filter(~predict(model, F.col("text"))["rejected"])
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(~held_out())))
+    return docs.filter(~predict(sent, F.col("text"))["rejected"])
