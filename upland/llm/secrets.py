@@ -1,13 +1,13 @@
 """Secret scan with DataFrame operations only: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a long run of key characters with a digit, a value assigned to a telling name, or a known key; one
-word may hold several, each with what stands before it in the word. Its features are length, character classes and their transitions, coverage by a small
-dictionary of word parts, the path, and the neighbouring words. The forest is trained on labelled findings: a
-table of value, before, after, path and label, by default the made-up ones of `labelled_findings`, whose number
-is its documented bound.
+word may hold several, each with what stands before it in the word. Its features are length, character classes and
+their transitions, coverage by a small dictionary of word parts, the path, and the neighbouring words. The forest is
+trained on labelled findings: a table of value, before, after, path and label, by default the made-up ones of
+`labelled_findings`, whose number is its documented bound.
 
-One row is returned for each finding that stands, several for a word of several, with a digest in place of the value. Null and empty texts have
-none; a null path is an empty one; repeated words or rows are findings each; only doc_id, text and source are
+One row is returned for each finding that stands, several for a word of several, with a digest in place of the
+value. Null and empty texts have none; a null path is an empty one; repeated words or rows are findings each; only doc_id, text and source are
 read; an empty table gives no rows.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 TREES, DEPTH, SEED = 24, 6, 7
-FINDINGS = 4000
+FINDINGS, NOISE = 6000, 0.02
 THRESHOLD = 0.5
 
 #: Names whose value is often secret (fixed values).
@@ -45,8 +45,9 @@ DICTIONARY = ["about", "after", "ance", "and", "are", "ation", "ble", "data", "e
 
 _NAME = "(?i)(?:" + "|".join(n.replace("_", "[_-]?") for n in NAMES) + ")"
 _RUN = r"[A-Za-z0-9+/_=.-]{16,}"
-#: A text without this has no candidate: a run of key characters with a digit in a long word, a telling name, or a prefix.
-_ANY = "|".join([r"[A-Za-z0-9+/_=.-]{16}", _NAME + r"[a-z_-]*[\"']?\s*[:=]", *PREFIXES.values()])
+#: A text without this has no candidate: a long run of key characters, a telling name in a word that ends with a sign
+#: or has one after it, or a prefix. It is no narrower than what `candidates` chooses.
+_ANY = "|".join([r"[A-Za-z0-9+/_=.-]{16}", _NAME + r"[^\x20\x09-\x0D]*[\x20\x09-\x0D]*[:=]", *PREFIXES.values()])
 _ASSIGNED = _NAME + r"[a-z0-9_-]*[\"']?[:=]+[\"']?"
 #: Where a value begins within a word: after a telling name, or after the user in a URL.
 _BEGINS = _ASSIGNED + r"|://[^\s/@:]*:(?=[^\s/@]+@)"
@@ -131,27 +132,63 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """`n` made-up findings of 20 kinds, half of them secrets; hash functions of the row number stand for keys."""
-    r = spark.range(n).withColumns({"h": F.sha2(F.col("id").cast("string"), 256), "k": (F.col("id") % 20).cast("int"), "p": F.pmod(F.xxhash64("id"), F.lit(7))})
-    b64 = F.regexp_replace(F.base64(F.unhex(F.substring("h", 1, 48))), "[^A-Za-z0-9]", "x")
-    upper = F.upper(F.substring("h", 5, 16))
-    name = F.element_at(F.array(*map(F.lit, NAMES)), F.pmod(F.xxhash64("h"), F.lit(len(NAMES))).cast("int") + 1)
-    sign = F.element_at(F.array(*map(F.lit, [" =", "=", ":", " :"])), (F.col("p") % 4).cast("int") + 1)
-    word = F.element_at(F.array(*map(F.lit, HARMLESS)), F.pmod(F.xxhash64("h"), F.lit(len(HARMLESS))).cast("int") + 1)
-    prose = F.element_at(F.array(F.lit("of the"), F.lit("und der"), F.lit("que la"), F.lit("in this"), F.lit("")), (F.col("p") % 5).cast("int") + 1)
-    parts = F.concat(*[F.element_at(F.array(*map(F.lit, DICTIONARY)), F.pmod(F.xxhash64("h", F.lit(k)), F.lit(len(DICTIONARY))).cast("int") + 1) for k in range(5)])
-    uuid = F.regexp_replace(F.substring("h", 1, 32), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    digits = F.substring(F.conv(F.substring("h", 1, 15), 16, 10), 1, 16)
-    named = F.concat_ws(" ", prose, F.concat(name, sign))
-    cases: list[tuple[Column, Column, int]] = [
-        (F.substring("h", 1, 40), named, 1), (F.upper(F.substring("h", 1, 40)), F.upper(named), 1), (F.substring("h", 1, 32), named, 1), (b64, named, 1), (F.concat(F.lit("AKIA"), upper), prose, 1),
-        (F.concat(F.lit("ghp_"), b64, F.substring("h", 1, 12)), prose, 1), (F.concat(F.lit("sk_live_"), F.substring(b64, 1, 24)), named, 1), (F.concat(F.substring(b64, 1, 9), F.lit("!7")), named, 1), (b64, F.concat_ws(" ", prose, F.lit("Authorization: Bearer")), 1), (F.lower("h"), named, 1),
-        (F.substring("h", 1, 40), F.concat_ws(" ", prose, word), 0), (F.substring("h", 1, 32), F.concat(word, sign), 0), (uuid, F.concat(word, sign), 0), (uuid, prose, 0), (F.concat(parts, F.lit("2")), prose, 0),
-        (F.concat(parts, F.lit("-"), F.substring("h", 1, 2), F.lit(".html")), prose, 0), (digits, prose, 0), (F.concat(F.lit("YOUR_"), F.upper(name), F.lit("_HERE1")), named, 0), (F.concat_ws("/", F.lit("https"), parts, digits), prose, 0), (parts, named, 0),
+    """`n` made-up findings, half of them secrets; hash functions of the row number stand for keys, and NOISE of the
+    labels are wrong, as those of people are."""
+    rows = spark.range(n).withColumns({"h": F.sha2(F.col("id").cast("string"), 256), "p": F.pmod(F.xxhash64("id"), F.lit(7))})
+
+    def drawn(words: list[str], salt: int = 0) -> Column:
+        return F.element_at(F.array(*map(F.lit, words)), F.pmod(F.xxhash64("h", F.lit(salt)), F.lit(len(words))).cast("int") + 1)
+
+    def hexes(first: int, count: int) -> Column:
+        return F.substring("h", first, count)
+
+    b64 = F.regexp_replace(F.base64(F.unhex(hexes(1, 48))), "[^A-Za-z0-9]", "x")
+    name, word, part = drawn(NAMES), drawn(HARMLESS), [drawn(DICTIONARY, k) for k in range(5)]
+    sign = drawn([" =", "=", ":", " :", '="', "='", '":"'], 11)
+    prose = drawn(["of the", "und der", "que la", "in this", "", "and set it to", "export"], 12)
+    own = drawn(["", "", "my_", "DB_", "x-", "aws_", "prod."], 13)
+    parts = F.concat(*part)
+    uuid = F.regexp_replace(hexes(1, 32), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    digits = F.substring(F.conv(hexes(1, 15), 16, 10), 1, 16)
+    two = F.substring(digits, 1, 2)
+    named = F.concat_ws(" ", prose, F.concat(own, name, drawn(["", "", "2", "_prod"], 14), sign))
+    harmless = F.concat_ws(" ", prose, F.concat(word, sign))
+    bearer = F.concat_ws(" ", prose, F.lit("Authorization: Bearer"))
+    login = F.concat(prose, F.lit(" postgres://"), part[0], F.lit(":"))
+    leet = F.translate(F.concat(part[0], part[1]), "aeio", "43i0")
+    secret = [
+        (hexes(1, 40), named), (F.upper(hexes(1, 40)), F.upper(named)), (hexes(1, 32), named), (F.lower("h"), named), (b64, named),
+        (F.substring(b64, 1, 20), named), (b64, bearer), (F.substring(b64, 1, 16), login),
+        (F.concat(F.lit("AKIA"), F.upper(hexes(5, 16))), prose), (F.concat(F.lit("ghp_"), b64, hexes(1, 12)), prose),
+        (F.concat(F.lit("sk_live_"), F.substring(b64, 1, 24)), named), (F.concat(F.lit("xoxb-"), digits, F.lit("-"), F.substring(b64, 1, 12)), prose),
+        (F.concat(F.lit("eyJ"), b64, F.lit("."), b64, F.lit("."), F.substring(b64, 1, 20)), bearer), (F.concat(F.substring(b64, 1, 9), F.lit("!7")), named),
+        (F.concat(part[0], part[1], two, F.substring(b64, 1, 1)), named), (F.concat(F.initcap(part[0]), F.initcap(part[1]), two, F.lit("!")), named),
+        (F.concat(leet, two), named), (F.concat_ws("-", part[0], part[1], part[2], two), named), (F.substring(b64, 1, 10), named),
     ]
-    pick = lambda j: F.element_at(F.array(*[F.lit(c[j]) if j == 2 else c[j] for c in cases]), F.col("k") + 1)
-    path = F.when((F.col("k") >= 10) & (F.col("p") == 3), "tests/fixtures").otherwise("src")
-    return r.select(pick(0).alias("value"), pick(1).alias("before"), prose.alias("after"), path.alias("path"), pick(2).cast("double").alias("label"))
+    not_secret = [
+        (hexes(1, 40), F.concat_ws(" ", prose, word)), (hexes(1, 32), harmless), (F.lower("h"), harmless), (uuid, harmless), (uuid, prose),
+        (F.concat(parts, F.lit("2")), prose), (F.concat(parts, F.lit("-"), hexes(1, 2), F.lit(".html")), prose), (digits, prose), (digits, harmless),
+        (F.concat(F.lit("YOUR_"), F.upper(name), F.lit("_HERE1")), named), (F.concat(F.lit("your-"), name, F.lit("-"), two), named),
+        (F.concat_ws("/", F.lit("https"), parts, digits), prose), (parts, named), (F.concat(part[0], part[1]), named),
+        (drawn(["required", "enabled", "disabled", "undefined", "optional", "forgotten", "********", "xxxxxxxxxxxx", "${TOKEN}", "changeme1", "example123"], 15), named),
+        (F.concat_ws("/", F.lit("src"), part[0], part[1], F.concat(parts, F.lit("2.java"))), prose),
+        (F.concat(F.lit("1."), two, F.lit(".3-beta."), two, F.lit("+build."), digits), harmless), (F.concat_ws("-", part[0], part[1], two, part[2], part[3]), prose),
+        (F.concat(F.lit("www."), parts, two, F.lit(".org/"), part[0]), prose),
+    ]
+
+    def chosen(cases: list[tuple[Column, Column]], j: int) -> Column:
+        return F.element_at(F.array(*[c[j] for c in cases]), (F.floor(F.col("id") / 2) % len(cases)).cast("int") + 1)
+
+    true = F.col("id") % 2 == 0
+    wrong = F.pmod(F.xxhash64("h", F.lit(16)), F.lit(1000)) < int(1000 * NOISE)
+    path = F.when(~true & (F.col("p") == 3), drawn(QUIET_PATHS, 17)).otherwise(drawn(["src", "etc", "web", "book", ""], 18))
+    return rows.select(
+        F.when(true, chosen(secret, 0)).otherwise(chosen(not_secret, 0)).alias("value"),
+        F.when(true, chosen(secret, 1)).otherwise(chosen(not_secret, 1)).alias("before"),
+        drawn(["of the", "und der", "que la", "in this", "", "for it", "# set"], 19).alias("after"),
+        path.alias("path"),
+        (true != wrong).cast("double").alias("label"),
+    )
 
 
 def fit(labelled: DataFrame) -> PipelineModel:
