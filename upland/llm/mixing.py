@@ -4,16 +4,17 @@ Each source has a target of words. Document rates w minimise the relative entrop
 constraint that the rates of a source's documents, times their sizes, sum to the target, and that no rate
 exceeds `most`. The solution is exponentially tilted, w = min(most, exp(l * size / mean size)), with one dual
 variable l for each source; the dual is convex and smooth, and Newton's method solves all sources at once. A
-step needs three sums for each source, taken over a histogram of (source, size), so the documents are
-aggregated once, whatever the number of steps; steps are guarded by bisection.
+step sums the constraint and its slope for each source in one distributed aggregate over a histogram of
+(source, size), so the documents are aggregated once, whatever the number of steps; steps are taken on the
+logarithm of the constraint, guarded by bisection, and end when all sources are within half a word.
 
 Rates are rounded to whole copies, floor(w + u + t), where u is a hash of the document and t shifts a whole
 source; t is the value whose total comes nearest to the target, found over BINS of t, and two repairs then
-move one document each by one copy. Reruns agree.
+move one document each by one copy. Rows of one doc_id and text are numbered, and the number enters u, so each
+of them is rounded on its own. Reruns agree.
 
 Null text has size 0, null source is a source of its own and comes last; documents of size 0 take nothing.
-Repeated rows of one doc_id and text are rounded alike. Columns beyond doc_id, text and source don't matter;
-an empty table gives no rows.
+Columns beyond doc_id, text and source don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from upland.llm.common import cut, keyed_join
 #: Weights of sources, in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 MOST = 3
-STEPS = 40
+STEPS = 60
+#: The dual variable of a source that is taken as often as allowed, and the bounds of all.
+FAR = 1e6
 BINS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,19 +40,39 @@ _KEY = "source_key"
 
 
 def with_size(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, source, source_key, size and the rounding hash u of every document; the text stays behind."""
+    """doc_id, source, source_key, size and a hash of doc_id and text of every document; the text stays behind."""
     key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce(F.col("source").cast("string"), F.lit("")))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit("mixing"), "doc_id", "text"), 11) / F.lit(float(1 << 53))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         key.alias(_KEY),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        u.alias("u"),
+        F.xxhash64(F.lit("mixing"), "doc_id", "text").alias("mark"),
         *more,
     )
 
 
+def with_draws(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """`rows` with u, uniform in [0, 1), for mark; `repeated` has the marks of more than one row.
+
+    Equal rows are numbered within the partition they are read in, and numbers go on from partition to partition,
+    so a task numbers no more than what one has read. It doesn't matter which of them has which number."""
+
+    def draw(number: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.col("mark"), number), 11) / F.lit(float(1 << 53))
+
+    if repeated.isEmpty():
+        return rows.withColumn("u", draw(F.lit(0).cast("long"))).drop("mark")
+    alone = keyed_join(rows, repeated, ["mark"], "left_anti").withColumn("u", draw(F.lit(0).cast("long")))
+    many = keyed_join(rows.withColumn("part", F.spark_partition_id()), repeated, ["mark"], "left_semi")
+    before = F.sum("n").over(Window.partitionBy("mark").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = many.groupBy("mark", "part").agg(F.count(F.lit(1)).alias("n"))  # at most one row a partition
+    bases = counts.select("mark", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("mark", "part").orderBy(_KEY)) - 1
+    numbered = many.withColumn("place", place).join(bases, ["mark", "part"]).withColumn("u", draw(F.col("base") + F.col("place")))
+    return alone.drop("mark").unionByName(numbered.drop("mark", "part", "place", "base"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source_key, source_size and target, from a row for each source (source_key, source_size).
 
@@ -76,39 +99,47 @@ def rate(dual: Column, size: Column, mean: Column, most: int = MOST) -> Column:
 def duals(histogram: DataFrame, wanted: DataFrame, most: int = MOST, steps: int = STEPS) -> DataFrame:
     """source_key, source_size, target, mean and dual of each source.
 
-    `histogram` has n documents for each source_key and size. Its rows of a source, at most one for each size,
-    are folded into an array of (size, n), on which the Newton steps run as one expression."""
-    bars = (
-        histogram.filter("size > 0")
-        .groupBy(_KEY)
-        .agg(F.sum("n").alias("docs"), F.collect_list(F.struct(F.col("size").cast("double").alias("size"), F.col("n").cast("double").alias("n"))).alias("bars"))
-        .join(wanted, _KEY)
-        .withColumn("mean", F.col("source_size") / F.col("docs"))
-        .withColumn("bars", F.array_sort("bars"))
-    )
-
-    def step(state: Column, _: Column) -> Column:
-        def add(sums: Column, bar: Column) -> Column:
-            w = rate(state["dual"], bar["size"], F.col("mean"), most)
-            mass = w * bar["size"] * bar["n"]
-            slope = F.when(w < most, mass * bar["size"] / F.col("mean")).otherwise(0.0)
-            return F.struct((sums["total"] + mass).alias("total"), (sums["slope"] + slope).alias("slope"))
-
-        sums = F.aggregate("bars", F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("slope")), add)
-
-        def moved(s: Column) -> Column:
-            gap = s["total"] - F.col("target")
-            low, high = F.when(gap < 0, state["dual"]).otherwise(state["low"]), F.when(gap > 0, state["dual"]).otherwise(state["high"])
-            newton = state["dual"] - gap / s["slope"]
-            inside = (s["slope"] > 0) & (newton > low) & (newton < high)
-            return F.struct(F.when(gap == 0, state["dual"]).when(inside, newton).otherwise((low + high) / 2).alias("dual"), low.alias("low"), high.alias("high"))
-
-        return F.element_at(F.transform(F.array(sums), moved), 1)
-
-    start = F.struct(F.lit(0.0).alias("dual"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    `histogram` has n documents for each source_key and size. A step is one aggregate over it, by source; what
+    goes from step to step is a row for each source."""
+    bars = cut(histogram.filter("size > 0"), "mix-histogram")
+    means = bars.groupBy(_KEY).agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     full = F.col("target") >= F.lit(most) * F.col("source_size")
-    return bars.select(_KEY, "source_size", "target", "mean", F.when(full, 1e6).otherwise(solved["dual"]).alias("dual"))
+    start = F.when(full, F.lit(FAR)).otherwise(F.log(F.col("target") / F.col("source_size")))
+    state = wanted.join(means, _KEY).withColumns({"dual": start, "low": F.lit(-FAR), "high": F.lit(FAR), "open": ~full})
+    state = cut(state, "mix-newton")
+    for _ in range(steps):
+        if state.filter("open").isEmpty():
+            break
+        size = F.col("size").cast("double")
+        w = rate(F.col("dual"), size, F.col("mean"), most)
+        weighed = keyed_join(bars, state.filter("open").select(_KEY, "dual", "mean"), [_KEY], "inner").withColumn("w", w)
+        mass = F.col("w") * size * F.col("n")
+        slope = F.when(F.col("w") < most, mass * size / F.col("mean")).otherwise(0.0)
+        sums = weighed.groupBy(_KEY).agg(F.sum(mass).alias("total"), F.sum(slope).alias("slope"))
+        state = cut(_stepped(state.join(sums, _KEY, "left")), "mix-newton")
+    return state.select(_KEY, "source_size", "target", "mean", "dual")
+
+
+def _stepped(state: DataFrame) -> DataFrame:
+    """One guarded Newton step of each open source; null sums leave a source as it is."""
+    gap = F.col("total") - F.col("target")
+    low = F.when(gap < 0, F.col("dual")).otherwise(F.col("low"))
+    high = F.when(gap > 0, F.col("dual")).otherwise(F.col("high"))
+    newton = F.col("dual") - F.log(F.col("total") / F.col("target")) * F.col("total") / F.col("slope")
+    inside = (F.col("slope") > 0) & (newton > low) & (newton < high)
+    settled = (F.abs(gap) <= 0.5) | (high - low < 1e-12)
+    moved = F.when(settled, F.col("dual")).when(inside, newton).otherwise((low + high) / 2)
+    going = F.col("open") & F.col("total").isNotNull()
+    return state.select(
+        _KEY,
+        "source_size",
+        "target",
+        "mean",
+        F.when(going, moved).otherwise(F.col("dual")).alias("dual"),
+        F.when(going, low).otherwise(F.col("low")).alias("low"),
+        F.when(going, high).otherwise(F.col("high")).alias("high"),
+        (going & ~settled).alias("open"),
+    )
 
 
 def _shifts(rated: DataFrame, most: int) -> DataFrame:
@@ -166,19 +197,30 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     return out
 
 
+def _sized(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A written table of the documents' numbers, and the marks of more than one row."""
+    sized = cut(with_size(docs), "mix-sizes")
+    repeated = sized.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
+    return sized, cut(repeated, "mix-repeated")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies and taken of every document.
 
     The text is read once, to count words; what follows works on a written table of a few numbers a row. All
     shuffles carry partial sums by source, size or bin, so a hot source is no hot task."""
-    sized = cut(with_size(docs), "mix-sizes")
-    rows = _taken(sized, plan(sized, **options), options.get("most", MOST))
-    return rows.select("doc_id", "size", "source_size", "target", F.col("w").alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    drawn = with_draws(*_sized(docs))
+    rows = _taken(drawn, plan(drawn, **options), options.get("most", MOST))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return rows.select("doc_id", "size", "source_size", "target", F.col("w").alias("rate"), "copies", taken)
 
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
-    """The documents, each as often as the mix takes it, with their columns as they are; the texts aren't shuffled."""
-    sized = cut(with_size(docs), "mix-sizes")
+    """The documents, each as often as the mix takes it, with their columns as they are; only the texts of rows that
+    are equal in doc_id and text are shuffled."""
+    sized, repeated = _sized(docs)
     own = F.struct(*docs.columns).alias("document")
-    rows = _taken(with_size(docs, own), plan(sized, **options), options.get("most", MOST))
-    return rows.filter("copies > 0").select("document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("document.*")
+    drawn = with_draws(with_size(docs, own), repeated)
+    rows = _taken(drawn, plan(with_draws(sized, repeated), **options), options.get("most", MOST))
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return rows.filter("copies > 0").select("document", times).select("document.*")
