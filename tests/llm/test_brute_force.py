@@ -69,15 +69,80 @@ def test_quality_order_is_by_rejections_per_cost(spark, sf_dir):
     assert sorted(quality.order_rules(sample, quality.rules())) == sorted(quality.rules())
 
 
+def plain_alignment(a, b):
+    """Smith-Waterman cell by cell along the item, by whole rows of the text."""
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(1, len(a) + 1):
+        h[i, 1:] = np.maximum(h[i - 1, :-1] + np.where(b == a[i - 1], decontam.MATCH, decontam.MISMATCH), np.maximum(h[i - 1, 1:] + decontam.GAP, 0))
+        for j in np.flatnonzero(h[i, :-1] > -decontam.GAP):
+            k = j
+            while k < len(b) and h[i, k] + decontam.GAP > h[i, k + 1]:
+                h[i, k + 1] = h[i, k] + decontam.GAP
+                k += 1
+    return h.max()
+
+
 def test_alignment_against_plain_smith_waterman():
     rng = np.random.default_rng(5)
-    for _ in range(60):
+    for _ in range(200):
         a, b = rng.integers(0, 4, rng.integers(1, 12)), rng.integers(0, 4, rng.integers(1, 20))
         h = np.zeros((len(a) + 1, len(b) + 1), int)
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
                 h[i, j] = max(0, h[i - 1, j - 1] + (decontam.MATCH if a[i - 1] == b[j - 1] else decontam.MISMATCH), h[i - 1, j] + decontam.GAP, h[i, j - 1] + decontam.GAP)
-        assert decontam.align(a, b)[0] == pytest.approx(h.max() / (decontam.MATCH * len(a)))
+        score, matched, first, last = decontam.align(a, b)
+        assert score == pytest.approx(h.max() / (decontam.MATCH * len(a))) and plain_alignment(a, b) == h.max()
+        assert matched <= last - first and decontam.align(a, b[first:last])[:2] == (score, matched)  # the range holds it all
+    assert decontam.align(np.arange(5), np.array([9, 0, 1, 8, 3, 4, 9])) == (0.7, 4, 1, 6)
+
+
+def test_decontamination_query_against_every_pair(spark, sf_dir, documents):
+    words = lambda t: np.array([hash(x) for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())])
+    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    want = {}
+    for i, d in documents.items():
+        text = words(d.text)
+        for k, item in items.items():
+            if len(np.intersect1d(item, text)) >= 0.4 * min(len(item), 2 * decontam.PASSAGE):
+                score = plain_alignment(item, text) / (decontam.MATCH * len(item))
+                if score >= decontam.THRESHOLD:
+                    want[i, k] = score
+    rows = registry.QUERIES["op3_decontamination"](spark, sf_dir).collect()
+    assert len(rows) == len(want) and {(r.doc_id, r.item_id): r.score for r in rows} == pytest.approx(want) and want
+
+
+def test_template_shared_by_items_is_no_seed(spark):
+    random.seed(7)
+    template = "choose the best answer to the question below and explain it in a few words of your own"
+    items = [(k, f"{template} " + " ".join(f"q{random.randrange(10**6)}" for _ in range(12))) for k in range(300)]
+    docs = [(k, " ".join(f"d{random.randrange(10**6)}" for _ in range(50)) + f" {template}") for k in range(60)] + [(1000 + k, f"so {items[k][1]} x") for k in range(3)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    calls = []
+    ids, texts = next(decontam.slices(items))
+    seeds = decontam.seeds_of(docs, ids, texts).value
+    align = decontam.align
+    decontam.align = lambda *x: calls.append(1) or align(*x)
+    try:
+        found = list(decontam.matches(seeds, 0.4, pa.array([r.text for r in docs.orderBy("doc_id").collect()])))
+    finally:
+        decontam.align = align
+    assert {(m[0], m[1]) for m in found} == {(60 + k, k) for k in range(3)} and len(calls) <= 10
+    rows = decontam.contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1000 + k, k) for k in range(3)}
+
+
+def test_item_of_20000_words_and_item_in_many_documents(spark):
+    random.seed(11)
+    long = [f"w{random.randrange(10**5)}" for _ in range(20000)]
+    hot = [f"h{k}" for k in range(30)]
+    other = lambda n: " ".join(f"x{random.randrange(10**6)}" for _ in range(n))
+    docs = [(k, f"{other(40)} {' '.join(hot[: 12 + k % 19])} {other(20)}") for k in range(100, 300)]
+    docs += [(1, " ".join(long)), (2, f"{other(30)} {' '.join(long[7000:7080])} {other(30)}"), (3, other(5000)), (4, " ".join(long[3:15])), (5, " ".join(long[5000:9000]))]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(long)), (2, " ".join(hot)), (2, " ".join(hot))], "item_id long, text string")
+    rows = decontam.contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(k, 2) for k in range(100, 300)} | {(1, 1), (2, 1), (5, 1)}
+    assert Counter(r.item_id for r in rows) == {1: 3, 2: 400}  # a repeated item gives each result again
+    assert {r.doc_id for r in decontam.keep_clean(docs, items).collect()} == {3, 4}
 
 
 def test_edited_copies_are_found(spark):
@@ -100,19 +165,54 @@ def test_edited_copies_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in rows} == want
 
 
-def test_lm_base_scores(spark, sf_dir, documents):
-    got = result(spark, sf_dir, "op4_lm_scores")
-    words = {i: SPACE_WORDS.findall(d.text.translate(LOWER)) for i, d in documents.items()}
+def word_hash(word):
+    data, offsets = brown.tk.buffers(pa.array([word]))
+    return int(brown.tk.words(data, offsets, 0, 1).hash[0].astype(np.int64))
+
+
+@pytest.mark.parametrize("options", [{}, {"words": 50, "head_words": 300, "classes": 8, "least": 3}, {"words": 20, "head_words": 10, "classes": 5, "least": 2}])
+def test_lm_scores_against_a_plain_class_bigram(spark, sf_dir, documents, options):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r for r in (brown.score(docs, **options) if options else registry.QUERIES["op4_lm_scores"](spark, sf_dir)).collect()}
+    words = {i: SPACE_WORDS.findall((d.text or "").translate(LOWER)) for i, d in documents.items()}
     train = [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2]
     c = Counter(w for i in train for w in words[i])
     n, v = sum(c.values()) + len(train), len(c) + 1
+
+    learnt = brown.learn(docs.filter(~brown.is_held_out()), **options)
+    own = {int(w): int(k) for w, k in zip(learnt.head.word.view(np.int64), learnt.head.own, strict=True)}
+    own |= {r["word"]: r["class"] for r in learnt.tail.collect() if r["class"] is not None}
+    rare, end = learnt.head.rare, learnt.head.end
+    kind = {w: own.get(word_hash(w), rare) for w in {w for x in words.values() for w in x}}
+    assert all((kind[w] != rare) == (n >= options.get("least", brown.LEAST)) or w in kind for w, n in c.items())
+    assert all(kind[w] != rare for w, n in c.items() if n >= options.get("least", brown.LEAST))
+    chains = {i: [end, *(kind[w] for w in words[i]), end] for i in words}
+    pairs = Counter(p for i in train for p in zip(chains[i], chains[i][1:], strict=False))
+    before = Counter(a for (a, _), k in pairs.items() for _ in range(k))
+    tokens = Counter(kind[w] for i in train for w in words[i])
+    kinds = Counter(kind[w] for w in c)
+
     for i, w in words.items():
         want = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
         assert got[i].base_score == pytest.approx(want) and got[i].n_known == sum(x in c for x in w) + 1 and got[i].train_tokens == n and got[i].n_tokens == len(w) + 1
+        model = sum(math.log10((pairs[p] + brown.ADD) / (before[p[0]] + brown.ADD * (end + 1))) for p in zip(chains[i], chains[i][1:], strict=False))
+        model += sum(math.log10((c[x] + 1) / (tokens[rare] + kinds[rare] + 1)) if kind[x] == rare else math.log10(c[x] / tokens[kind[x]]) for x in w)
+        assert got[i].score == pytest.approx(model), i
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_words_join_the_class_of_their_neighbours(spark):
+    """Words too rare for the exchange take the class of the words that stand where they do."""
+    random.seed(2)
+    animals, verbs = [f"animal{k}" for k in range(10)], [f"verb{k}" for k in range(10)]
+    lines = [f"the {random.choice(animals)} {random.choice(verbs)} it" for _ in range(3000)] + ["the newt verb1 it", "the animal2 swims it"] * 6
+    train = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    learnt = brown.learn(train, words=22, classes=4)
+    own = {int(w): int(k) for w, k in zip(learnt.head.word.view(np.int64), learnt.head.own, strict=True)}
+    assert own[word_hash("newt")] == own[word_hash("animal1")] != own[word_hash("swims")] == own[word_hash("verb1")]
+
+
 def test_exchange_reaches_a_local_optimum():
     rng = np.random.default_rng(0)
     n = 12
@@ -201,6 +301,35 @@ def test_mix_targets_and_totals(spark):
     assert mixing.repeat(docs).count() == sum(r.copies for r in got)
 
 
+def test_rates_solve_the_dual(spark):
+    """Each source's rates are the tilted ones whose total, found by bisection, is its target."""
+    random.seed(9)
+    rows = [(i, " ".join(["w"] * random.choice([1, 3, 10, 90, 400, 2500])), random.choice("aaaaabbc")) for i in range(2000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source = {i: s for i, _, s in rows}
+    for name in "abc":
+        own = [r for r in got if source[r.doc_id] == name]
+        sizes, target = np.array([r.size for r in own], float), own[0].target
+        low, high = -1e5, 1e5
+        for _ in range(200):
+            mid = (low + high) / 2
+            total = (sizes * np.minimum(3, np.exp(np.minimum(50, mid * sizes / sizes.mean())))).sum()
+            low, high = (mid, high) if total < target else (low, mid)
+        want = np.minimum(3, np.exp(np.minimum(50, high * sizes / sizes.mean())))
+        assert np.abs(np.array([r.rate for r in own]) - want).max() < 1e-3 or target >= 3 * sizes.sum()
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_equal_rows_are_rounded_each(spark, parts):
+    rows = [(5, "w " * 100, "a")] * 50 + [(k, "w " * 1000, "b") for k in range(25)] + [(k, "w " * 1000, "c") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+    got = mixing.mix(docs).collect()
+    for size, where in ((100, lambda r: r.size == 100),):
+        own = [r for r in got if where(r)]
+        assert len(own) == 50 and abs(sum(r.taken for r in own) - own[0].target) <= size
+    assert mixing.repeat(docs).filter("source = 'a'").count() == sum(r.copies for r in got if r.size == 100)
+
+
 def test_language_accuracy(spark, sf_dir, documents):
     got = [r for r in result(spark, sf_dir, "op7_language_id").values() if r.held_out]
     assert sum(r.lang_pred == documents[r.doc_id].lang for r in got) >= 0.95 * len(got)

@@ -21,6 +21,8 @@ OPERATORS = {
     "tokenbin": tokenbin.encode_documents, "secrets": secrets.scan,
 }
 ONE_ROW_EACH = set(OPERATORS) - {"secrets"}
+#: What equal rows needn't have in common: their place in the files, and whole copies rounded from one rate.
+OF_EACH_ROW = ("start", "copies", "taken")
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +37,8 @@ def test_odd_rows(name, docs):
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((r[0] is None, r[0] or 0) for r in ROWS)
         ones = [r.asDict() for r in rows if r.doc_id == 1]
         for r in ones:
-            r.pop("start", None)
+            for own in OF_EACH_ROW:
+                r.pop(own, None)
         assert ones[0] == ones[1]
     else:
         assert {r.doc_id for r in rows} == {7}
