@@ -94,6 +94,13 @@ def attribute(df: DataFrame, signals: list[str], trees: int = 200, top: int = 3)
     return named.withColumns({f"top{k + 1}": F.get("tops", k) for k in range(top)}).drop("tops")
 
 
+def guarded_names(df: DataFrame, name: str, rule: str) -> DataFrame:
+    """Clusters that bear fewer than two names say nothing; then each row takes its rule's name."""
+    if df.select(name).distinct().limit(2).count() < 2:
+        return df.withColumn(name, F.col(rule))
+    return df
+
+
 def fit_scaler(rows: DataFrame, signals: list[str]) -> DataFrame:
     stages = [VectorAssembler(inputCols=[f"{s}_full" for s in signals], outputCol="raw"), RobustScaler(inputCol="raw", outputCol="features")]
     return Pipeline(stages=stages).fit(rows).transform(rows)

@@ -72,6 +72,32 @@ def uncertainty(df: DataFrame, signals: list[str]) -> DataFrame:
     return rows.withColumns({"signals_attempted": F.lit(len(tried)), "confidence_score": F.round(F.col("signals_active") / len(tried) * 100, 1), "inter_signal_agreement": F.round(agreement * 100, 1)})
 
 
+def unnamed(c: Column) -> Column:
+    """Whether a name is a stand-in made of the entity's number, or missing."""
+    return F.coalesce(c.rlike(r"^Village_\d+$"), F.lit(True))
+
+
+def with_deltas(df: DataFrame, signals: tuple[str, ...] = ("ndbi", "ndvi", "s1_vv")) -> DataFrame:
+    """Change of each index from the first to the last year, null where the table lacks the index; radar's is called a
+    delta, the others a growth."""
+    def one(s: str) -> Column:
+        both = {f"{s}_2019", f"{s}_2024"} <= set(df.columns)
+        return F.col(f"{s}_2024") - F.col(f"{s}_2019") if both else F.lit(None).cast("double")
+
+    return df.withColumns({f"{s}_delta" if s == "s1_vv" else f"{s}_growth": one(s) for s in signals})
+
+
+def with_district_access(rows: DataFrame, survey: DataFrame | None, states: DataFrame) -> DataFrame:
+    """`rows` with `access`: the survey's mean over (state, district), names normalised on both sides; without a
+    survey, or with one that lacks a column, the state's own figure."""
+    if survey is not None and {"state", "district", "access"} <= set(survey.columns):
+        keys = [label_key(F.col("state")).alias("state_key"), label_key(F.col("district")).alias("district_key")]
+        means = survey.groupBy(*keys).agg(F.avg("access").alias("access"))
+        own = {"state_key": label_key(F.col("state_name")), "district_key": label_key(F.coalesce("district_name", F.lit("")))}
+        return rows.withColumns(own).join(means, ["state_key", "district_key"], "left").drop("state_key", "district_key")
+    return rows.join(states.select("state_name", "access"), "state_name", "left")
+
+
 def blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))).isin("", "nan", "None")
 

@@ -13,7 +13,7 @@ def present(df: DataFrame, columns: list[str] = COLUMNS) -> DataFrame:
     return df.select([c for c in columns if c in df.columns])
 
 
-def listing(df: DataFrame, *, state: str | None = None, district: str | None = None, archetype: str | None = None, confirmed: bool | None = None, min_score: float | None = None, max_rank: int | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+def listing(df: DataFrame, *, state: str | None = None, district: str | None = None, archetype: str | None = None, confirmed: bool | None = None, min_score: float | None = None, max_rank: int | None = None, offset: int = 0, limit: int | None = 50) -> DataFrame:
     """A page of the rows that pass all filters, by rank; names match anywhere, whatever their case, never as patterns."""
     for column, text in (("state_name", state), ("district_name", district), ("archetype_name", archetype)):
         if text is not None:
@@ -24,7 +24,24 @@ def listing(df: DataFrame, *, state: str | None = None, district: str | None = N
         df = df.filter(F.col("composite_score") >= min_score)
     if max_rank is not None:
         df = df.filter(F.col("rank") <= max_rank)
-    return present(df.orderBy("rank").offset(offset).limit(limit))
+    return present(df if limit is None else df.orderBy("rank").offset(offset).limit(limit))
+
+
+def page_with_total(df: DataFrame, offset: int = 0, limit: int = 50, **filters) -> DataFrame:
+    """A page, each row with the number of rows that pass the filters."""
+    whole = listing(df, offset=0, limit=None, **filters)
+    total = whole.agg(F.count(F.lit(1)).alias("total"))
+    return whole.orderBy("rank").offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
+
+
+def health(shortlist: DataFrame) -> DataFrame:
+    """One row: the service's state, and the size and head of the shortlist."""
+    return shortlist.agg(
+        F.lit("ok").alias("status"),
+        F.count(F.lit(1)).alias("entities"),
+        F.min_by("village_name", "rank").alias("top_village"),
+        F.min_by("state_name", "rank").alias("top_state"),
+    )
 
 
 def by_id(df: DataFrame, key: str, forecasts: DataFrame | None = None) -> DataFrame:
@@ -38,7 +55,9 @@ def states(df: DataFrame) -> DataFrame:
 
 
 def archetypes(df: DataFrame) -> DataFrame:
-    return df.groupBy("archetype_name").agg(F.count(F.lit(1)).alias("n"), F.avg("composite_score").alias("mean_score"))
+    """Entities and mean score of each archetype, the most common first."""
+    out = df.groupBy("archetype_name").agg(F.count(F.lit(1)).alias("n"), F.avg("composite_score").alias("mean_score"))
+    return out.orderBy(F.desc("n"), "archetype_name")
 
 
 def figures(df: DataFrame) -> DataFrame:

@@ -88,12 +88,33 @@ def in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> Da
     return at.join(dealt, ["cell_r", "cell_c"]).filter(sp.inside(F.col("longitude"), F.col("latitude"), F.col("edges"))).select("id", "name")
 
 
+def fill_blank(points: DataFrame, polygons: DataFrame, column: str, is_blank: Column) -> DataFrame:
+    """`column` of the blank rows from the first polygon that holds them; other rows meet no polygon and stay."""
+    todo = points.filter(is_blank)
+    held = in_polygons(todo, polygons).groupBy("id").agg(F.min("name").alias("name"))
+    return points.join(held, "id", "left").withColumn(column, F.coalesce("name", F.when(~is_blank, F.col(column)))).drop("name")
+
+
 def first_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Every point with the first polygon that holds it, by name, or null."""
     held = in_polygons(points, polygons).groupBy("id").agg(F.min("name").alias("name"))
     return points.join(held, "id", "left")
 
 
+def metre_pairs(points: DataFrame, metres: float, latitude: float = 20.0) -> DataFrame:
+    """a < b of points at most `metres` apart on a plane true at one latitude."""
+    flat = points.select("id", "latitude", (F.col("longitude") * math.cos(math.radians(latitude))).alias("longitude"))
+    pairs = within_radius(flat, flat, metres / 111_000.0).filter("l_id < r_id")
+    return pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+
+
+def planar_nearest_km(points: DataFrame, others: DataFrame) -> DataFrame:
+    """id, other_id and km to the nearest other on a plane true at the points' mean latitude."""
+    middle = points.agg(F.avg("latitude")).first()[0] or 0.0
+    shrink = lambda df: df.withColumn("longitude", F.col("longitude") * F.lit(math.cos(math.radians(middle))))
+    return nearest(shrink(points), shrink(others), 1).select("id", "other_id", (F.sqrt("d2") * 111.0).alias("km"))
+
+
 def named_pairs(points: DataFrame, name: Column, radius_km: float) -> DataFrame:
     """a < b and km of points of one non-blank name at most `radius_km` apart on the sphere.
 

@@ -108,6 +108,28 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return rows.agg((above / F.nullif(positive * (n - positive), F.lit(0.0))).alias("auc"))
 
 
+def base_rank(df: DataFrame, score: str, out: str = "base_rank") -> DataFrame:
+    """Rank by descending score, ties averaged, cut to whole numbers; null scores come last."""
+    rows = ranks.with_pct_ranks(df.withColumn("negated_score", -F.col(score)), {"negated_score": "pct"})
+    total = rows.agg(F.count(F.lit(1)).alias("rows_of_table"))
+    rank = F.floor(F.round(F.col("pct") * F.col("rows_of_table") / 100.0, 3)).cast("long")
+    return rows.crossJoin(F.broadcast(total)).withColumn(out, rank).drop("negated_score", "pct", "rows_of_table")  # one row
+
+
+def contract(df: DataFrame, rows: int, coverage: dict[str, float], most: dict[str, float]) -> DataFrame:
+    """check_name, found, bound and passed of each check, from one aggregate over the table."""
+    one = df.agg(
+        F.count(F.lit(1)).cast("double").alias("rows"),
+        *[F.round(F.avg(F.col(c).isNotNull().cast("double")), 6).alias(f"share of {c}") for c in coverage],
+        *[F.round(F.max(c), 6).alias(f"most of {c}") for c in most],
+    )
+    bounds = {"rows": float(rows)} | {f"share of {c}": v for c, v in coverage.items()} | {f"most of {c}": v for c, v in most.items()}
+    long = one.unpivot([], list(bounds), "check_name", "found")
+    bound = F.element_at(F.create_map(*[F.lit(x) for k, v in bounds.items() for x in (k, float(v))]), F.col("check_name"))
+    passed = F.when(F.col("check_name").startswith("most of"), F.col("found") <= F.col("bound")).otherwise(F.col("found") >= F.col("bound"))
+    return long.withColumn("bound", bound).withColumn("passed", F.coalesce(passed, F.lit(False)))
+
+
 def check_contract(df: DataFrame, required: list[str], rows: int, coverage: dict[str, float], most: dict[str, float]) -> list[str]:
     """What a table lacks: columns, rows, shares of non-null values, upper bounds; one aggregate over it."""
     missing = [c for c in required if c not in df.columns]

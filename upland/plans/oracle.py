@@ -18,6 +18,13 @@ CHANGES = """b20 AS (SELECT l_partkey AS id, avg(CASE WHEN l_returnflag = 'R' TH
   built AS (SELECT coalesce(b20.id, b21.id) AS id, built_2020, built_2021, built_2021 - built_2020 AS builtup_change FROM b20 FULL JOIN b21 ON b20.id = b21.id),
   ghsl AS (SELECT l_partkey AS id, sum(CASE WHEN year(l_shipdate) = 1995 THEN l_quantity END) AS ghsl_2015, sum(CASE WHEN year(l_shipdate) = 2000 THEN l_quantity END) AS ghsl_2020
     FROM lineitem WHERE l_linestatus = 'O' AND year(l_shipdate) IN (1995, 2000) GROUP BY 1)"""
+POPULATION = """population AS (SELECT *, CASE WHEN pop_2019 > 0 THEN (pop_2020 - pop_2019) / pop_2019 END AS pop_growth_rate FROM (SELECT l_partkey AS id,
+  sum(CASE WHEN year(l_shipdate) = 1996 THEN l_quantity END) AS pop_2019, sum(CASE WHEN year(l_shipdate) = 1997 THEN l_quantity END) AS pop_2020
+  FROM lineitem WHERE year(l_shipdate) IN (1996, 1997) GROUP BY 1))"""
+_INDEXED = ", ".join(f"max(CASE WHEN yr = {y} THEN {s} END) AS {s}_{y}" for s in ("ndbi", "ndvi") for y in YEARS)
+INDICES = f"""yearly AS (SELECT l_partkey AS id, year(l_shipdate) + 24 AS yr, sum(CAST(round(l_discount * 100) AS BIGINT)) / count(*) / 100.0::DOUBLE AS ndbi,
+  sum(CAST(round(l_tax * 100) AS BIGINT)) / count(*) / 100.0::DOUBLE AS ndvi FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2000 GROUP BY 1, 2),
+  indices AS (SELECT id, {_INDEXED} FROM yearly GROUP BY id)"""
 PANEL = f"""{ENTITY}, {DENSE}, {CHANGES}, panel AS (SELECT e.*, d.* EXCLUDE (id), b.* EXCLUDE (id), g.* EXCLUDE (id), ghsl_2020 - ghsl_2015 AS ghsl_change
   FROM entity e LEFT JOIN dense d ON e.id = d.id LEFT JOIN built b ON e.id = b.id LEFT JOIN ghsl g ON e.id = g.id)"""
 PCT = "CASE WHEN ntl_2019 > 0 THEN (ntl_2024 - ntl_2019) / ntl_2019 * 100.0 END"

@@ -75,11 +75,7 @@ def json_tags_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonsource.props(src.table(spark, sf_dir, "events")).groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
-def json_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jsonsource.elements(spark.createDataFrame([(jsonsource.SAMPLE,)], "body string"))
-
-
-QUERIES = {f.__name__: f for f in (api_list_page, api_by_id, states_rollup, archetype_rollup, kpi_row, score_histogram, state_counts, long_melt, top10_per_year, signal_presence, score_components, coverage_report, json_tags_parse, json_elements)}
+QUERIES = {f.__name__: f for f in (api_list_page, api_by_id, states_rollup, archetype_rollup, kpi_row, score_histogram, state_counts, long_melt, top10_per_year, signal_presence, score_components, coverage_report, json_tags_parse)}
 
 _RANKED = f"{o.SCORED}, ranked AS (SELECT *, row_number() OVER (ORDER BY {o.ORDER}) AS rank FROM scored)"
 
@@ -106,5 +102,4 @@ ORACLE_SQL = {
     "score_components": f"WITH {o.SCORED}, {o.TOP} SELECT id, 'ntl_growth_log_score' AS part, round(ntl_growth_log_score * (0.30::DOUBLE / 0.45::DOUBLE), 6) AS points FROM top UNION ALL SELECT id, 'ghsl_change_score', round(ghsl_change_score * (0.15::DOUBLE / 0.45::DOUBLE), 6) FROM top",
     "coverage_report": f"WITH {o.GROWN} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg(({c} IS NOT NULL)::INT), 6) AS share FROM grown" for c in _COVERED),
     "json_tags_parse": "SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2",
-    "json_elements": "SELECT * FROM (VALUES (1::BIGINT, 'Alpha', 'Karnataka', 12.5::DOUBLE, 77.25::DOUBLE, 3), (2, 'Beta-local', '', 13.0, 78.0, 2), (3, '', '', 14.0, 79.0, 0)) t(id, name, state, lat, lon, n_tags)",
 }

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType, StructType
 
 
+#: Media types of uploaded files (fixed values).
+CONTENT_TYPES = {"csv": "text/csv", "json": "application/json", "html": "text/html", "tif": "image/tiff", "png": "image/png"}
+
+
 def without_nan(df: DataFrame) -> DataFrame:
     """NaN, and strings that stand for a missing value, become null; every source does this."""
     def clean(f):
@@ -40,6 +44,15 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def content_type(path: Column) -> Column:
+    """The media type of a file by the ending of its name."""
+    ending = F.lower(F.substring_index(path, ".", -1))
+    out = F.lit("application/octet-stream")
+    for name, kind in CONTENT_TYPES.items():
+        out = F.when(ending == name, kind).otherwise(out)
+    return out
+
+
 def empty_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add the columns that a missing optional table would have brought, as nulls of the given types."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})

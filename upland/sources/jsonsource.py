@@ -21,6 +21,19 @@ def elements(documents: DataFrame, body: str = "body") -> DataFrame:
     return e.select("e.id", first_tag(tags, "name", "name:en", "name:hi").alias("name"), first_tag(tags, "is_in:state", "addr:state").alias("state"), "e.lat", "e.lon", F.coalesce(F.size(tags), F.lit(0)).cast("int").alias("n_tags")).withColumn("n_tags", F.greatest("n_tags", F.lit(0)))
 
 
+def towers(documents: DataFrame, body: str = "body") -> DataFrame:
+    """One row for each tower; a tower without a type is of type unknown."""
+    e = documents.select(F.explode(F.from_json(body, ELEMENTS)["elements"]).alias("e"))
+    kind = F.coalesce(F.try_element_at(F.col("e.tags"), F.lit("tower:type")), F.lit("unknown"))
+    return e.select("e.id", "e.lat", "e.lon", kind.alias("tower_type"))
+
+
+def bodies(rows: DataFrame, group: str, element: Column) -> DataFrame:
+    """A document of elements for each value of `group`, as a service answers for a region."""
+    answer = F.to_json(F.struct(F.collect_list(element).alias("elements")))
+    return rows.groupBy(group).agg(answer.alias("body"))
+
+
 def every_nth_vertex(documents: DataFrame, body: str = "body", n: int = 5) -> DataFrame:
     """Every n-th vertex of the elements' geometries."""
     e = documents.select(F.explode(F.from_json(body, ELEMENTS)["elements"]).alias("e"))

@@ -74,6 +74,24 @@ def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.col("year").isin(1995, 2000)).groupBy("id").agg(one(1995, "ghsl_2015"), one(2000, "ghsl_2020"))
 
 
+def population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, population of two years and its rate of growth; whole numbers stand for people."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.year("l_shipdate").alias("year"), "l_quantity")
+    one = lambda y, name: F.sum(F.when(F.col("year") == y, F.col("l_quantity"))).alias(name)
+    both = rows.filter(F.col("year").isin(1996, 1997)).groupBy("id").agg(one(1996, "pop_2019"), one(1997, "pop_2020"))
+    return both.withColumn("pop_growth_rate", F.when(F.col("pop_2019") > 0, (F.col("pop_2020") - F.col("pop_2019")) / F.col("pop_2019")))
+
+
+def index_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and six years of two indices, means of whole hundredths."""
+    year = (F.year("l_shipdate") + 24).alias("year")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), year, "l_discount", "l_tax")
+    mean = lambda c: F.sum(F.round(F.col(c) * 100).cast("bigint")) / F.count(F.lit(1)) / F.lit(100.0)
+    yearly = rows.filter(F.col("year").between(YEARS[0], YEARS[-1])).groupBy("id", "year").agg(mean("l_discount").alias("ndbi"), mean("l_tax").alias("ndvi"))
+    spread = [F.max(F.when(F.col("year") == y, F.col(s))).alias(f"{s}_{y}") for s in ("ndbi", "ndvi") for y in YEARS]
+    return yearly.groupBy("id").agg(*spread)
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities with their annual series, built-up change and settlement change."""
     first, second = built_up(spark, sf_dir)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from upland.sources.panel import widen
+
 
 def process_new_files(spark: SparkSession, source: str, schema: StructType, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], fmt: str = "parquet") -> int:
     """Apply a row-wise `transform` to files not seen before and append the rows to `sink`; the new rows' number.
@@ -19,17 +23,30 @@ def process_new_files(spark: SparkSession, source: str, schema: StructType, sink
 
 
 def merge_panel(spark: SparkSession, source: str, schema: StructType, sink: str, checkpoint: str) -> None:
-    """Fold new (id, year, value) files into a wide panel, later files winning; `sink` is rewritten as a whole under a new name."""
-    from pyspark.sql import functions as F
+    """Take new (id, year, value) files into `sink`, a folder for each batch.
 
-    from upland.sources.panel import widen
+    A batch that is replayed after a failure overwrites its own folder, and nothing taken before is read or
+    rewritten; `merged_panel` reads what has come so far."""
 
-    def fold(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{sink}/long")
-        rows = spark.read.parquet(f"{sink}/long").groupBy("id", "year").agg(F.max_by("value", "epoch").alias("value"))
-        widen(rows).write.mode("overwrite").parquet(f"{sink}/wide-{epoch}")
+    def take(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     stream = spark.readStream.schema(schema).parquet(source)
-    stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query.start().awaitTermination()
+
+
+def merged_panel(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:
+    """The wide panel of all batches, later ones winning."""
+    rows = spark.read.schema(schema.add("epoch", "long")).parquet(sink)
+    return widen(rows.groupBy("id", "year").agg(F.max_by("value", "epoch").alias("value")))
+
+
+def with_late(rows: DataFrame, path: str, schema: StructType, key: str = "id") -> DataFrame:
+    """`rows` with the columns of a table that a background job may have written by now; nulls while it hasn't."""
+    spark = rows.sparkSession
+    try:
+        late = spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # not there yet
+        late = spark.createDataFrame([], schema)
+    return rows.join(late, key, "left")
