@@ -27,6 +27,14 @@ def result(spark, sf_dir, name):
     return {r[0]: r for r in registry.QUERIES[name](spark, sf_dir).collect()}
 
 
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_llm_queries_match_their_sql(name, spark, sf_dir, con):
+    import oracle_compare
+
+    wrong, ours, theirs = oracle_compare.differences(registry.QUERIES[name](spark, sf_dir), registry.ORACLE_SQL[name], con)
+    assert not wrong and not ours and not theirs
+
+
 def test_licence_base(spark, sf_dir, documents):
     phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
     got = result(spark, sf_dir, "op1_license_scan")
@@ -65,8 +73,18 @@ def test_quality_counts(spark, sf_dir, documents):
 
 
 def test_quality_order_is_by_rejections_per_cost(spark, sf_dir):
-    sample = quality.measured(spark.read.parquet(f"{sf_dir}/documents.parquet")).cache()
-    assert sorted(quality.order_rules(sample, quality.rules())) == sorted(quality.rules())
+    """Rules over made-up rows: `a` rejects most, `b` half as many at a tenth of the cost, and after `b` nothing is left
+    for `c`, which `b` covers, so that `d` with its few comes first."""
+    rows = [(k, False, k < 80, k < 40, k < 39, k >= 97) for k in range(100)] + [(k, True, True, True, True, True) for k in range(100, 400)]
+    sample = spark.createDataFrame(rows, "doc_id int, base_failed boolean, a boolean, b boolean, c boolean, d boolean")
+    checks = {k: F.col(k) for k in "abcd"}
+    assert quality.order_rules(sample, checks, {"a": 1.0, "b": 0.1, "c": 0.5, "d": 0.6}) == ["b", "a", "d", "c"]
+    assert quality.order_rules(sample, checks, {"a": 0.1, "b": 1.0, "c": 1.0, "d": 1.0}) == ["a", "d", "c", "b"]
+    docs = quality.measured(spark.read.parquet(f"{sf_dir}/documents.parquet")).cache()
+    cost = quality.measured_costs(docs, quality.rules())
+    assert cost.keys() == quality.rules().keys() and min(cost.values()) >= 1e-3
+    verdicts = [docs.select("doc_id", quality.cascade(quality.rules(), order).alias("kept")).collect() for order in (sorted(cost), sorted(cost, reverse=True))]
+    assert sorted(verdicts[0]) == sorted(verdicts[1])  # the order changes the work, never the verdict
 
 
 def plain_alignment(a, b):
@@ -249,7 +267,9 @@ def components_by_hand(rows, size, num, den):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("num", "limits"), [(90, {}), (70, {"TOGETHER": 5}), (80, {"BLOCK_TOKENS": 500})])
+@pytest.mark.parametrize(("num", "limits"), [
+    (90, {}), (70, {"TOGETHER": 5}), (80, {"CLUSTER_TOKENS": 500}), (80, {"CLUSTER_NODES": 3, "BLOCK_TOKENS": 300}), (60, {"CLUSTER_TOKENS": 200, "BLOCK_TOKENS": 400}),
+])
 def test_jaccard_components(spark, monkeypatch, num, limits):
     for k, v in limits.items():
         monkeypatch.setattr(jaccard, k, v)

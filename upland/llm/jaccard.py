@@ -12,7 +12,10 @@ along shared paths and leaves a subtree once the tokens left on both sides canno
 once all of the subtree is in the probe's own component. So each set is sent to one task, once, and copies are
 not expanded into pairs.
 
-A cluster of more than BLOCK_TOKENS tokens is no task's; its groups are worked in rounds instead:
+A cluster of more than CLUSTER_TOKENS tokens or CLUSTER_NODES nodes is no task's. Chains of chance sharing make
+such clusters, so its nodes are grouped anew by all of their tokens, in the order of the counts among these nodes
+alone; nodes that can have no partner among them go, and the others fall into smaller clusters. Those that are
+still too large, as of thousands of near copies, are worked in rounds:
 
 1. each node at its rarest shared token, in blocks of bounded size;
 2. at each token whose nodes are in several components, one node for each component;
@@ -43,7 +46,9 @@ from upland.llm.common import cut, keyed_join
 from upland.operators.components import components
 
 #: Tokens of the sets that one task of a group holds at most (8 bytes each), beside a single longer set.
-BLOCK_TOKENS = 6_000_000
+BLOCK_TOKENS = 4_000_000
+#: Tokens and nodes of a cluster that one task works.
+CLUSTER_TOKENS, CLUSTER_NODES = 400_000, 1000
 #: Nodes of a cluster that one trie holds; those of a larger one are taken token by token.
 TOGETHER = 500
 #: The band's share of the hash range, at least, and as a multiple of the share of a set that its prefix has.
@@ -292,7 +297,8 @@ class Join:
 
     def round(self, rows: DataFrame, across: bool = False) -> None:
         """Link the rows' nodes at each token in blocks; `across`: blocks also against each other."""
-        sizes = rows.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
+        most = BLOCK_TOKENS if across else min(BLOCK_TOKENS, CLUSTER_TOKENS)
+        sizes = rows.groupBy("token").agg(F.ceil(F.sum("n") / most).alias("blocks"))
         placed = rows.join(sizes, "token").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
         if across:
             placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -344,7 +350,11 @@ def postings_of(sets: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
     lists = met.groupBy("node").agg(F.collect_list(F.when(F.col("banded"), F.struct("df", "token"))).alias("inside"), F.collect_list(F.when(~F.col("banded"), F.struct("df", "token"))).alias("outside"))
     room = F.greatest(F.lit(0), F.col("prefix") - (F.col("in_band") - F.size("inside"))).cast("int")
     kept = lists.join(meta, "node").select("node", "n", F.concat(F.slice(F.sort_array("inside"), F.lit(1), room), F.col("outside")).alias("tokens"))
-    rows = cut(kept.select("node", "n", F.inline("tokens")), "postings")
+    return grouped(cut(kept.select("node", "n", F.inline("tokens")), "postings"), num, den)
+
+
+def grouped(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings (node, n, df, token) by token and size class, without groups that can add no link; as written."""
     # linked sizes differ by no more than num / den, so they meet in one of two neighbouring size classes
     size_class = F.floor(F.log("n") / math.log(den / num)) if den > num else F.col("n")
     classes = F.array(size_class, size_class + 1) if den > num else F.array(size_class)
@@ -355,20 +365,64 @@ def postings_of(sets: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
     return cut(rows.join(one, "token", "left_semi"), "postings")
 
 
+@tk.lean
+def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and token of every token of full sets."""
+    for batch in batches:
+        raw, offsets = tk.buffers(batch.column("tokens"))
+        for i, j in tk.blocks(offsets):
+            tokens = raw[offsets[i] : offsets[j]].view("<i8")
+            node = np.repeat(batch.column("node").to_numpy()[i:j], np.diff(offsets[i : j + 1]) // 8)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(tokens)], names=["node", "token"])
+
+
+def regrouped(full: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings of the nodes by all of their tokens, rare ones among these nodes first."""
+    sets = keyed_join(full, nodes, ["node"], "inner")
+    at = cut(sets.select("node", "tokens").mapInArrow(_tokens_of, "node long, token long"), "tokens-of-large")
+    prefix = (F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1).alias("prefix")
+    meta = cut(sets.select("node", "n", prefix), "large-nodes")
+
+    def shared(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        return rows.join(counts, "token")
+
+    left = at
+    for _ in range(PEELS):
+        filled = shared(left).groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+        alive = meta.join(filled, "node").filter(F.col("n") - F.col("shared") < F.col("prefix")).select("node")
+        left = keyed_join(at, cut(alive, "alive"), ["node"], "left_semi")
+    lists = shared(left).groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("found"))
+    room = F.greatest(F.lit(0), F.col("prefix") - (F.col("n") - F.size("found"))).cast("int")
+    kept = lists.join(meta, "node").select("node", "n", F.slice(F.sort_array("found"), F.lit(1), room).alias("found"))
+    return grouped(cut(kept.select("node", "n", F.inline("found")), "large-postings"), num, den)
+
+
+def clusters_of(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cluster, node and n of the nodes of small clusters, and node of those of large ones, as written tables."""
+    centres = postings.groupBy("token").agg(F.min("node").alias("centre"))
+    found = components(postings.join(centres, "token").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    rows = keyed_join(postings.select("node", "n").distinct(), found.withColumnRenamed("component", "cluster"), ["node"], "inner")
+    rows = cut(rows, "clusters")
+    size = rows.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("nodes"))
+    large = cut(size.filter((F.col("tokens") > CLUSTER_TOKENS) | (F.col("nodes") > CLUSTER_NODES)).select("cluster"), "large-clusters")
+    small = keyed_join(rows, large, ["cluster"], "left_anti").select("cluster", "node")
+    return small, cut(keyed_join(rows, large, ["cluster"], "left_semi").select("node"), "large-nodes")
+
+
 def _labels(postings: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame | None:
     """node and component of every linked node; None if no two nodes share a prefix token."""
     if postings.isEmpty():
         return None
-    centres = postings.groupBy("token").agg(F.min("node").alias("centre"))
-    clusters = components(postings.join(centres, "token").select(F.col("node").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "cluster")
-    rows = cut(keyed_join(postings.select("node", "n").distinct(), clusters, ["node"], "inner"), "clusters")
-    large = cut(rows.groupBy("cluster").agg(F.sum("n").alias("size")).filter(F.col("size") > BLOCK_TOKENS).select("cluster"), "large-clusters")
-    small = keyed_join(rows, large, ["cluster"], "left_anti").select("cluster", "node")
-    sent = keyed_join(full, small, ["node"], "inner")
+    small, large = clusters_of(postings)
+    if not large.isEmpty():
+        again = regrouped(full, large, num, den)
+        others, large = clusters_of(again)
+        small = small.unionByName(others)
+    sent = keyed_join(full, cut(small, "small-clusters"), ["node"], "inner")
     labels = cut(sent.groupBy("cluster").applyInPandas(_link_cluster(num, den, TOGETHER), "node long, component long"), "cluster-labels")
     if not large.isEmpty():
-        rest = keyed_join(postings, keyed_join(rows, large, ["cluster"], "left_semi").select("node"), ["node"], "left_semi")
-        more = Join(cut(rest, "large-postings"), full, num, den).run()
+        more = Join(cut(keyed_join(again, large, ["node"], "left_semi"), "round-postings"), full, num, den).run()
         labels = labels if more is None else labels.unionByName(more.select("node", "component"))
     return labels
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from upland.llm import brown, decontam, htmltext, jaccard, langid, licences, mixing, quality, secrets, tokenbin
+from upland.llm import brown, decontam, htmltext, jaccard, langid, licences, mixing, oracles, quality, secrets, tokenbin
 from upland.llm.common import table
 
 
@@ -50,31 +51,46 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def licence_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of `op1_license_scan` that SQL can express."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of `op4_lm_scores` that SQL can express."""
+    rows = op4_lm_scores(spark, sf_dir)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of `op6_source_mix` that SQL can express."""
+    return op6_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_license_scan": op1_license_scan,
-    "op2_quality_rules": op2_quality_rules,
-    "op3_decontamination": op3_decontamination,
-    "op4_lm_scores": op4_lm_scores,
-    "op5_jaccard_join": op5_jaccard_join,
-    "op6_source_mix": op6_source_mix,
-    "op7_language_id": op7_language_id,
-    "op8_html_text": op8_html_text,
-    "op9_token_ids": op9_token_ids,
-    "op10_secret_scan": op10_secret_scan,
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_quality_rules,
+        op3_decontamination,
+        op4_lm_scores,
+        op5_jaccard_join,
+        op6_source_mix,
+        op7_language_id,
+        op8_html_text,
+        op9_token_ids,
+        op10_secret_scan,
+        licence_base,
+        lm_base,
+        mix_targets,
+    )
+}
+
+#: Models, alignments, layouts and files are beyond SQL; tests/llm holds those queries against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": oracles.quality_rules(),
+    "op5_jaccard_join": oracles.jaccard(),
+    "licence_base": oracles.licence_base(),
+    "lm_base": oracles.lm_base(),
+    "mix_targets": oracles.mix_targets(),
 }
-def _quality_sql() -> str:
-    word, space = r"'[^\x20\x09-\x0D]+'", r"'[^\x20\x09-\x0D]'"
-    symbols = "'[#*$%&|<>]'"
-    count = lambda pattern: f"len(regexp_extract_all(text, {pattern}))"
-    stops = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
-    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT *, regexp_extract_all(text, {word}) AS words, list_filter(str_split(text, chr(10)), lambda x: regexp_matches(x, {space})) AS lines FROM t),
-      g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS times FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
-      c AS (SELECT doc_id, count(DISTINCT p) AS covered FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE times > 1) GROUP BY doc_id),
-      f AS (SELECT w.doc_id, text, words, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, {count(symbols)} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered, 0) AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
-      b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
-      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_dup_lines > 3 * n_lines
-        OR 10 * {count("'[0-9]'")} > 3 * word_chars OR 10 * {count(chr(39) + chr(92) + "p{Lu}" + chr(39))} > 6 * word_chars OR len(list_intersect(words, [{stops}])) < 2) AS kept FROM b"""
-
-
-#: The other operators' labels, models, alignments, tries, copies and files are beyond SQL; tests/llm holds them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _quality_sql()}
