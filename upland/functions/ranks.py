@@ -33,6 +33,21 @@ def positions(df: DataFrame, column: str) -> DataFrame:
     return placed.join(F.broadcast(offsets), "range").select("value", "n", (F.col("inside") + F.col("offset")).alias("before"))
 
 
+def positions_within(values: DataFrame, keys: list[str]) -> DataFrame:
+    """`positions` of the column `value` for each group, all groups at once: keys, value, n and before.
+
+    A group's values are dealt into ranges of their own, so a group of any size is no single task."""
+    bounds = values.groupBy(*keys).agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 1000).alias("bounds"))
+    counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    ranged = counted.join(bounds, keys).withColumn("range", F.size(F.filter("bounds", lambda b: b <= F.col("value")))).drop("bounds")
+    inside = Window.partitionBy(*keys, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.sum("rows").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    totals = ranged.groupBy(*keys, "range").agg(F.sum("n").alias("rows"))
+    offsets = totals.select(*keys, "range", F.coalesce(before, F.lit(0)).alias("offset"))  # RANGES rows a group
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return placed.join(offsets, [*keys, "range"]).select(*keys, "value", "n", (F.col("inside") + F.col("offset")).alias("before"))
+
+
 def with_pct_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Percent rank of each row for each column, under the name given, ties averaged; null ranks after all values
     and so has the highest percent. `df` is written first, as every column's statistics read it again."""
@@ -51,6 +66,21 @@ def with_pct_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     return with_pct_ranks(df, {column: out})
 
 
+def with_row_numbers(df: DataFrame, score: str, key: str, out: str) -> DataFrame:
+    """Dense row numbers by descending score, to nine places, and ascending key, without all rows in one task; null scores
+    come last. `df` is read twice; write it first if dear."""
+    value = F.round(score, 9)
+    bounds = df.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("bounds"))
+    above = F.when(value.isNull(), RANGES + 1).otherwise(F.size(F.filter(F.coalesce("bounds", F.array().cast("array<double>")), lambda b: b > value)))
+    ranged = df.crossJoin(F.broadcast(bounds)).withColumn("range_of_row", above).drop("bounds")  # one row of bounds
+    totals = ranged.groupBy("range_of_row").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("range_of_row").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("range_of_row", F.coalesce(before, F.lit(0)).alias("rows_before"))
+    inside = F.row_number().over(Window.partitionBy("range_of_row").orderBy(value.desc_nulls_last(), F.col(key).asc()))
+    placed = ranged.withColumn(out, inside).join(F.broadcast(offsets), "range_of_row")  # at most RANGES + 1 rows
+    return placed.withColumn(out, (F.col(out) + F.col("rows_before")).cast("int")).drop("range_of_row", "rows_before")
+
+
 def pct_rank_within(column: Column, *keys: Column) -> Column:
     """Percent rank within groups that fit a task; null keys give null."""
     group = Window.partitionBy(*keys)

@@ -57,33 +57,45 @@ def changepoint(columns: list[str] = NTL, years: tuple[int, ...] = YEARS) -> Col
     return F.array_min(F.filter(F.array(*options), lambda o: o.isNotNull()))
 
 
-def filled(columns: list[str] = NTL) -> list[Column]:
-    """Gaps filled linearly between neighbours, ends with the nearest value."""
-    out = []
-    for k, c in enumerate(columns):
-        before = [(F.col(columns[i]), i) for i in range(k - 1, -1, -1)]
-        after = [(F.col(columns[i]), i) for i in range(k + 1, len(columns))]
-        pick = lambda near: F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("v"), F.lit(float(i)).alias("i"))) for v, i in near], F.lit(None).cast("struct<v:double,i:double>")) if near else F.lit(None).cast("struct<v:double,i:double>")
-        a, b = pick(before), pick(after)
-        between = a["v"] + (b["v"] - a["v"]) * ((F.lit(float(k)) - a["i"]) / (b["i"] - a["i"]))
-        out.append(F.coalesce(F.col(c), between, a["v"], b["v"]))
-    return out
-
-
-def damped_holt(columns: list[str] = NTL, ahead: int = 3, alpha: float = 0.5, beta: float = 0.2, phi: float = 0.9, least: int = 3) -> list[Column]:
-    """Forecasts level + phi^h * trend, not below 0; null with fewer than `least` values."""
-    y = F.array(*filled(columns))
-    start = F.struct(F.element_at(y, 1).alias("level"), (F.element_at(y, 2) - F.element_at(y, 1)).alias("trend"))
+def bound(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often `use` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def filled(columns: list[str] = NTL) -> Column:
+    """The series as an array, gaps filled linearly between neighbours, ends with the nearest value; null without any."""
+    known = F.filter(F.transform(F.array(*columns), lambda v, i: F.struct(i.cast("double").alias("i"), v.alias("v"))), lambda s: s["v"].isNotNull())
+
+    def between(a: Column, b: Column, i: Column) -> Column:
+        inner = a["v"] + (b["v"] - a["v"]) * ((i - a["i"]) / F.nullif(b["i"] - a["i"], F.lit(0.0)))
+        return F.when(a.isNull(), b["v"]).when(b.isNull() | (a["i"] == b["i"]), a["v"]).otherwise(inner)
+
+    def at(known: Column, i: Column) -> Column:
+        before, after = F.filter(known, lambda s: s["i"] <= i), F.filter(known, lambda s: s["i"] >= i)
+        ends = F.struct(F.try_element_at(before, F.lit(-1)).alias("a"), F.try_element_at(after, F.lit(1)).alias("b"))
+        return bound(ends, lambda e: between(e["a"], e["b"], i))
+
+    places = F.array(*[F.lit(float(k)) for k in range(len(columns))])
+    return bound(known, lambda k: F.when(F.size(k) > 0, F.transform(places, lambda i: at(k, i))))
+
+
+def damped_holt(columns: list[str] = NTL, ahead: int = 3, alpha: float = 0.5, beta: float = 0.2, phi: float = 0.9, least: int = 3) -> Column:
+    """array of forecasts level + phi^h * trend, not below 0; null with fewer than `least` values."""
 
     def step(s: Column, v: Column) -> Column:
         level = alpha * v + (1 - alpha) * (s["level"] + phi * s["trend"])
         return F.struct(level.alias("level"), (beta * (level - s["level"]) + (1 - beta) * phi * s["trend"]).alias("trend"))
 
-    state = F.aggregate(F.slice(y, 2, len(columns) - 1), start, step)
+    def state(y: Column) -> Column:
+        start = F.struct(F.element_at(y, 1).alias("level"), (F.element_at(y, 2) - F.element_at(y, 1)).alias("trend"))
+        return F.aggregate(F.slice(y, 2, len(columns) - 1), start, step)
+
+    def forecasts(s: Column) -> Column:
+        out, damp = [], 1.0
+        for _ in range(ahead):
+            damp *= phi
+            out.append(F.greatest(s["level"] + damp * s["trend"], F.lit(0.0)))
+        return F.array(*out)
+
     enough = total([F.col(c).isNotNull().cast("int") for c in columns]) >= least
-    out, damp = [], 1.0
-    for _ in range(ahead):
-        damp *= phi
-        v = state["level"] + damp * state["trend"]
-        out.append(F.when(enough, F.when(v > 0, v).otherwise(0.0)))
-    return out
+    return F.when(enough, bound(bound(filled(columns), state), forecasts))

@@ -1,14 +1,17 @@
-"""Gradient-boosted amplifier, k-means with a silhouette choice, and path attribution of tree ensembles."""
+"""Gradient-boosted amplifier, named k-means clusters with a silhouette choice, Shapley values of tree ensembles."""
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +53,12 @@ def amplify(df: DataFrame, signals: list[str], trees: int = 200, least_positives
     return scored.withColumn("ml_growth_prob", vector_to_array("probability").getItem(1) * 100).drop("raw", "features", "rawPrediction", "probability", "prediction")
 
 
-def cluster(df: DataFrame, signals: list[str], ks: tuple[int, ...] = (3, 4, 5, 6), seeds: tuple[int, ...] = tuple(range(10))) -> DataFrame:
-    """cluster of each row: for each k the start with the least cost, of the ks the best silhouette."""
+def cluster(df: DataFrame, signals: list[str], ks: tuple[int, ...] = (3, 4, 5, 6), seeds: tuple[int, ...] = tuple(range(10))) -> tuple[DataFrame, list[list[float]]]:
+    """The rows with their cluster, and the clusters' centres: for each k the start with the least cost, of the ks the
+    best silhouette. Values are scaled by median and quartiles."""
     rows = imputed(df, signals)
-    ready = Pipeline(stages=[VectorAssembler(inputCols=[f"{s}_full" for s in signals], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]).fit(rows).transform(rows).cache()
+    stages = [VectorAssembler(inputCols=[f"{s}_full" for s in signals], outputCol="raw"), RobustScaler(inputCol="raw", outputCol="features", withCentering=True)]
+    ready = Pipeline(stages=stages).fit(rows).transform(rows).persist()
     score, best = ClusteringEvaluator(), None
     for k in ks:
         models = [KMeans(k=k, seed=seed).fit(ready) for seed in seeds]
@@ -61,65 +66,150 @@ def cluster(df: DataFrame, signals: list[str], ks: tuple[int, ...] = (3, 4, 5, 6
         value = score.evaluate(model.transform(ready))
         if best is None or value > best[0]:
             best = value, model
-    return best[1].transform(ready).withColumnRenamed("prediction", "cluster").drop("raw", "features")
+    ready.unpersist()
+    found = best[1].transform(ready).withColumnRenamed("prediction", "cluster").drop("raw", "features", *[f"{s}_full" for s in signals])
+    return found, [list(map(float, c)) for c in best[1].clusterCenters()]
+
+
+#: Share of all rows beyond which a cluster is the background, its name, and weights of the growth that clusters are
+#: taken in the order of (fixed values).
+BACKGROUND, BACKGROUND_NAME = 0.40, "Steady Grower"
+GROWTH = {"ntl_growth_pct": 0.4, "ndbi_growth": 0.3, "ghsl_change": 0.2, "tower_growth": 0.1}
+#: Names of clusters by which signals lie above (+) and not above or below (-) the clusters' mean; the first that is
+#: free is taken (fixed values).
+CLUSTER_RULES = [
+    ("Urban Fringe Surge", "+ntl_growth_pct +ndbi_growth <dist_city_km"),
+    ("Construction Boom", "+ntl_growth_pct +ndbi_growth"),
+    ("Industrial Corridor", "+ntl_growth_pct <dist_highway_km"),
+    ("Rural Electrification", "+ntl_growth_pct -ndbi_growth"),
+    ("Agricultural Shift", "-ntl_growth_pct +ndbi_growth"),
+    ("Connectivity-Led Growth", "-ntl_growth_pct -ndbi_growth +tower_growth"),
+]
+#: Names of clusters that no rule fits, by descending growth (fixed values).
+SPARE_NAMES = ["Active Growth", "Emerging Growth", "Latent Potential", "Stable Base", "Low Activity"]
+
+
+def cluster_names(centres: list[list[float]], sizes: list[int], signals: list[str]) -> list[str]:
+    """A name for each cluster by how its centre compares with the others', each name once.
+
+    Background clusters are named first and may be renamed by a rule; a signal that isn't there is 0 for the order and
+    for "+" and "-", and "<" fails."""
+    at = [{s: c[signals.index(s)] if s in signals else 0.0 for s in {*GROWTH, "dist_city_km", "dist_highway_km"}} for c in centres]
+    mean = {s: float(np.mean([c[s] for c in at])) for s in at[0]}
+    order = sorted(range(len(at)), key=lambda k: -sum(w * at[k][s] for s, w in GROWTH.items()))
+    names, used = [""] * len(at), set()
+
+    def fits(k: int, rule: str) -> bool:
+        tests = {"+": lambda s: at[k][s] > mean[s], "-": lambda s: not at[k][s] > mean[s], "<": lambda s: s in signals and at[k][s] < mean[s]}
+        return all(tests[part[0]](part[1:]) for part in rule.split())
+
+    def take(k: int, name: str) -> bool:
+        if name in used:
+            return False
+        used.add(name)
+        names[k] = name
+        return True
+
+    for k, n in enumerate(sizes):
+        if n > BACKGROUND * sum(sizes):
+            take(k, BACKGROUND_NAME)
+    for k in order:
+        any(fits(k, rule) and take(k, name) for name, rule in CLUSTER_RULES)
+    for k in order:
+        if not names[k]:
+            any(take(k, name) for name in SPARE_NAMES)
+    return names
+
+
+def named_clusters(df: DataFrame, signals: list[str], rule: str, **options) -> DataFrame:
+    """The rows with cluster and archetype_name, which is the column `rule` where all clusters bear one name."""
+    rows, centres = cluster(df, signals, **options)
+    counts = {r["cluster"]: r["n"] for r in rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most six
+    names = cluster_names(centres, [counts.get(k, 0) for k in range(len(centres))], signals)
+    named = rows.withColumn("archetype_name", F.element_at(F.array(*map(F.lit, names)), F.col("cluster") + 1))
+    return guarded_names(named, "archetype_name", rule)
+
+
+def guarded_names(df: DataFrame, name: str, rule: str) -> DataFrame:
+    """Clusters that bear fewer than two names say nothing; then each row takes its rule's name."""
+    if df.select(name).distinct().limit(2).count() < 2:
+        return df.withColumn(name, F.col(rule))
+    return df
 
 
 def attribute(df: DataFrame, signals: list[str], trees: int = 200, top: int = 3) -> DataFrame:
-    """top1.. of each row: the signals that move the ensemble's sum most along the row's own paths.
+    """top1.. of each row: the signals with the largest Shapley values, either way, for the ensemble's sum.
 
-    A split moves the expected value from the node's to the child's, and the signal split on is credited; the
-    trees' nodes, a small table, are walked by a vectorised function."""
+    Signals that aren't known count by the shares in which the training rows went at a split, as is usual for trees.
+    A leaf's part is then a product over the signals of its path, so its Shapley values are sums over subsets of these
+    alone. The leaves, a small table, are a broadcast variable."""
     have = [s for s in signals if s in df.columns]
     rows = imputed(with_label(df, have), have)
     model = fit_amplifier(rows, have, trees).stages[-1]
-    scaled = fit_scaler(rows, have)
-    forest = [(w, *_nodes(t)) for w, t in zip(model.treeWeights, model.trees, strict=True)]
-    n = len(have)
+    forest = [(w * value, path) for w, t in zip(model.treeWeights, model.trees, strict=True) for value, path in leaves(t)]
+    sent, n = df.sparkSession.sparkContext.broadcast(forest), len(have)
 
     @F.pandas_udf("array<string>")
     def best(x: pd.Series) -> pd.Series:
-        data, credit = np.stack(x.to_numpy()), np.zeros((len(x), n))
-        for weight, feature, threshold, left, right, value in forest:
-            at = np.zeros(len(data), int)
-            while (split := feature[at] >= 0).any():
-                k = np.flatnonzero(split)
-                f = feature[at[k]]
-                after = np.where(data[k, f] <= threshold[at[k]], left[at[k]], right[at[k]])
-                np.add.at(credit, (k, f), weight * (value[after] - value[at[k]]))
-                at[k] = after
+        credit = shapley(np.stack(x.to_numpy()), sent.value, n)
         order = np.argsort(-np.abs(credit), axis=1, kind="stable")[:, :top]
         return pd.Series([[have[i] for i in row] for row in order])
 
-    named = scaled.withColumn("tops", best(vector_to_array("features"))).drop("raw", "features")
+    named = fit_scaler(rows, have).withColumn("tops", best(vector_to_array("features"))).drop("raw", "features")
     return named.withColumns({f"top{k + 1}": F.get("tops", k) for k in range(top)}).drop("tops")
 
 
-def guarded_names(df: DataFrame, name: str, rule: str) -> DataFrame:
-    """Clusters that bear fewer than two names say nothing; then each row takes its rule's name."""
-    if df.select(name).distinct().limit(2).count() < 2:
-        return df.withColumn(name, F.col(rule))
-    return df
+Path = dict[int, tuple[float, float, float]]
+
+
+def shapley(x: np.ndarray, forest: list[tuple[float, Path]], n: int) -> np.ndarray:
+    """Shapley values of `n` signals for each row of `x`; a leaf's path has for each signal on it the range (low, high]
+    that leads to the leaf and the share of training rows that its splits let through."""
+    out = np.zeros((len(x), n))
+    for value, path in forest:
+        signals = list(path)
+        inside = {f: ((x[:, f] > low) & (x[:, f] <= high)).astype(float) for f, (low, high, _) in path.items()}
+        for f in signals:
+            others, total = [g for g in signals if g != f], np.zeros(len(x))
+            for size in range(len(others) + 1):
+                weight = math.factorial(size) * math.factorial(len(others) - size) / math.factorial(len(signals))
+                for known in combinations(others, size):
+                    product = np.full(len(x), weight)
+                    for g in others:
+                        product *= inside[g] if g in known else path[g][2]
+                    total += product
+            out[:, f] += value * (inside[f] - path[f][2]) * total
+    return out
+
+
+def leaves(tree) -> list[tuple[float, Path]]:
+    """Value and path of each leaf of a fitted tree."""
+    out: list[tuple[float, Path]] = []
+
+    def walk(node, path: Path) -> None:
+        if node.subtreeDepth() == 0:
+            out.append((node.prediction(), path))
+            return
+        split, whole = node.split(), node.impurityStats().rawCount()
+        f, edge = split.featureIndex(), split.threshold()
+        low, high, share = path.get(f, (-math.inf, math.inf, 1.0))
+        for child, ends in ((node.leftChild(), (low, min(high, edge))), (node.rightChild(), (max(low, edge), high))):
+            walk(child, path | {f: (*ends, share * child.impurityStats().rawCount() / whole)})
+
+    walk(tree._call_java("rootNode"), {})
+    return out
+
+
+def round_trip(df: DataFrame, signals: list[str], folder: str, trees: int = 200) -> DataFrame:
+    """One row: how many rows the amplifier scores, and the most by which one that was saved and loaded differs."""
+    rows = imputed(with_label(df, signals), signals)
+    model = fit_amplifier(rows, signals, trees)
+    model.write().overwrite().save(folder)
+    probability = lambda m, out: m.transform(rows).select("id", vector_to_array("probability").getItem(1).alias(out))
+    both = probability(model, "fitted").join(probability(PipelineModel.load(folder), "loaded"), "id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("fitted") - F.col("loaded"))).alias("most_apart"))
 
 
 def fit_scaler(rows: DataFrame, signals: list[str]) -> DataFrame:
     stages = [VectorAssembler(inputCols=[f"{s}_full" for s in signals], outputCol="raw"), RobustScaler(inputCol="raw", outputCol="features")]
     return Pipeline(stages=stages).fit(rows).transform(rows)
-
-
-def _nodes(tree) -> tuple[np.ndarray, ...]:
-    """feature (-1 at leaves), threshold, left, right and mean prediction of a fitted tree's nodes, in preorder."""
-    out: list[list[float]] = []
-
-    def walk(node) -> int:
-        k = len(out)
-        out.append([-1, 0.0, -1, -1, node.prediction()])
-        if node.subtreeDepth() > 0:
-            split = node.split()
-            out[k][0], out[k][1] = split.featureIndex(), split.threshold()
-            out[k][2] = walk(node.leftChild())
-            out[k][3] = walk(node.rightChild())
-        return k
-
-    walk(tree._call_java("rootNode"))
-    a = np.array(out)
-    return a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4]

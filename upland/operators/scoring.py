@@ -12,6 +12,9 @@ from upland.sources.store import cut
 
 #: Weights of the main track's scores and of the dark track's (fixed values).
 WEIGHTS = {"ml_growth_prob_score": 0.15, "ntl_growth_log_score": 0.30, "ndbi_growth_score": 0.20, "ghsl_change_score": 0.15, "tower_growth_score": 0.10, "s1_vv_delta_score": 0.05, "spatial_lag_score": 0.05}
+#: Weights of the dark track: of the whole run, and of a run with night lights and settlement alone (fixed values).
+DARK_WEIGHTS = {"ndbi_growth_score": 0.40, "ghsl_change_score": 0.30, "tower_growth_score": 0.20, "pop_growth_score": 0.10}
+DARK_SHORT = {"ntl_growth_log_score": 0.40, "ghsl_change_score": 0.30, "pop_growth_score": 0.15, "tower_growth_score": 0.15}
 #: Signals that vote for a confirmation, and the value each must exceed (fixed values).
 VOTES = {"ntl_growth_pct": 50.0, "builtup_change": 0.0, "tower_growth": 0.0, "ndbi_growth": 0.0, "ghsl_change": 0.0, "s1_vv_delta": 0.0}
 
@@ -112,8 +115,13 @@ def capped(df: DataFrame, n: int, share: float, group: str = "state_name", order
     return df.withColumn("place", place).filter((F.col("place") <= cap) | blank(F.col(group))).drop("place").orderBy(*order).limit(n)
 
 
+def ranked_whole(df: DataFrame, out: str = "rank") -> DataFrame:
+    """Rank of every row of a track by its composite, by ranges of scores; the track is written first."""
+    return ranks.with_row_numbers(cut(df, "track"), "composite_score", "id", out)
+
+
 def ranked(df: DataFrame, out: str = "rank", order: list[Column] | None = None) -> DataFrame:
-    """Rank over a table already cut to a shortlist, or a track that must have one dense sequence."""
+    """Rank over a table already cut to a shortlist."""
     return df.withColumn(out, F.row_number().over(Window.orderBy(*(order or order_of()))))
 
 
@@ -135,7 +143,7 @@ def dark_track(panel: DataFrame) -> DataFrame:
     """Rows off the main track with their composite; of the dark weights only three name a column that exists."""
     dark = cut(with_growth(panel).filter(~is_main()), "dark-track")
     dark = ranks.with_minmax_scores(dark, {s: f"{s}_score" for s in ("ntl_growth_log", "ghsl_change")})
-    own = redistribute({"ntl_growth_log_score": 0.40, "ghsl_change_score": 0.30, "pop_growth_score": 0.15, "tower_growth_score": 0.15}, dark.columns)
+    own = redistribute(DARK_SHORT, dark.columns)
     return dark.withColumn("composite_score", series.total([F.col(c) * w for c, w in own.items()]))
 
 

@@ -50,8 +50,10 @@ def by_id(df: DataFrame, key: str, forecasts: DataFrame | None = None) -> DataFr
 
 
 def states(df: DataFrame) -> DataFrame:
-    """Entities, mean score and the best-ranked entity of each state."""
-    return df.groupBy("state_name").agg(F.count(F.lit(1)).alias("n"), F.avg("composite_score").alias("mean_score"), F.min_by("village_name", "rank").alias("top_village"))
+    """Entities, mean score and the best entity of each state."""
+    order = F.struct(-F.round("composite_score", 9), F.col("id"))
+    best = F.min_by("village_name", order).alias("top_village")
+    return df.groupBy("state_name").agg(F.count(F.lit(1)).alias("n"), F.avg("composite_score").alias("mean_score"), best)
 
 
 def archetypes(df: DataFrame) -> DataFrame:

@@ -80,10 +80,15 @@ def spatial_lag(points: DataFrame, value: str, k: int = 10) -> DataFrame:
 def in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
     """id and name of each polygon that holds the point; `polygons` has name and edges (x1, y1, x2, y2).
 
-    Polygons are dealt to the cells of their bounding boxes, points to their own cell."""
+    Polygons are dealt to the cells of their bounding boxes, points to their own cell. A ray meets only edges of its own
+    band of latitudes, so a row of cells gets no others."""
     lows = lambda a, b: F.floor(F.array_min(F.transform("edges", lambda e: F.least(e[a], e[b]))) / cell).cast("long")
     highs = lambda a, b: F.floor(F.array_max(F.transform("edges", lambda e: F.greatest(e[a], e[b]))) / cell).cast("long")
-    dealt = polygons.withColumn("cell_r", F.explode(F.sequence(lows("y1", "y2"), highs("y1", "y2")))).withColumn("cell_c", F.explode(F.sequence(lows("x1", "x2"), highs("x1", "x2"))))
+    boxed = polygons.withColumns({"c0": lows("x1", "x2"), "c1": highs("x1", "x2")})
+    rows = boxed.withColumn("cell_r", F.explode(F.sequence(lows("y1", "y2"), highs("y1", "y2"))))
+    south, north = F.col("cell_r") * cell, (F.col("cell_r") + 1) * cell
+    banded = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north))
+    dealt = rows.withColumn("edges", banded).withColumn("cell_c", F.explode(F.sequence("c0", "c1"))).drop("c0", "c1")
     at = points.select("id", "latitude", "longitude", *_cells(F.col("latitude"), F.col("longitude"), cell, cell))
     return at.join(dealt, ["cell_r", "cell_c"]).filter(sp.inside(F.col("longitude"), F.col("latitude"), F.col("edges"))).select("id", "name")
 

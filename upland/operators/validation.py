@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,15 +16,30 @@ from upland.operators import spatial
 from upland.sources.store import cut
 
 
+#: Rows of a shuffle that one task orders, about.
+RANGE_ROWS = 1_000_000
+
+
 def spearman(df: DataFrame, signals: list[str], least: int = 50) -> DataFrame:
-    """a, b, rho of each pair of signals over the rows that have both; null below `least` rows."""
-    out = None
-    for a, b in combinations(signals, 2):
-        both = df.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-        both = ranks.with_pct_ranks(both, {a: "ra", b: "rb"})
-        row = both.agg(F.when(F.count(F.lit(1)) >= least, F.round(F.corr("ra", "rb"), 3)).alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """a, b, rho of every two signals, both ways round, over the rows that have the first two signals and both; null
+    below `least` rows; a signal with itself is 1.
+
+    The pairs are rows of one long table, so all are ranked and correlated in one run of joins."""
+    rows = df.select(*signals).na.drop(subset=signals[:2])
+    pairs = [F.struct(F.lit(k).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for k, (a, b) in enumerate(combinations(signals, 2))]
+    long = cut(rows.select(F.inline(F.array(*pairs))).filter("x is not null and y is not null"), "pairs")
+    ranked = long
+    for c in ("x", "y"):
+        placed = ranks.positions_within(long.select("pair", F.col(c).alias("value")), ["pair"])
+        middle = placed.select("pair", F.col("value").alias(c), (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"rank_{c}"))
+        ranked = ranked.join(middle, ["pair", c])
+    rho = F.when(F.count(F.lit(1)) >= least, F.round(F.corr("rank_x", "rank_y"), 3))
+    found = ranked.groupBy("pair").agg(rho.alias("rho"))
+    names = [(k, a, b) for k, (a, b) in enumerate(combinations(signals, 2))]
+    spark = df.sparkSession
+    both = spark.createDataFrame([*names, *[(k, b, a) for k, a, b in names]], "pair int, a string, b string").join(found, "pair", "left")
+    own = spark.createDataFrame([(s, s, 1.0) for s in signals], "a string, b string, rho double")
+    return both.select("a", "b", "rho").unionByName(own)
 
 
 def representation(df: DataFrame, top: DataFrame, group: str = "state_name") -> DataFrame:
@@ -61,22 +77,36 @@ def moran(points: DataFrame, value: str, k: int = 8) -> DataFrame:
 def moran_permutations(points: DataFrame, value: str, k: int = 8, draws: int = 999, seed: int = 42) -> DataFrame:
     """Share of value shuffles whose statistic reaches the observed one.
 
-    A shuffle pairs each point with another's deviation through a hash order; draws are rows, so a draw is a
-    join on the shuffled place and never a pass on the driver."""
+    A shuffle gives each point the deviation of the point with the same place in the order of a hash of id and draw.
+    Hashes are uniform, so their leading digits deal a draw's points into ranges of about RANGE_ROWS rows, and no task
+    orders more than a range; places by id are found once, likewise."""
     x = cut(points.filter(F.col(value).isNotNull()).select("id", "latitude", "longitude", value), "moran")
-    mean = x.agg(F.avg(value).alias("mean"))
-    dev = x.crossJoin(F.broadcast(mean)).select("id", "latitude", "longitude", (F.col(value) - F.col("mean")).alias("x"))  # one row
+    mean = x.agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    dev = cut(x.crossJoin(F.broadcast(mean)).select("id", "latitude", "longitude", (F.col(value) - F.col("mean")).alias("x")), "deviations")  # one row
+    digits = max(0, math.ceil(math.log(max(1, dev.count() / RANGE_ROWS), 16)))
     near = spatial.nearest(dev, dev.select(F.col("id").alias("other_id"), "latitude", "longitude"), k, exclude_self=True).select("id", "other_id")
-    drawn = dev.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
-    key = F.when(F.col("draw") == 0, F.col("id")).otherwise(F.xxhash64("id", "draw", F.lit(seed)))
-    place = F.row_number().over(Window.partitionBy("draw").orderBy("id"))
-    shuffled = F.row_number().over(Window.partitionBy("draw").orderBy(key, "id"))
-    moved = drawn.withColumns({"place": place, "shuffled": shuffled})
-    given = moved.select("draw", F.col("shuffled").alias("place"), "x").join(moved.select("draw", "place", "id"), ["draw", "place"]).select("draw", "id", "x")
+
+    def placed(rows: DataFrame, mark: Column, out: str) -> DataFrame:
+        rows = rows.withColumn("mark", mark).withColumn("range", F.substring("mark", 1, digits))
+        totals = rows.groupBy("draw", "range").agg(F.count(F.lit(1)).alias("rows"))
+        before = F.sum("rows").over(Window.partitionBy("draw").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+        offsets = totals.select("draw", "range", F.coalesce(before, F.lit(0)).alias("offset"))
+        inside = F.row_number().over(Window.partitionBy("draw", "range").orderBy("mark", "id"))
+        return rows.withColumn("inside", inside).join(offsets, ["draw", "range"]).withColumn(out, F.col("inside") + F.col("offset")).drop("mark", "range", "inside", "offset")
+
+    hashed = F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("draw").cast("string"), F.lit(str(seed))))
+    one = placed(dev.select("id", "x", F.lit(0).alias("draw")), hashed, "place").drop("draw")
+    one = cut(one, "places")
+    drawn = one.select("id", "x", "place", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    shuffled = placed(drawn.select("draw", "id", "x"), hashed, "place").select("draw", "place", "x")
+    given = drawn.select("draw", "place", "id").join(shuffled, ["draw", "place"]).select("draw", "id", "x")
+    given = given.unionByName(one.select(F.lit(0).alias("draw"), "id", "x"))
     lag = near.join(given.withColumnsRenamed({"id": "other_id", "x": "other_x"}), "other_id").groupBy("draw", "id").agg(F.avg("other_x").alias("lag"))
     stats = given.join(lag, ["draw", "id"]).groupBy("draw").agg((F.sum(F.col("x") * F.col("lag")) / F.sum(F.col("x") * F.col("x"))).alias("i"))
+    stats = cut(stats, "statistics")  # a row a draw
     seen = stats.filter("draw = 0").select(F.col("i").alias("seen"))
-    return stats.filter("draw > 0").crossJoin(F.broadcast(seen)).agg(F.avg((F.col("i") >= F.col("seen")).cast("double")).alias("p_value"), F.first("seen").alias("i"))  # one row
+    reached = F.avg((F.col("i") >= F.col("seen")).cast("double")).alias("p_value")
+    return stats.filter("draw > 0").crossJoin(F.broadcast(seen)).agg(reached, F.first("seen").alias("i"))  # one row
 
 
 def weight_draws(weights: list[float], draws: int, alpha: float = 10.0, seed: int = 42) -> list[list[float]]:
@@ -86,18 +116,24 @@ def weight_draws(weights: list[float], draws: int, alpha: float = 10.0, seed: in
     return [[round(float(x), 6) for x in rng.dirichlet(alpha * base)] for _ in range(draws)]
 
 
-def stability(df: DataFrame, scores: list[str], draws: list[list[float]], n: int, cap: int, group: str = "state_name") -> DataFrame:
-    """id and the percentage of weight draws whose capped top n holds the row.
+def stability(df: DataFrame, signals: list[str], draws: list[list[float]], top: DataFrame, cap: int, group: str = "state_name") -> DataFrame:
+    """id and the percentage of weight draws whose capped best hold the row, for the rows of `top`, as many as which
+    each draw takes.
 
-    Within a draw only the best n of a group can count, so each group is cut to `cap` rows before the top n."""
+    Signals enter as percent ranks, missing ones as the highest. Within a draw only the best `cap` rows of a group can
+    count, so each group is cut to them before the draw's best; a missing group is a group."""
+    n = top.count()
+    ranked = ranks.with_pct_ranks(df.select("id", group, *signals), {s: f"{s}_pct" for s in signals})
     rows = df.sparkSession.createDataFrame(pd.DataFrame({"draw": range(len(draws)), "w": draws}), "draw int, w array<double>")
-    drawn = df.select("id", group, *scores).crossJoin(F.broadcast(rows))
-    score = F.round(series.total([F.col(c) * F.col("w")[k] for k, c in enumerate(scores)]), 9)
+    drawn = cut(ranked.select("id", group, *[f"{s}_pct" for s in signals]), "signal-ranks").crossJoin(F.broadcast(rows))  # a few hundred rows
+    score = F.round(series.total([F.col(f"{c}_pct") * F.col("w")[k] for k, c in enumerate(signals)]), 9)
     drawn = drawn.select("id", group, "draw", score.alias("s"))
     place = F.row_number().over(Window.partitionBy("draw", group).orderBy(F.col("s").desc(), "id"))
     within = drawn.withColumn("place", place).filter(F.col("place") <= cap)
-    top = within.withColumn("rank", F.row_number().over(Window.partitionBy("draw").orderBy(F.col("s").desc(), "id"))).filter(F.col("rank") <= n)
-    return top.groupBy("id").agg(F.round(F.count(F.lit(1)) / len(draws) * 100, 1).alias("inclusion_pct"))
+    best = within.withColumn("rank", F.row_number().over(Window.partitionBy("draw").orderBy(F.col("s").desc(), "id"))).filter(F.col("rank") <= n)
+    counts = best.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    share = F.round(F.coalesce("times", F.lit(0)) / len(draws) * 100, 1)
+    return top.select("id").join(counts, "id", "left").select("id", share.alias("inclusion_pct"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:

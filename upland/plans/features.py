@@ -148,19 +148,19 @@ def _linear(ahead: int = 3) -> list:
 
 
 def holt_damped_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = src.widen(src.gappy_panel(spark, sf_dir))
-    return rows.select("id", *[F.round(c, 4).alias(f"ntl_hw_{2024 + h}") for h, c in enumerate(series.damped_holt(), 1)])
+    rows = src.widen(src.gappy_panel(spark, sf_dir)).withColumn("hw", series.damped_holt())
+    return rows.select("id", *[F.round(F.get("hw", h - 1), 4).alias(f"ntl_hw_{2024 + h}") for h in (1, 2, 3)])
 
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = src.widen(src.gappy_panel(spark, sf_dir))
-    both = zip(_linear(), series.damped_holt(), strict=True)
-    return rows.select("id", *[F.round(F.coalesce((a + b) / 2, a, b), 4).alias(f"ntl_forecast_{2024 + h}") for h, (a, b) in enumerate(both, 1)])
+    rows = src.widen(src.gappy_panel(spark, sf_dir)).withColumns({"hw": series.damped_holt(), "line": F.array(*_linear())})
+    mean = lambda a, b: F.coalesce((a + b) / 2, a, b)
+    return rows.select("id", *[F.round(mean(F.get("line", h - 1), F.get("hw", h - 1)), 4).alias(f"ntl_forecast_{2024 + h}") for h in (1, 2, 3)])
 
 
 def rising_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks 100 to 2000 by steepest trend, with the score that its percent rank would lift them to."""
-    rows = cut(scoring.ranked(scored(spark, sf_dir).withColumn("ntl_trend_slope", series.trend()[0])), "ranked")
+    rows = cut(scoring.ranked_whole(scored(spark, sf_dir).withColumn("ntl_trend_slope", series.trend()[0])), "ranked")
     best = rows.filter("rank <= 100").agg(F.min("composite_score").alias("hundredth"))
     stars = ranks.with_pct_rank(rows.filter(F.col("rank").between(100, 2000)), "ntl_trend_slope", "pct")
     lifted = stars.crossJoin(F.broadcast(best)).withColumn("projected_score_2027", F.col("composite_score") + F.col("pct") / 100 * 20)  # one row
@@ -199,7 +199,7 @@ _NTL = [f"ntl_{y}" for y in o.YEARS]
 _KEY = "replace(replace(lower(trim({})), ' ', ''), '-', '')"
 
 
-def _changepoint_sql() -> str:
+def changepoint_sql() -> str:
     """Segment fits with the whole segment's years, unrolled."""
     years, parts = list(o.YEARS), []
     for k in range(2, 5):
@@ -239,7 +239,7 @@ ORACLE_SQL = {
     "growth_signals": f"WITH {o.GROWN} SELECT id, {_R('ntl_growth_pct', 'ntl_growth_log', 'builtup_change', 'ghsl_change')} FROM grown",
     "ols_trend": f"WITH {o.GAPPY} SELECT id, count(value) AS n_years, round(CASE WHEN count(value) >= 3 THEN regr_slope(value, yr) END, 9) AS slope FROM long_gappy GROUP BY id",
     "ols_trend_wide": f"WITH {o.GAPPY} SELECT id, round(CASE WHEN count(value) >= 3 THEN regr_slope(value, yr) END, 9) AS slope FROM long_gappy GROUP BY id",
-    "changepoint": f"{_changepoint_sql()} SELECT d.id, yr AS ntl_breakpoint_year, round(sa, 8) AS ntl_pre_slope, round(sb, 8) AS ntl_post_slope, round(sb - sa, 8) AS ntl_acceleration FROM dense d LEFT JOIN (SELECT * FROM best WHERE rn = 1) b ON d.id = b.id",
+    "changepoint": f"{changepoint_sql()} SELECT d.id, yr AS ntl_breakpoint_year, round(sa, 8) AS ntl_pre_slope, round(sb, 8) AS ntl_post_slope, round(sb - sa, 8) AS ntl_acceleration FROM dense d LEFT JOIN (SELECT * FROM best WHERE rn = 1) b ON d.id = b.id",
     "pct_rank_nulls_bottom": f"WITH {o.PANEL} SELECT id, round(ghsl_change, 6) AS ghsl_change, round({o.pct_rank('ghsl_change')}, 6) AS pct FROM panel",
     "minmax_score": f"WITH {o.GROWN} SELECT id, round({o.minmax('ntl_growth_log', 'grown')}, 6) AS ntl_growth_log_score, round({o.minmax('ghsl_change', 'grown')}, 6) AS ghsl_change_score, 0.0::DOUBLE AS missing_score, round((1 + (count(*) OVER () - 1) / 2.0) / count(*) OVER () * 100.0, 6) AS flat_score FROM grown",
     "zscore_by_state": f"WITH {o.PANEL} SELECT id, state_name, round({o.zscore('ghsl_change', 'state_name')}, 6) AS ghsl_change_z FROM panel",
@@ -265,7 +265,7 @@ ORACLE_SQL = {
     "rising_stars": f"""WITH {o.SCORED}, r AS (SELECT *, row_number() OVER (ORDER BY {o.ORDER}) AS rank, {o.slope()} AS ntl_trend_slope FROM scored), h AS (SELECT min(composite_score) AS hundredth FROM r WHERE rank <= 100),
         s AS (SELECT *, {o.pct_rank('ntl_trend_slope')} AS pct FROM r WHERE rank BETWEEN 100 AND 2000), l AS (SELECT *, composite_score + pct / 100 * 20 AS projected_score_2027 FROM s CROSS JOIN h)
         SELECT id, rank, round(ntl_trend_slope, 6) AS ntl_trend_slope, round(projected_score_2027, 6) AS projected_score_2027, projected_score_2027 > hundredth AS likely_top100_2027 FROM l ORDER BY round(l.ntl_trend_slope, 9) DESC, id LIMIT 50""",
-    "archetype_rules": f"""{_changepoint_sql()}, {o.SCORED.replace(o.DENSE + ', ', '')}, s AS (SELECT q.*, b.yr AS bp, b.sb - b.sa AS acc, (q.id % 120)::DOUBLE AS city FROM scored q LEFT JOIN (SELECT * FROM best WHERE rn = 1) b ON q.id = b.id)
+    "archetype_rules": f"""{changepoint_sql()}, {o.SCORED.replace(o.DENSE + ', ', '')}, s AS (SELECT q.*, b.yr AS bp, b.sb - b.sa AS acc, (q.id % 120)::DOUBLE AS city FROM scored q LEFT JOIN (SELECT * FROM best WHERE rn = 1) b ON q.id = b.id)
         SELECT id, CASE WHEN coalesce(acc, 0) > 3.5 AND coalesce(bp, 0) >= 2022 THEN 'NTL Breakout' WHEN coalesce(builtup_change, 0) > 0 AND ghsl_change > 0 THEN 'Construction Boom'
         WHEN ntl_2024 > 10 AND (coalesce(builtup_change, 0) > 0 OR ghsl_change > 200) THEN 'Urban Fringe Surge' WHEN coalesce(ntl_growth_pct, 0) > 80 AND coalesce(builtup_change, 0) <= 0 AND ghsl_change <= 0 THEN 'Rural Electrification'
         WHEN city < 35 THEN 'Urban Fringe Expansion' WHEN city > 90 THEN 'Remote Village Emergence' ELSE 'Steady Grower' END AS archetype_name FROM s""",

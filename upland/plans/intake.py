@@ -358,7 +358,7 @@ def archetype_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def api_page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scoring.ranked(scored(spark, sf_dir))
+    rows = scoring.ranked_whole(scored(spark, sf_dir))
     page = serving.page_with_total(rows, offset=5, limit=20, district="PROMO", min_score=10.0)
     return rounded(page.select("rank", "id", "composite_score", "total"), "composite_score")
 

@@ -1,4 +1,5 @@
-"""Learned queries: amplifier, clusters, attribution. Their values are the engine's own, so only rows are compared."""
+"""Learned queries: amplifier, clusters, attribution. Their values are the engine's own, so only rows are compared, but
+for a model that is saved and loaded."""
 
 from __future__ import annotations
 
@@ -6,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from upland.operators import ml, scoring
+from upland.plans import oracle as o
 from upland.plans.features import grown, rounded
-from upland.sources.store import cut
+from upland.plans.fullrun import with_signals
+from upland.sources.store import cut, new_folder
 
 SIGNALS = ["ntl_growth_log", "builtup_change", "ghsl_change", "ntl_2024"]
+#: Signals that entities are clustered by.
+PROFILE = ["ntl_growth_pct", "ndbi_growth", "ghsl_change", "tower_growth", "dist_city_km", "dist_highway_km"]
 
 
 def _main(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +26,20 @@ def gbt_amplifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.cluster(_main(spark, sf_dir), SIGNALS).select("id", "cluster")
+    """Clusters of the main track and their names; rules name the entities if the clusters say nothing."""
+    rows = with_signals(spark, sf_dir).filter(scoring.is_main()).withColumn("ntl_breakpoint_year", F.lit(None).cast("int"))
+    rows = cut(rows.withColumn("rule_name", scoring.archetype()), "profiles")
+    return ml.named_clusters(rows, PROFILE, "rule_name").select("id", "cluster", "archetype_name")
 
 
 def tree_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.attribute(_main(spark, sf_dir), SIGNALS).select("id", "top1", "top2", "top3")
 
 
-QUERIES = {f.__name__: f for f in (gbt_amplifier, kmeans_archetypes, tree_attribution)}
-ORACLE_SQL: dict[str, str] = {}
+def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The amplifier saved and loaded gives the same probabilities."""
+    return rounded(ml.round_trip(_main(spark, sf_dir), SIGNALS, new_folder(spark, "model")), "most_apart")
+
+
+QUERIES = {f.__name__: f for f in (gbt_amplifier, kmeans_archetypes, tree_attribution, model_round_trip)}
+ORACLE_SQL: dict[str, str] = {"model_round_trip": f"WITH {o.GROWN} SELECT count(*) AS n, 0.0::DOUBLE AS most_apart FROM grown WHERE is_main"}

@@ -48,9 +48,10 @@ def zscore(column: str, key: str) -> str:
     return f"CASE WHEN {key} IS NULL THEN 0 ELSE coalesce(({column} - avg({column}) {w}) / CASE WHEN count({column}) {w} < 3 THEN 1 ELSE greatest(coalesce(stddev_samp({column}) {w}, 1), 1e-6) END, 0) END"
 
 
-SCORED = f"""{GROWN}, main0 AS (SELECT * REPLACE ({zscore("ghsl_change", "state_name")} AS ghsl_change) FROM grown WHERE is_main),
+SCORED_AFTER_GROWN = f"""main0 AS (SELECT * REPLACE ({zscore("ghsl_change", "state_name")} AS ghsl_change) FROM grown WHERE is_main),
   main1 AS (SELECT *, {minmax("ntl_growth_log", "main0")} AS ntl_growth_log_score, {minmax("ghsl_change", "main0")} AS ghsl_change_score FROM main0),
   scored AS (SELECT *, ntl_growth_log_score * (0.30::DOUBLE / 0.45::DOUBLE) + ghsl_change_score * (0.15::DOUBLE / 0.45::DOUBLE) AS composite_score FROM main1)"""
+SCORED = f"{GROWN}, {SCORED_AFTER_GROWN}"
 DARK = f"""dark0 AS (SELECT * FROM grown WHERE NOT is_main), dark1 AS (SELECT *, {minmax("ntl_growth_log", "dark0")} AS ntl_growth_log_score, {minmax("ghsl_change", "dark0")} AS ghsl_change_score FROM dark0),
   dark AS (SELECT *, ntl_growth_log_score * (0.40::DOUBLE / 0.70::DOUBLE) + ghsl_change_score * (0.30::DOUBLE / 0.70::DOUBLE) AS composite_score FROM dark1)"""
 ORDER = "round(composite_score, 9) DESC, id"

@@ -14,7 +14,7 @@ from upland.sources import panel as src
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.ranked(scored(spark, sf_dir))
+    return scoring.ranked_whole(scored(spark, sf_dir))
 
 
 def api_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def api_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def states_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(serving.states(ranked(spark, sf_dir)), "mean_score")
+    return rounded(serving.states(scored(spark, sf_dir)), "mean_score")
 
 
 def archetype_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

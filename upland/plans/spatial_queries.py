@@ -96,6 +96,16 @@ _BASE = r"lower(trim(regexp_replace(village_name, '\s*\(OSM\s*\d+\)\s*$', '')))"
 _CC = """both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT a, a FROM pairs UNION SELECT b, b FROM pairs), reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, p.b FROM reach r JOIN both_ways p ON r.b = p.a),
   comp AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)"""
 
+
+def name_key_sql() -> str:
+    return _BASE
+
+
+def components_sql(name: str) -> str:
+    """The components of the table {name}_pairs, as {name}_comp."""
+    return _CC.replace("FROM pairs", f"FROM {name}_pairs").replace("both_ways", f"{name}_both").replace("reach", f"{name}_reach").replace("comp AS", f"{name}_comp AS")
+
+
 ORACLE_SQL = {
     "radius_count": f"WITH {o.ENTITY}, {o.TOWERS} SELECT a.id, count(b.tower_id) AS towers, round(count(b.tower_id) / (pi() * 25), 6) AS tower_density FROM entity a LEFT JOIN towers b ON {o.D2} <= {RADIUS * RADIUS} GROUP BY a.id",
     "nearest_city": f"WITH {o.ENTITY}, {o.CITIES}, d AS (SELECT a.id, b.city_id, {o.D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {o.D2}, b.city_id) AS rn FROM entity a CROSS JOIN cities b) SELECT id, city_id, round(sqrt(d2) * 111.0, 6) AS dist_city_km FROM d WHERE rn = 1",

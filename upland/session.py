@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,6 +25,7 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(package.rglob("*.py")):
             out.write(file, Path(package.name) / file.relative_to(package))
     context.addPyFile(str(bundle))
+    atexit.register(shutil.rmtree, bundle.parent, ignore_errors=True)
     _SHIPPED.add(context.applicationId)
 
 

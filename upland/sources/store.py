@@ -13,11 +13,16 @@ _ROOTS: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The application's own folder below `spark.checkpoint.dir`; a temporary folder only where that is unset."""
+    """The application's own folder below `spark.checkpoint.dir`.
+
+    A session on one machine that hasn't set it gets a temporary folder; on a cluster, where executors couldn't read
+    that, it is an error."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if base is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors can read")
             base = f"file://{tempfile.mkdtemp(prefix='upland-')}"
         _ROOTS[app] = f"{base.rstrip('/')}/upland-{app}"
         atexit.register(_remove, spark, _ROOTS[app])
