@@ -181,6 +181,7 @@ def exchange(bigrams: Bigrams, classes: int = CLASSES, rounds: int = ROUNDS) ->
     own = np.concatenate([np.arange(n) % c, [c, c + 1]])  # symbols come by frequency, so frequent words start apart
     f = lambda x: x * np.log(np.maximum(x, 1e-300))
     m = bigrams.by_class(own)
+    fm = f(m)  # kept in step with m
     back = np.argsort(bigrams.second, kind="stable")
     lead, lead_n = bigrams.first[back], bigrams.n[back]
     follow_at = np.searchsorted(bigrams.first, np.arange(n + 1))
@@ -197,10 +198,11 @@ def exchange(bigrams: Bigrams, classes: int = CLASSES, rounds: int = ROUNDS) ->
             m[a] -= right
             m[:, a] -= left
             m[a, a] -= same
+            fm[a], fm[:, a] = f(m[a]), f(m[:, a])
             out, into = m.sum(1) + left, m.sum(0) + right  # what stays, wherever the word goes
-            k = np.arange(c)
-            rows, columns = m[:c], m[:, :c].T
-            gain = (f(rows + right) - f(rows)).sum(1) + (f(columns + left) - f(columns)).sum(1)
+            k, after, before = np.arange(c), np.flatnonzero(right), np.flatnonzero(left)
+            gain = (f(m[:c, after] + right[after]) - fm[:c, after]).sum(1)
+            gain += (f(m[before, :c] + left[before, None]) - fm[before, :c]).sum(0)
             corner, r, lf = m[k, k], right[:c], left[:c]
             gain += f(corner + r + lf + same) - f(corner) - (f(corner + r) - f(corner)) - (f(corner + lf) - f(corner))
             gain -= f(out[:c] + right.sum() + same) - f(out[:c]) + f(into[:c] + left.sum() + same) - f(into[:c])
@@ -210,6 +212,7 @@ def exchange(bigrams: Bigrams, classes: int = CLASSES, rounds: int = ROUNDS) ->
             m[b] += right
             m[:, b] += left
             m[b, b] += same
+            fm[b], fm[:, b] = f(m[b]), f(m[:, b])
             own[w] = b
             moved += b != a
         if not moved:

@@ -108,11 +108,12 @@ def duals(histogram: DataFrame, wanted: DataFrame, most: int = MOST, steps: int
     state = wanted.join(means, _KEY).withColumns({"dual": start, "low": F.lit(-FAR), "high": F.lit(FAR), "open": ~full})
     state = cut(state, "mix-newton")
     for _ in range(steps):
-        if state.filter("open").isEmpty():
+        if not state.agg(F.max("open")).first()[0]:
             break
         size = F.col("size").cast("double")
         w = rate(F.col("dual"), size, F.col("mean"), most)
-        weighed = keyed_join(bars, state.filter("open").select(_KEY, "dual", "mean"), [_KEY], "inner").withColumn("w", w)
+        # a row for each source: broadcast by its size as written, or joined by a shuffle that AQE may split
+        weighed = bars.join(state.filter("open").select(_KEY, "dual", "mean"), _KEY).withColumn("w", w)
         mass = F.col("w") * size * F.col("n")
         slope = F.when(F.col("w") < most, mass * size / F.col("mean")).otherwise(0.0)
         sums = weighed.groupBy(_KEY).agg(F.sum(mass).alias("total"), F.sum(slope).alias("slope"))
