@@ -50,16 +50,28 @@ def positions_within(values: DataFrame, keys: list[str]) -> DataFrame:
 
 def with_pct_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Percent rank of each row for each column, under the name given, ties averaged; null ranks after all values
-    and so has the highest percent. `df` is written first, as every column's statistics read it again."""
-    base = cut(df, "ranked")
+    and so has the highest percent. `df` is written first, as every column's statistics read it again.
+
+    Several columns are ranked as one long table, so the number of joins doesn't grow with them."""
+    base = cut(df.withColumn("row_of_rank", F.monotonically_increasing_id()), "ranked")
     sizes = base.agg(F.count(F.lit(1)).alias("all_rows"), *[F.count(c).alias(f"with_{k}") for k, c in enumerate(columns)]).first()
+    middle = lambda: F.col("before") + (F.col("n") + 1) / 2.0
     rows = base
-    for k, (column, out) in enumerate(columns.items()):
-        total, known = sizes["all_rows"], sizes[f"with_{k}"]
-        ranked = positions(base, column).select(F.col("value").alias("ranked_value"), (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))
-        rows = rows.join(ranked, F.col(column) == F.col("ranked_value"), "left").drop("ranked_value")
-        rows = rows.withColumn(out, F.coalesce(F.col(out), F.lit(known + (total - known + 1) / 2.0)) / F.lit(max(total, 1)) * 100.0)
-    return rows
+    if len(columns) > 2:
+        values = F.array(*[F.struct(F.lit(k).alias("column"), F.col(c).cast("double").alias("value")) for k, c in enumerate(columns)])
+        long = base.select("row_of_rank", F.inline(values)).filter("value is not null")
+        found = long.join(positions_within(long.select("column", "value"), ["column"]), ["column", "value"])
+        wide = [F.max(F.when(F.col("column") == k, middle())).alias(out) for k, out in enumerate(columns.values())]
+        rows = rows.join(found.groupBy("row_of_rank").agg(*wide), "row_of_rank", "left")
+    else:
+        for column, out in columns.items():
+            ranked = positions(base, column).select(F.col("value").alias("ranked_value"), middle().alias(out))
+            rows = rows.join(ranked, F.col(column) == F.col("ranked_value"), "left").drop("ranked_value")
+    total = sizes["all_rows"]
+    for k, out in enumerate(columns.values()):
+        last = sizes[f"with_{k}"] + (total - sizes[f"with_{k}"] + 1) / 2.0
+        rows = rows.withColumn(out, F.coalesce(F.col(out), F.lit(last)) / F.lit(max(total, 1)) * 100.0)
+    return rows.drop("row_of_rank")
 
 
 def with_pct_rank(df: DataFrame, column: str, out: str) -> DataFrame:

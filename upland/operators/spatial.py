@@ -41,8 +41,11 @@ def nearest(points: DataFrame, others: DataFrame, k: int, exclude_self: bool = F
 
     A ring of cells settles a point if its k-th neighbour found is within the cell size; the rest meet cells of
     twice the size, until cells cover the extent. `others` has other_id, latitude, longitude."""
-    extent = others.agg(F.count(F.lit(1)).alias("n"), F.max("latitude") - F.min("latitude"), F.max("longitude") - F.min("longitude")).first()
-    n, high, wide = extent[0], float(extent[1] or 0.0), float(extent[2] or 0.0)
+    ends = [f(c) for c in ("latitude", "longitude") for f in (F.min, F.max)]
+    theirs, own = others.agg(*ends, F.count(F.lit(1))).first(), points.agg(*ends).first()
+    known = [[x[k] for x in (theirs, own) if x[k] is not None] for k in range(4)]
+    south, north, west, east = (f(x, default=0.0) for f, x in zip((min, max, min, max), known, strict=True))
+    n, high, wide = theirs[4], float(north - south), float(east - west)
     span = max(high, wide, 1e-6)
     size = max(math.sqrt(max(high, 1e-6) * max(wide, 1e-6) * (k + 1) / max(n, 1)), span / 1e6)
     todo, done = points.select("id", "latitude", "longitude"), None
