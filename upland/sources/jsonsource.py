@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ELEMENTS = "struct<elements:array<struct<id:bigint,lat:double,lon:double,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>>>>"
-SAMPLE = '{"elements": [{"id": 1, "lat": 12.5, "lon": 77.25, "tags": {"name": "Alpha", "name:en": "A", "is_in:state": "Karnataka"}}, {"id": 2, "lat": 13.0, "lon": 78.0, "tags": {"name": "", "name:hi": "Beta-local"}}, {"id": 3, "lat": 14.0, "lon": 79.0}]}'
 
 
 def first_tag(tags: Column, *keys: str) -> Column:
