@@ -88,3 +88,53 @@ def mix_targets() -> str:
       w AS (SELECT min_by(level, cap / weight) FILTER (WHERE cap >= level * weight) AS water FROM l),
       g AS (SELECT source, source_size, least(cap, coalesce(water * weight, cap)) AS target FROM l CROSS JOIN w)
       SELECT d.doc_id, d.size, g.source_size, round(g.target, 4) AS target FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source"""
+
+
+def collocations() -> str:
+    return rf"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({LOWER}, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+      w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+      o AS (SELECT lang, unnest(w) AS p FROM w
+        UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+        UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+      f AS (SELECT lang, p, count(*)::HUGEINT AS f, string_split(p, ' ') AS w FROM o GROUP BY lang, p HAVING count(*) >= 10),
+      n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+      k AS (SELECT lang, p, f AS a, w, unnest(range(1, len(w))) AS k FROM f WHERE len(w) > 1),
+      c AS (SELECT k.lang, k.p, a, k, k.w, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f * y.f) AS score FROM k
+        JOIN f x ON x.lang = k.lang AND x.p = array_to_string(k.w[1:k], ' ') JOIN f y ON y.lang = k.lang AND y.p = array_to_string(k.w[k + 1:], ' ')),
+      b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS best FROM c),
+      d AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS p, a AS longer FROM b WHERE best = 1 AND len(w) = 3),
+      m AS (SELECT lang, p, max(longer) AS longer FROM d GROUP BY lang, p),
+      q AS (SELECT b.* FROM b LEFT JOIN m ON b.lang = m.lang AND b.p = m.p WHERE best = 1 AND coalesce(100 * longer < 50 * a, true)),
+      z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM q)
+      SELECT z.lang, rank, p AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+      FROM z JOIN n ON z.lang = n.lang WHERE rank <= 2000"""
+
+
+def source_divergence() -> str:
+    return rf"""WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+      o AS (SELECT d, lang, source, unnest(w) AS term FROM t),
+      k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT d) >= 3), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+      g AS (SELECT DISTINCT lang, source FROM t),
+      c AS (SELECT o.lang, o.source, o.term, count(*) AS c FROM o JOIN k ON o.lang = k.lang AND o.term = k.term GROUP BY ALL),
+      f AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c FROM g JOIN k ON g.lang = k.lang
+        LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+      n AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM f GROUP BY ALL),
+      p AS (SELECT f.lang, f.source, term, c, 1 + (1000000000::HUGEINT * (c + 1)) // (n + v) AS p
+        FROM f JOIN n ON f.lang = n.lang AND f.source = n.source JOIN v ON f.lang = v.lang),
+      l AS (SELECT s.lang, term, 1 + (1000000000::HUGEINT * (s.c + 1)) // (m.n + v) AS p FROM (SELECT lang, term, sum(c) AS c FROM f GROUP BY ALL) s
+        JOIN (SELECT lang, sum(n) AS n FROM n GROUP BY lang) m ON s.lang = m.lang JOIN v ON s.lang = v.lang),
+      pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+      pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+      terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p.p - l.p) * (p.p - l.p)) // l.p AS value
+        FROM p JOIN l ON p.lang = l.lang AND p.term = l.term WHERE p.c > 0 AND p.p > l.p),
+      r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+      SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 200"""
+
+
+def exact_dedup() -> str:
+    return """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+      g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size, sha256(text) AS text_sha256 FROM t GROUP BY text)
+      SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g ON t.text = g.text"""

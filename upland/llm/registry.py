@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upland.llm import brown, decontam, htmltext, jaccard, langid, licences, mixing, oracles, quality, secrets, tokenbin
+from upland.llm import (
+    brown,
+    decontam,
+    dedup,
+    divergence,
+    htmltext,
+    jaccard,
+    langid,
+    licences,
+    mixing,
+    oracles,
+    phrases,
+    quality,
+    secrets,
+    tokenbin,
+)
 from upland.llm.common import table
 
 
@@ -51,6 +66,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
 def licence_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of `op1_license_scan` that SQL can express."""
     return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -80,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_token_ids,
         op10_secret_scan,
+        op11_phrase_collocations,
+        op12_source_divergence,
+        op13_exact_dedup,
         licence_base,
         lm_base,
         mix_targets,
@@ -90,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": oracles.quality_rules(),
     "op5_jaccard_join": oracles.jaccard(),
+    "op11_phrase_collocations": oracles.collocations(),
+    "op12_source_divergence": oracles.source_divergence(),
+    "op13_exact_dedup": oracles.exact_dedup(),
     "licence_base": oracles.licence_base(),
     "lm_base": oracles.lm_base(),
     "mix_targets": oracles.mix_targets(),

@@ -88,8 +88,8 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, i: int, j: int, separators: np.ndarray = SPACES, lower: bool = True, seed: int = 0) -> Words:
-    """The words of texts i to j - 1: runs of bytes that are no separators."""
+def words(data: np.ndarray, offsets: np.ndarray, i: int, j: int, separators: np.ndarray = SPACES, lower: bool = True, seed: int = 0, hashed: bool = True) -> Words:
+    """The words of texts i to j - 1: runs of bytes that are no separators; without hashes unless `hashed`."""
     base, top = int(offsets[i]), int(offsets[j])
     text = np.zeros(top - base + 8, np.uint8)
     text[: top - base] = _LOWER[data[base:top]] if lower else data[base:top]
@@ -101,7 +101,7 @@ def words(data: np.ndarray, offsets: np.ndarray, i: int, j: int, separators: np.
     before[cuts] = False
     after[cuts[cuts > 0] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return Words(text, start, end, np.searchsorted(start, at), hashes(text, start, end, seed))
+    return Words(text, start, end, np.searchsorted(start, at), hashes(text, start, end, seed) if hashed else np.zeros(0, np.uint64))
 
 
 def hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
