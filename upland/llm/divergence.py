@@ -84,7 +84,8 @@ def to_bytes(t: Trie) -> bytes:
 
 
 def from_bytes(data: bytes) -> Trie:
-    (shared, documents, sizes, group, count), rest = tries.unpacked(data)
+    arrays, rest = tries.unpacked(data)
+    shared, documents, sizes, group, count = (x.astype(np.int64) for x in arrays)
     path, last = [], b""
     for k, own in zip(shared.tolist(), rest, strict=True):
         last = last[:k] + own
@@ -103,7 +104,7 @@ def _summed(leaf: np.ndarray, group: np.ndarray, count: np.ndarray, groups: int,
 def of_shard(shard: pa.Table, lang_of: np.ndarray, groups: int) -> tuple[Trie, list[bytes], np.ndarray]:
     """The trie of a table of text and group; the distinct words, and the key lang * words + word of each leaf."""
     w, text, offsets = tries.tokens(shard.column("text"), NOT_LETTER)
-    words, place, _ = tries.interned(w, pa.array([], pa.binary()))
+    words, place, _ = tries.interned(w, NOT_LETTER, pa.array([], pa.binary()))
     own = shard.column("group").to_numpy()
     n, v = len(offsets) - 1, max(1, len(words))
     leaf = lang_of[own][text] * v + place

@@ -50,7 +50,7 @@ class Trie:
 
     def __init__(self, shard: pa.Table, depth: int = DEPTH):
         w, text, offsets = tries.tokens(shard.column("text"), SEPARATORS)
-        self.words, place, lang = tries.interned(w, shard.column("lang").combine_chunks())
+        self.words, place, lang = tries.interned(w, SEPARATORS, shard.column("lang").combine_chunks())
         size = max(1, len(self.words))
         ends = np.cumsum(np.concatenate([[0], ENDS[w.data]]))[w.start] + text  # grows wherever a piece ends
         key, count = np.unique(lang[text], return_counts=True)
@@ -119,7 +119,7 @@ class Piece:
         for k in range(0, len(arrays), 3):
             self.led.append(bool(arrays[k][0]))
             self.word.append(arrays[k][1:])
-            self.parent.append(np.repeat(np.arange(len(arrays[k + 1])), arrays[k + 1]) if k else np.zeros(len(arrays[k]) - 1, np.int64))
+            self.parent.append(np.repeat(np.arange(len(arrays[k + 1]), dtype=np.int32), arrays[k + 1]) if k else np.zeros(len(arrays[k]) - 1, np.int32))
             self.count.append(arrays[k + 2])
 
 

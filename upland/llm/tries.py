@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from upland.llm import textkernel as tk
 
 #: Bytes of text in a shard, and in a range of keys on average.
-SHARD, RANGE = 16 << 20, 16 << 20
+SHARD, RANGE = 8 << 20, 8 << 20
 #: Sampled keys for each range, and at least in all.
 KEYS_A_RANGE, KEYS = 16, 8192
 
@@ -46,12 +46,13 @@ def tokens(column: pa.ChunkedArray, separators: np.ndarray) -> tuple[tk.Words, n
     return w, tk.text_of(w), offsets
 
 
-def interned(w: tk.Words, more: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words of `w` and `more` in the order of their bytes, and the place there of each of either."""
+def interned(w: tk.Words, separators: np.ndarray, more: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of `w`, which `separators` part, and of `more` in the order of their bytes, and the place
+    there of each of either."""
     size = w.end - w.start
-    first = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(first[-1]) + np.repeat(w.start - first[:-1], size)
-    own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(w.data[at])])
+    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    data = w.data[:-8][~separators[w.data[:-8]]]
+    own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(first), pa.py_buffer(data)])
     coded = pa.chunked_array([own, more.cast(pa.large_binary())]).combine_chunks().dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
@@ -92,7 +93,7 @@ def merged(runs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     first = np.flatnonzero(new)
-    total = np.add.reduceat(np.concatenate(counts)[order], first) if len(keys) else np.zeros(0, np.int64)
+    total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), first) if len(keys) else np.zeros(0, np.int64)
     place = np.empty(len(keys), np.int64)
     place[order] = np.cumsum(new) - 1
     return keys[first], total, np.split(place, np.cumsum([len(r) for r in runs])[:-1])
@@ -109,15 +110,17 @@ def packed(arrays: list[np.ndarray], words: list[bytes]) -> bytes:
 
 
 def unpacked(data: bytes) -> tuple[list[np.ndarray], list[bytes]]:
+    """What was packed; the arrays keep their narrow types."""
     raw = zstandard.ZstdDecompressor().decompress(data)
     arrays, at = [], 8
     for _ in range(int(np.frombuffer(raw, np.uint64, 1)[0]) + 1):
         n, width = map(int, np.frombuffer(raw, np.uint64, 2, at))
         planes = np.frombuffer(raw, np.uint8, n * width, at + 16).reshape(width, n)
-        arrays.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
+        arrays.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
         at += 16 + n * width
-    ends = np.cumsum(arrays[-1]) + at
-    return arrays[:-1], [raw[a:b] for a, b in zip((ends - arrays[-1]).tolist(), ends.tolist(), strict=True)]
+    size = arrays[-1].astype(np.int64)
+    ends = np.cumsum(size) + at
+    return arrays[:-1], [raw[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
 
 
 Key = tuple[bytes, ...]
