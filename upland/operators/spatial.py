@@ -1,4 +1,5 @@
-"""Spatial joins by grid cells: every join is an equi-join on cells with the exact test behind it."""
+"""Spatial joins by grid cells: every join is an equi-join on cells with the exact test behind it. Nearest neighbours and
+counts within a radius go by the balanced partition."""
 
 from __future__ import annotations
 
@@ -6,10 +7,11 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from upland.functions import spatial as sp
-from upland.sources.store import cut
+from upland.operators.balanced import nearest, radius_count
+
+__all__ = ["fill_blank", "first_polygon", "in_polygons", "metre_pairs", "named_pairs", "nearest", "planar_nearest_km", "radius_count", "spatial_lag", "within_radius"]
 
 
 def _cells(lat: Column, lon: Column, size_lat: float, size_lon: float) -> list[Column]:
@@ -30,48 +32,6 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame
     return _ring(a).join(b, ["cell_r", "cell_c"]).filter(near).drop("cell_r", "cell_c")
 
 
-def radius_count(points: DataFrame, others: DataFrame, radius: float, out: str) -> DataFrame:
-    """Points with the number of others within `radius` degrees, 0 included."""
-    counted = within_radius(points.select("id", "latitude", "longitude"), others.select("latitude", "longitude"), radius).groupBy(F.col("l_id").alias("id")).agg(F.count(F.lit(1)).alias(out))
-    return points.join(counted, "id", "left").withColumn(out, F.coalesce(out, F.lit(0)))
-
-
-def nearest(points: DataFrame, others: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """id, other_id, d2 and rn of each point's k nearest others by squared degrees, ties by other_id.
-
-    A ring of cells settles a point if its k-th neighbour found is within the cell size; the rest meet cells of
-    twice the size, until cells cover the extent. `others` has other_id, latitude, longitude."""
-    ends = [f(c) for c in ("latitude", "longitude") for f in (F.min, F.max)]
-    theirs, own = others.agg(*ends, F.count(F.lit(1))).first(), points.agg(*ends).first()
-    known = [[x[k] for x in (theirs, own) if x[k] is not None] for k in range(4)]
-    south, north, west, east = (f(x, default=0.0) for f, x in zip((min, max, min, max), known, strict=True))
-    n, high, wide = theirs[4], float(north - south), float(east - west)
-    span = max(high, wide, 1e-6)
-    size = max(math.sqrt(max(high, 1e-6) * max(wide, 1e-6) * (k + 1) / max(n, 1)), span / 1e6)
-    todo, done = points.select("id", "latitude", "longitude"), None
-    while True:
-        last = size >= 2 * span + 180
-        a = todo.select("id", F.col("latitude").alias("a_lat"), F.col("longitude").alias("a_lon"), *_cells(F.col("latitude"), F.col("longitude"), size, size))
-        b = others.select("other_id", F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon"), *_cells(F.col("latitude"), F.col("longitude"), size, size))
-        pairs = _ring(a).join(b, ["cell_r", "cell_c"])
-        if exclude_self:
-            pairs = pairs.filter("id <> other_id")
-        pairs = pairs.select("id", "other_id", sp.degrees2(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")).alias("d2"))
-        ranked = cut(pairs.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("d2", "other_id"))).filter(F.col("rn") <= k), "nearest")
-        if last:
-            settled = ranked
-        else:
-            sure = ranked.filter((F.col("rn") == k) & (F.col("d2") <= size * size)).select("id")
-            settled = ranked.join(sure, "id", "left_semi")
-        done = settled if done is None else done.unionByName(settled)
-        if last:
-            return done
-        todo = cut(todo.join(sure, "id", "left_anti"), "unsettled")
-        if todo.isEmpty():
-            return done
-        size *= 2
-
-
 def spatial_lag(points: DataFrame, value: str, k: int = 10) -> DataFrame:
     """id and the mean of the k nearest other points' values, a missing value counting as 0."""
     others = points.select(F.col("id").alias("other_id"), "latitude", "longitude")
