@@ -65,7 +65,7 @@ def test_radius_counts_of_a_crowd(spark, radius, leaf):
 def test_no_task_gets_the_crowd(spark):
     """Work is dealt in units: none has more than its share of the pairs, though one town holds most of both sides."""
     rows = [r for r in crowd(6000) if fine(r)]
-    places = frame(spark, rows).dropDuplicates(["latitude", "longitude"])
+    places = balanced.cut(frame(spark, rows).dropDuplicates(["latitude", "longitude"]), "places")
     tree, leaves = balanced.plane(places, ["id"], None, 64)
     sizes = sorted(r.n for r in leaves.select(F.size("members").alias("n")).collect())
     assert sum(sizes) == places.count() and sizes[-1] <= 4 * 64

@@ -38,7 +38,7 @@ def test_minmax_degenerate_columns(spark):
 
 def test_zscore_of_small_groups_keeps_units(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 4.0), ("b", None)], "k string, v double")
-    out = df.select("k", "v", ranks.zscore_within(F.col("v"), F.col("k")).alias("z")).collect()
+    out = ranks.with_zscore(df, "v", "k", "z").collect()
     assert {(r.k, r.v): r.z for r in out} == {("a", 1.0): -1.0, ("a", 3.0): 1.0, (None, 4.0): 0.0, ("b", None): 0.0}
 
 

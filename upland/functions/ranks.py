@@ -93,14 +93,16 @@ def with_row_numbers(df: DataFrame, score: str, key: str, out: str) -> DataFrame
     return placed.withColumn(out, (F.col(out) + F.col("rows_before")).cast("int")).drop("range_of_row", "rows_before")
 
 
-def pct_rank_within(column: Column, *keys: Column) -> Column:
-    """Percent rank within groups that fit a task; null keys give null."""
-    group = Window.partitionBy(*keys)
-    rank = F.rank().over(group.orderBy(column.asc_nulls_last())) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, column)) - 1) / 2.0
-    known = keys[0].isNotNull()
-    for k in keys[1:]:
-        known &= k.isNotNull()
-    return F.when(known, rank / F.count(F.lit(1)).over(group) * 100.0)
+def with_pct_rank_within(df: DataFrame, column: Column, keys: list[str], out: str) -> DataFrame:
+    """`df` with the percent rank of `column` within each group, ties averaged, nulls after all values; a null key gives
+    null. Groups are ranked in ranges of their values, so a group of any size is no single task. `df` is written first."""
+    base = cut(df.withColumn("value_of_rank", column), "ranked-within")
+    rows = base.select(*keys, F.col("value_of_rank").alias("value")).na.drop(subset=keys)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_of_group"), F.count("value").alias("known_of_group"))
+    placed = positions_within(rows.filter("value is not null"), keys).withColumnRenamed("value", "value_of_rank")
+    middle = F.coalesce(F.col("before") + (F.col("n") + 1) / 2.0, F.col("known_of_group") + (F.col("rows_of_group") - F.col("known_of_group") + 1) / 2.0)
+    met = base.join(sizes, keys, "left").join(placed, [*keys, "value_of_rank"], "left")
+    return met.withColumn(out, middle / F.col("rows_of_group") * 100.0).select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
 
 
 def quantiles(df: DataFrame, wanted: dict[str, list[float]], small: int = SMALL) -> dict[str, list[float | None]]:
@@ -145,10 +147,12 @@ def with_minmax_scores(df: DataFrame, columns: dict[str, str], low: float = 0.02
     return rows.drop(*degenerate.values())
 
 
-def zscore_within(column: Column, key: Column, least: int = 3) -> Column:
-    """Distance from the group's mean in its standard deviations; groups of fewer than `least` rows keep
-    their units; a null value or key gives 0."""
-    group = Window.partitionBy(key)
-    mean, spread, n = F.avg(column).over(group), F.stddev_samp(column).over(group), F.count(column).over(group)
-    scale = F.when(n < least, 1.0).otherwise(F.greatest(F.coalesce(spread, F.lit(1.0)), F.lit(1e-6)))
-    return F.when(key.isNull(), 0.0).otherwise(F.coalesce((column - mean) / scale, F.lit(0.0)))
+def with_zscore(df: DataFrame, column: str, key: str, out: str, least: int = 3) -> DataFrame:
+    """`df` with the distance from the group's mean in its standard deviations; groups of fewer than `least` rows keep
+    their units; a null value or key gives 0. Groups are aggregated and joined back: a row a group. `df` is read
+    twice; write it first if dear."""
+    own = [F.avg(column).alias("mean_of_group"), F.stddev_samp(column).alias("spread_of_group"), F.count(column).alias("values_of_group")]
+    stats = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key_of_group")).agg(*own)
+    scale = F.when(F.col("values_of_group") < least, 1.0).otherwise(F.greatest(F.coalesce("spread_of_group", F.lit(1.0)), F.lit(1e-6)))
+    score = F.coalesce((F.col(column) - F.col("mean_of_group")) / scale, F.lit(0.0))
+    return df.join(stats, F.col(key) == F.col("key_of_group"), "left").withColumn(out, score).drop("key_of_group", "mean_of_group", "spread_of_group", "values_of_group")

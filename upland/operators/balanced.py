@@ -10,6 +10,8 @@ the tight box around its rows: a pyramid of counts, some dozens of bytes a leaf,
 * Counts: a node wholly inside the circle adds its count, one wholly outside nothing; what is left at the circle's
   edge are leaves, whose rows are compared one by one.
 
+Others that fit one leaf go to all tasks as they are.
+
 Meetings are dealt out as units of at most about UNIT points and one leaf, so a town that holds most of the points is
 many units. Equal places are one place: of the others there, counts have the sum, and the k nearest can only be the
 first k + 1 of them. A point or other without coordinates takes no part.
@@ -24,13 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from upland.operators.topk import first_in_groups
 from upland.sources.store import cut
 
-LEAF, SAMPLE, UNIT = 512, 16, 4096
+LEAF, SAMPLE, UNIT = 1024, 16, 4096
 #: Distances that a kernel holds at once.
 CELLS = 1 << 21
 
@@ -125,8 +127,8 @@ def _placed(rows: DataFrame, *others: str) -> DataFrame:
 
 
 def plane(places: DataFrame, own: list[str], count: str | None, leaf: int = LEAF) -> Plane:
-    """The partition of `places` (latitude, longitude and the columns `own`); `count` names the column that nodes sum."""
-    places = cut(places, "places")
+    """The partition of `places`, a written table of latitude, longitude and the columns `own`; `count` names the column that
+    nodes sum."""
     n = places.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
     wanted = max(4096, SAMPLE << depth)
@@ -187,15 +189,43 @@ def first_k(d2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[place < k], column[place < k]
 
 
+def _structs(places: DataFrame) -> pa.StructArray:
+    """All rows of a table that fits a leaf, sorted."""
+    table = places.toArrow()
+    table = table.sort_by([(c, "ascending") for c in table.column_names])
+    return table.combine_chunks().to_struct_array().combine_chunks() if table.num_rows else pa.array([], pa.struct(list(table.schema)))
+
+
+def _nearest_of_few(rows: DataFrame, few: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """`nearest` among others that fit a leaf."""
+    members = _structs(few)
+    schema = StructType([rows.schema["id"], few.schema["other_id"], StructField("d2", DoubleType()), StructField("rn", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theirs = members.field("other_id")
+        for batch in batches:
+            pts, mine = batch.to_struct_array(), batch.column("id")
+            for i, j, d2 in _distances(pts, members):
+                if exclude_self:
+                    d2[mine.to_numpy(zero_copy_only=False)[i:j, None] == theirs.to_numpy(zero_copy_only=False)[None, :]] = np.inf
+                row, column = first_k(d2, k)
+                place = (np.arange(len(row)) - np.searchsorted(row, row) + 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([mine.take(pa.array(row + i)), theirs.take(pa.array(column)), pa.array(d2[row, column]), pa.array(place)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def nearest(points: DataFrame, others: DataFrame, k: int, exclude_self: bool = False, leaf: int = LEAF, unit: int = UNIT) -> DataFrame:
     """id, other_id, d2 and rn of each point's k nearest others by squared degrees, ties by other_id.
 
     `others` has other_id, latitude, longitude; with `exclude_self` a point doesn't meet the other of its own id."""
     spark, kept = points.sparkSession, k + exclude_self
     few = first_in_groups(_placed(others, "other_id"), ["latitude", "longitude"], [F.asc("other_id")], kept, "of_place").drop("of_place")
+    few, rows = cut(few, "places"), _placed(points, "id")
+    if few.count() <= leaf:
+        return _nearest_of_few(rows, few, k, exclude_self)
     tree, leaves = plane(few, ["other_id"], None, leaf)
     sent = spark.sparkContext.broadcast(tree)
-    rows = _placed(points, "id")
     own_id, other_id = rows.schema["id"].dataType, few.schema["other_id"].dataType
     double = [StructField(c, DoubleType()) for c in ("latitude", "longitude")]
     #: A pair found, or with a leaf instead of an other a visit that is still to be paid.
@@ -250,11 +280,23 @@ def nearest(points: DataFrame, others: DataFrame, k: int, exclude_self: bool = F
 def radius_count(points: DataFrame, others: DataFrame, radius: float, out: str, leaf: int = LEAF, unit: int = UNIT) -> DataFrame:
     """Points with the number of others within `radius` degrees, 0 included; ids are distinct."""
     spark = points.sparkSession
-    places = _placed(others).groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("here"))
+    places = cut(_placed(others).groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("here")), "places")
+    rows, number = _placed(points, "id"), StructField("n", LongType())
+
+    def count(pts: pa.StructArray, members: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        here = members.field("here").to_numpy()
+        for i, j, d2 in _distances(pts, members):
+            n = ((d2 <= radius * radius) * here).sum(1)
+            yield pa.RecordBatch.from_arrays([pts.field("id").slice(i, j - i), pa.array(n.astype(np.int64))], names=["id", "n"])
+
+    if places.count() <= leaf:
+        members = _structs(places)
+        few = rows.mapInArrow(lambda batches: (out for b in batches for out in count(b.to_struct_array(), members)), StructType([rows.schema["id"], number]))
+        return points.join(few.withColumnRenamed("n", out), "id", "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
+
     tree, leaves = plane(places, ["here"], "here", leaf)
     sent = spark.sparkContext.broadcast(tree)
-    rows = _placed(points, "id")
-    schema = StructType([*rows.schema.fields, StructField("leaf", LongType()), StructField("n", LongType())])
+    schema = StructType([*rows.schema.fields, StructField("leaf", LongType()), number])
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: Tree = sent.value
@@ -268,13 +310,10 @@ def radius_count(points: DataFrame, others: DataFrame, radius: float, out: str,
 
     def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pts, members in _units(batches):
-            here = members.field("here").to_numpy()
-            for i, j, d2 in _distances(pts, members):
-                n = ((d2 <= radius * radius) * here).sum(1)
-                yield pa.RecordBatch.from_arrays([pts.field("id").slice(i, j - i), pa.array(n.astype(np.int64))], names=["id", "n"])
+            yield from count(pts, members)
 
     found = cut(rows.mapInArrow(descend, schema), "circles")
     edge = meetings(found.filter("leaf is not null").drop("n"), leaves, unit)
-    both = found.filter("leaf is null").select("id", "n").unionByName(edge.mapInArrow(border, StructType([rows.schema["id"], StructField("n", LongType())])))
+    both = found.filter("leaf is null").select("id", "n").unionByName(edge.mapInArrow(border, StructType([rows.schema["id"], number])))
     counted = both.groupBy("id").agg(F.sum("n").alias(out))
     return points.join(counted, "id", "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from upland.functions import ranks, series
 from upland.operators.components import components
+from upland.operators.topk import first_in_groups
 from upland.sources.store import cut
 
 #: Weights of the main track's scores and of the dark track's (fixed values).
@@ -47,9 +48,9 @@ def is_main(least: float = 0.1, rise: float = 1.0) -> Column:
 
 def scored_main(panel: DataFrame, signals: tuple[str, ...] = ("ntl_growth_log", "ghsl_change"), cluster: str = "ghsl_change") -> DataFrame:
     """Main-track rows with state-normalised settlement change, scores and composite."""
-    main = with_growth(panel).filter(is_main())
-    main = main.withColumn(cluster, ranks.zscore_within(F.col(cluster), F.col("state_name")))
-    main = ranks.with_minmax_scores(cut(main, "main-track"), {s: f"{s}_score" for s in signals})
+    main = cut(with_growth(panel).filter(is_main()), "main-track")
+    main = cut(ranks.with_zscore(main, cluster, "state_name", cluster), "normalised")
+    main = ranks.with_minmax_scores(main, {s: f"{s}_score" for s in signals})
     return main.withColumn("composite_score", composite(main.columns))
 
 
@@ -108,11 +109,13 @@ def blank(c: Column) -> Column:
 def capped(df: DataFrame, n: int, share: float, group: str = "state_name", order: list[Column] | None = None) -> DataFrame:
     """The best n rows with at most max(1, n * share) of a group; blank groups are neither capped nor counted.
 
-    A row is kept while its group has fewer than the cap before it, which is its row number within the group."""
+    A row is kept while its group has fewer than the cap before it, which is its row number within the group. Groups are
+    cut to the cap before anything is shuffled; blank groups go a way of their own, of which n rows can count. `df` is
+    read twice; write it first if dear."""
     order = order or order_of()
     cap = max(1, int(n * share))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("place", place).filter((F.col("place") <= cap) | blank(F.col(group))).drop("place").orderBy(*order).limit(n)
+    named = first_in_groups(df.filter(~blank(F.col(group))), [group], order, cap, "place").drop("place")
+    return named.unionByName(df.filter(blank(F.col(group))).orderBy(*order).limit(n)).orderBy(*order).limit(n)
 
 
 def ranked_whole(df: DataFrame, out: str = "rank") -> DataFrame:

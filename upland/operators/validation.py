@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from upland.functions import ranks, series
-from upland.operators import spatial
+from upland.functions import ranks
+from upland.operators import balanced, spatial
+from upland.operators.topk import first_in_groups
 from upland.sources.store import cut
 
 
 #: Rows of a shuffle that one task orders, about.
 RANGE_ROWS = 1_000_000
+NO_SUMS = pa.table({"draw": pa.array([], pa.int32()), "xl": pa.array([], pa.float64()), "xx": pa.array([], pa.float64())})
 
 
 def spearman(df: DataFrame, signals: list[str], least: int = 50) -> DataFrame:
@@ -74,35 +79,57 @@ def moran(points: DataFrame, value: str, k: int = 8) -> DataFrame:
     return dev.join(lag, "id").agg((F.sum(F.col("x") * F.col("spatial_lag")) / F.sum(F.col("x") * F.col("x"))).alias("i"), F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(k))
 
 
+def _products(edges: pa.Table, values: pa.Table) -> pa.Table:
+    """draw, and the sums over the points of one block of x times its neighbours' mean and of x squared: a sparse matrix of
+    neighbours times a matrix of the draws' values. `edges` has id and other_id, `values` id and xs, x in every draw."""
+    known = values.column("id").combine_chunks()
+    at, to = (pc.index_in(edges.column(c).combine_chunks(), value_set=known).to_numpy() for c in ("id", "other_id"))
+    order = np.argsort(at, kind="stable")
+    own, first, n = np.unique(at[order], return_index=True, return_counts=True)
+    xs = values.column("xs").combine_chunks()
+    x = xs.flatten().to_numpy().reshape(len(known), -1)
+    lag = np.add.reduceat(x[to[order]], first, axis=0) / n[:, None]
+    x = x[own]
+    return pa.table({"draw": np.arange(x.shape[1], dtype=np.int32), "xl": (x * lag).sum(0), "xx": (x * x).sum(0)})
+
+
 def moran_permutations(points: DataFrame, value: str, k: int = 8, draws: int = 999, seed: int = 42) -> DataFrame:
     """Share of value shuffles whose statistic reaches the observed one.
 
     A shuffle gives each point the deviation of the point with the same place in the order of a hash of id and draw.
     Hashes are uniform, so their leading digits deal a draw's points into ranges of about RANGE_ROWS rows, and no task
-    orders more than a range; places by id are found once, likewise."""
+    orders more than a range; places by id are found once, likewise. A point then carries its values of all draws as one
+    array, and meets its neighbours once: blocks of points that lie together, leaves of the balanced partition, get
+    the arrays of their own points and of the neighbours just outside, and add up all draws at once."""
     x = cut(points.filter(F.col(value).isNotNull()).select("id", "latitude", "longitude", value), "moran")
     mean = x.agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     dev = cut(x.crossJoin(F.broadcast(mean)).select("id", "latitude", "longitude", (F.col(value) - F.col("mean")).alias("x")), "deviations")  # one row
     digits = max(0, math.ceil(math.log(max(1, dev.count() / RANGE_ROWS), 16)))
-    near = spatial.nearest(dev, dev.select(F.col("id").alias("other_id"), "latitude", "longitude"), k, exclude_self=True).select("id", "other_id")
 
     def placed(rows: DataFrame, mark: Column, out: str) -> DataFrame:
         rows = rows.withColumn("mark", mark).withColumn("range", F.substring("mark", 1, digits))
+        inside = F.row_number().over(Window.partitionBy("draw", "range").orderBy("mark", "id"))
+        if not digits:  # one range a draw
+            return rows.withColumn(out, inside).drop("mark", "range")
         totals = rows.groupBy("draw", "range").agg(F.count(F.lit(1)).alias("rows"))
         before = F.sum("rows").over(Window.partitionBy("draw").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
         offsets = totals.select("draw", "range", F.coalesce(before, F.lit(0)).alias("offset"))
-        inside = F.row_number().over(Window.partitionBy("draw", "range").orderBy("mark", "id"))
         return rows.withColumn("inside", inside).join(offsets, ["draw", "range"]).withColumn(out, F.col("inside") + F.col("offset")).drop("mark", "range", "inside", "offset")
 
     hashed = F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("draw").cast("string"), F.lit(str(seed))))
-    one = placed(dev.select("id", "x", F.lit(0).alias("draw")), hashed, "place").drop("draw")
-    one = cut(one, "places")
-    drawn = one.select("id", "x", "place", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    shuffled = placed(drawn.select("draw", "id", "x"), hashed, "place").select("draw", "place", "x")
-    given = drawn.select("draw", "place", "id").join(shuffled, ["draw", "place"]).select("draw", "id", "x")
-    given = given.unionByName(one.select(F.lit(0).alias("draw"), "id", "x"))
-    lag = near.join(given.withColumnsRenamed({"id": "other_id", "x": "other_x"}), "other_id").groupBy("draw", "id").agg(F.avg("other_x").alias("lag"))
-    stats = given.join(lag, ["draw", "id"]).groupBy("draw").agg((F.sum(F.col("x") * F.col("lag")) / F.sum(F.col("x") * F.col("x"))).alias("i"))
+    one = cut(placed(dev.select("id", "x", F.lit(0).alias("draw")), hashed, "place").drop("draw"), "places")
+    drawn = dev.select("id", "x", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    packed = placed(drawn, hashed, "place").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("draw", "x"))).alias("given"))  # a value a draw
+    values = one.join(packed, "place").select("id", F.concat(F.array("x"), F.col("given.x")).alias("xs"))
+
+    near = cut(spatial.nearest(dev, dev.select(F.col("id").alias("other_id"), "latitude", "longitude"), k, exclude_self=True).select("id", "other_id"), "neighbours")
+    _, leaves = balanced.plane(dev.select("id", *[F.col(c).cast("double").alias(c) for c in ("latitude", "longitude")]).na.drop(), ["id"], None)
+    home = leaves.select("leaf", F.inline("members")).select("leaf", "id")
+    edges = cut(near.join(home, "id").select("leaf", "id", "other_id"), "edges-of-blocks")
+    needed = home.unionByName(edges.select("leaf", F.col("other_id").alias("id"))).distinct().join(values, "id")
+    both = edges.groupBy("leaf").cogroup(needed.groupBy("leaf"))
+    sums = both.applyInArrow(lambda e, v: _products(e, v) if e.num_rows else NO_SUMS, "draw int, xl double, xx double")
+    stats = sums.groupBy("draw").agg((F.sum("xl") / F.sum("xx")).alias("i"))
     stats = cut(stats, "statistics")  # a row a draw
     seen = stats.filter("draw = 0").select(F.col("i").alias("seen"))
     reached = F.avg((F.col("i") >= F.col("seen")).cast("double")).alias("p_value")
@@ -116,22 +143,77 @@ def weight_draws(weights: list[float], draws: int, alpha: float = 10.0, seed: in
     return [[round(float(x), 6) for x in rng.dirichlet(alpha * base)] for _ in range(draws)]
 
 
+#: Further apart than this, two scores can't be equal to nine places; rows that a task weighs at once.
+NINTH, WEIGHED = 2e-9, 1 << 16
+
+
+def could_be_taken(scores: np.ndarray, group: np.ndarray, n: int, cap: int) -> np.ndarray:
+    """Whether a row can be among the first n, of one draw of weights, of which at most `cap` are of its group.
+
+    Rows that come before it in a part of a table come before it in the whole, so what isn't taken here never is: either
+    `cap` rows of its group are before it, or n rows of which each group has `cap` at most."""
+    order = np.lexsort((-scores, group))
+    own = group[order]
+    place = np.arange(len(own)) - np.searchsorted(own, own)
+    least = np.full(int(group.max()) + 1, -np.inf)
+    last = order[place == cap - 1]
+    least[group[last]] = scores[last]
+    first = scores[order[place < cap]]
+    bar = np.partition(first, len(first) - n)[len(first) - n] if len(first) > n else -np.inf
+    return scores >= np.maximum(least[group], bar) - NINTH
+
+
+def drawn_best(ranked: DataFrame, columns: list[str], group: str, draws: list[list[float]], n: int, cap: int) -> DataFrame:
+    """draw, id, group and score `s` of rows that a draw could take: the union over all parts of the table, each of
+    which keeps some n rows a draw. Rows never meet draws outside a task, whose matrix has WEIGHED rows or little more."""
+    weights = np.array(draws)
+    names = ["draw", "id", "group", "s"]
+
+    def weigh(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        codes = table.column(1).combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        values = [table.column(k + 2).to_numpy() for k in range(len(columns))]
+        scores = np.zeros((len(weights), table.num_rows))
+        for w, v in zip(weights.T, values, strict=True):  # in the order of the columns, as Spark adds them
+            scores += w[:, None] * v[None, :]
+        own = codes.indices.to_numpy().astype(np.int64)
+        return scores, np.stack([could_be_taken(s, own, n, cap) for s in scores])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= WEIGHED:
+                table = pa.Table.from_batches(held)
+                held = table.filter(pa.array(weigh(table)[1].any(0))).to_batches()
+                rows = 0
+        table = pa.Table.from_batches(held) if held else None
+        if table is not None and table.num_rows:
+            scores, taken = weigh(table)
+            for draw in range(len(weights)):
+                at = pa.array(np.flatnonzero(taken[draw]))
+                own = table.take(at).combine_chunks()
+                columns_out = [pa.array(np.full(len(at), draw, np.int32)), own.column(0).combine_chunks(), own.column(1).combine_chunks(), pa.array(scores[draw][taken[draw]])]
+                yield pa.RecordBatch.from_arrays(columns_out, names=names)
+
+    rows = ranked.select("id", F.col(group).alias("group"), *columns)
+    schema = StructType([StructField("draw", IntegerType()), rows.schema["id"], rows.schema["group"], StructField("s", DoubleType())])
+    return rows.mapInArrow(run, schema)
+
+
 def stability(df: DataFrame, signals: list[str], draws: list[list[float]], top: DataFrame, cap: int, group: str = "state_name") -> DataFrame:
     """id and the percentage of weight draws whose capped best hold the row, for the rows of `top`, as many as which
     each draw takes.
 
-    Signals enter as percent ranks, missing ones as the highest. Within a draw only the best `cap` rows of a group can
-    count, so each group is cut to them before the draw's best; a missing group is a group."""
+    Signals enter as percent ranks, missing ones as the highest; weights aren't negative; a missing group is a group.
+    Every task cuts its rows to those that a draw could take, so what is shuffled doesn't grow with rows times draws."""
     n = top.count()
     ranked = ranks.with_pct_ranks(df.select("id", group, *signals), {s: f"{s}_pct" for s in signals})
-    rows = df.sparkSession.createDataFrame(pd.DataFrame({"draw": range(len(draws)), "w": draws}), "draw int, w array<double>")
-    drawn = cut(ranked.select("id", group, *[f"{s}_pct" for s in signals]), "signal-ranks").crossJoin(F.broadcast(rows))  # a few hundred rows
-    score = F.round(series.total([F.col(f"{c}_pct") * F.col("w")[k] for k, c in enumerate(signals)]), 9)
-    drawn = drawn.select("id", group, "draw", score.alias("s"))
-    place = F.row_number().over(Window.partitionBy("draw", group).orderBy(F.col("s").desc(), "id"))
-    within = drawn.withColumn("place", place).filter(F.col("place") <= cap)
-    best = within.withColumn("rank", F.row_number().over(Window.partitionBy("draw").orderBy(F.col("s").desc(), "id"))).filter(F.col("rank") <= n)
-    counts = best.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    near = drawn_best(ranked, [f"{s}_pct" for s in signals], group, draws, n, cap).withColumn("s", F.round("s", 9)) if n else ranked.select(F.lit(0).alias("draw"), "id", F.col(group).alias("group"), F.lit(0.0).alias("s"))
+    order = [F.desc("s"), F.asc("id")]
+    within = first_in_groups(near, ["draw", "group"], order, cap, "place").drop("place")
+    counts = first_in_groups(within, ["draw"], order, n, "rank").groupBy("id").agg(F.count(F.lit(1)).alias("times"))
     share = F.round(F.coalesce("times", F.lit(0)) / len(draws) * 100, 1)
     return top.select("id").join(counts, "id", "left").select("id", share.alias("inclusion_pct"))
 

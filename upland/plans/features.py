@@ -65,7 +65,8 @@ def minmax_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zscore_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(src.panel(spark, sf_dir).select("id", "state_name", ranks.zscore_within(F.col("ghsl_change"), F.col("state_name")).alias("ghsl_change_z")), "ghsl_change_z")
+    rows = cut(src.panel(spark, sf_dir).select("id", "state_name", "ghsl_change"), "settlement")
+    return rounded(ranks.with_zscore(rows, "ghsl_change", "state_name", "ghsl_change_z").drop("ghsl_change"), "ghsl_change_z")
 
 
 def track_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +113,9 @@ def uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def district_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scored(spark, sf_dir).select("id", "district_name", ranks.pct_rank_within(F.round("composite_score", 9), F.col("district_name")).alias("district_rank_pct")), "district_rank_pct")
+    rows = scored(spark, sf_dir).select("id", "district_name", "composite_score")
+    ranked = ranks.with_pct_rank_within(rows, F.round("composite_score", 9), ["district_name"], "district_rank_pct")
+    return rounded(ranked.drop("composite_score"), "district_rank_pct")
 
 
 def state_cap_topn(spark: SparkSession, sf_dir: str) -> DataFrame:

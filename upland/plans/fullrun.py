@@ -54,8 +54,8 @@ def with_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_main(rows: DataFrame, amplifier: bool = False) -> DataFrame:
     """The main track, ranked, one entity of a name within SAME_PLACE_KM."""
-    main = rows.filter(scoring.is_main())
-    main = cut(main.withColumn("ghsl_change", F.round(ranks.zscore_within(F.col("ghsl_change"), F.col("state_name")), 9)), "main-track")
+    main = ranks.with_zscore(rows.filter(scoring.is_main()), "ghsl_change", "state_name", "ghsl_change")
+    main = cut(main.withColumn("ghsl_change", F.round("ghsl_change", 9)), "main-track")
     scores = {s: f"{s}_score" for s in SIGNALS}
     if amplifier:
         main = cut(ml.amplify(main, SIGNALS).withColumn("ml_growth_prob", F.coalesce("ml_growth_prob", F.lit(0.0))), "amplified")
@@ -65,7 +65,7 @@ def scored_main(rows: DataFrame, amplifier: bool = False) -> DataFrame:
     main = main.join(lag.withColumnRenamed("spatial_lag", "spatial_lag_score"), "id", "left")
     main = main.withColumn("composite_score", scoring.composite(main.columns))
     main = main.withColumn("multi_signal_confirmed", scoring.votes(main.columns) >= 2)
-    main = main.withColumn("district_rank_pct", ranks.pct_rank_within(F.round("composite_score", 9), F.col("district_name")))
+    main = ranks.with_pct_rank_within(main, F.round("composite_score", 9), ["district_name"], "district_rank_pct")
     main = cut(scoring.uncertainty(main, SIGNALS), "scored")
     return scoring.ranked_whole(one_of_a_name(main))
 
