@@ -170,7 +170,7 @@ def _numbered(table: pa.Table, number: dict[tuple[str, str], int]) -> pa.Table:
     return pa.table({"text": table.column("text"), "group": ids[back] if len(ids) else np.zeros(0, np.int64)})
 
 
-def merged_tries(rows: DataFrame, groups: Groups, total: tuple[int, int], least: int = FEW, size: int = tries.RANGE) -> DataFrame:
+def merged_tries(rows: DataFrame, groups: Groups, total: tuple[int, int], least: int = FEW, size: int = tries.RANGE, shard: int = tries.SHARD) -> DataFrame:
     """A written row for each range of keys: range and its merged trie, of terms of `least` documents of their lang."""
     number, g = {x: k for k, x in enumerate(zip(groups.lang, groups.source, strict=True))}, max(1, len(groups.lang))
 
@@ -182,8 +182,8 @@ def merged_tries(rows: DataFrame, groups: Groups, total: tuple[int, int], least:
 
     @tk.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in tries.shards(batches, "text"):
-            t, words, used = of_shard(_numbered(shard, number), groups.lang_of, g)
+        for part in tries.shards(batches, "text", shard):
+            t, words, used = of_shard(_numbered(part, number), groups.lang_of, g)
             at, _ = tries.find(words, [x[4:] for x in edges])
             langs = np.array([int.from_bytes(x[:4]) for x in edges], np.int64)
             ends = [0, *np.searchsorted(used, langs * max(1, len(words)) + at).tolist(), len(used)]
@@ -217,7 +217,7 @@ def totals(merged: DataFrame, groups: Groups) -> Totals:
                 n = np.zeros(len(group), np.int64)
                 np.add.at(n, back, t.count)
                 lang, v = np.unique([int.from_bytes(p[:4]) for p in t.path], return_counts=True)
-                kind = pa.array(["group"] * len(group) + ["lang"] * len(lang))
+                kind = pa.array(["group"] * len(group) + ["lang"] * len(lang), pa.string())
                 yield pa.RecordBatch.from_arrays([kind, pa.array([*group.tolist(), *map(int, lang)], pa.int64()), pa.array([*n.tolist(), *v.tolist()], pa.int64())], names=["kind", "id", "n"])
 
     langs = int(groups.lang_of[-1]) + 1 if len(groups.lang) else 0
@@ -315,7 +315,7 @@ def _walk(sent: Broadcast, ranks: int):
     return run
 
 
-def audit(docs: DataFrame, least: int = FEW, ranks: int = RANKS, size: int = tries.RANGE) -> DataFrame:
+def audit(docs: DataFrame, least: int = FEW, ranks: int = RANKS, size: int = tries.RANGE, shard: int = tries.SHARD) -> DataFrame:
     """lang, source, part (`pair` or `term`), item, value and rank: see the module's head.
 
     A `pair` row's item is another source of the lang, a `term` row's a term that the source uses more than the lang."""
@@ -323,7 +323,7 @@ def audit(docs: DataFrame, least: int = FEW, ranks: int = RANKS, size: int = tri
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = docs.select(text("text"), text("lang"), text("source"))
     groups, total = all_groups(rows)
-    merged = merged_tries(rows, groups, total, least, size)
+    merged = merged_tries(rows, groups, total, least, size, shard)
     sent = spark.sparkContext.broadcast((groups, totals(merged, groups)))
     found = cut(merged.mapInArrow(_walk(sent, ranks), "p long, q long, term string, value long"), "term-walks")
 

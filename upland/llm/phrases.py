@@ -169,7 +169,7 @@ def merged_nodes(parts: list[Piece], least: int) -> Iterator[pa.RecordBatch]:
         lefts = np.concatenate([lefts, f[:, None]], 1)
 
 
-def nodes(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, size: int = tries.RANGE) -> DataFrame:
+def nodes(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, size: int = tries.RANGE, shard: int = tries.SHARD) -> DataFrame:
     """A written row for each run of up to `depth` words with `least` places or more in its lang: the words after the
     first as `suffix`, its places f, all words of the lang n, and the places of its left parts, shortest first."""
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
@@ -177,8 +177,8 @@ def nodes(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, size: int = t
 
     @tk.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in tries.shards(batches, "text"):
-            for number, data in Trie(shard, depth).pieces(edges):
+        for part in tries.shards(batches, "text", shard):
+            for number, data in Trie(part, depth).pieces(edges):
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([data], pa.binary())], names=["range", "piece"])
 
     def together(table: pa.Table) -> pa.Table:
@@ -217,11 +217,11 @@ def scored(phrases: DataFrame) -> DataFrame:
     return phrases.withColumn("cut", F.array_min(each)).select("lang", "depth", "phrase", F.col("f").alias("a"), "n", "cut.l", "cut.r", "cut.score")
 
 
-def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, most: int = MOST, percent: int = PERCENT, size: int = tries.RANGE) -> DataFrame:
+def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, most: int = MOST, percent: int = PERCENT, size: int = tries.RANGE, shard: int = tries.SHARD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each lang's first `most` candidates.
 
     A candidate whose words a longer one of at least `percent` of its places contains is left out."""
-    every = cut(scored(linked(nodes(docs, depth, least, size), depth)), "phrases")
+    every = cut(scored(linked(nodes(docs, depth, least, size, shard), depth)), "phrases")
     w = F.split("phrase", " ")
     windows = [
         F.filter(F.array(F.lit(None).cast("string"), *[F.concat_ws(" ", F.slice(w, at + 1, k)) for at in range(depth - k + 1)]), lambda x: x.isNotNull())

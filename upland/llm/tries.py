@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from upland.llm import textkernel as tk
 
 #: Bytes of text in a shard, and in a range of keys on average.
-SHARD, RANGE = 8 << 20, 8 << 20
+SHARD, RANGE = 4 << 20, 8 << 20
 #: Sampled keys for each range, and at least in all.
 KEYS_A_RANGE, KEYS = 16, 8192
 
@@ -35,6 +35,7 @@ def shards(batches: Iterator[pa.RecordBatch], column: str, limit: int = SHARD) -
             if size >= limit:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
+                tk.give_back()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
