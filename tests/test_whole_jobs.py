@@ -2,7 +2,9 @@
 
 import inspect
 
-from upland.operators import ml, validation
+import numpy as np
+
+from upland.operators import clusters, ml, validation
 from upland.plans import machine, validation_queries
 
 LARGER = "/root/testdata/sf0.01"  # has the positives that the amplifier needs
@@ -16,10 +18,10 @@ def test_ensembles_have_all_trees(spark, monkeypatch):
 
 
 def test_clusters_have_all_starts(spark, sf_dir, monkeypatch):
-    asked, means = [], ml.KMeans
-    monkeypatch.setattr(ml, "KMeans", lambda k, seed: asked.append((k, seed)) or means(k=k, seed=seed, maxIter=1))
+    asked, seeded = [], clusters.seeded
+    monkeypatch.setattr(clusters, "seeded", lambda rows, starts, width: asked.append(starts) or seeded(rows, starts[:2], width) | {s: np.zeros((s.k, width)) for s in starts[2:]})
     assert machine.kmeans_archetypes(spark, sf_dir).count() > 0
-    assert asked == [(k, seed) for k in (3, 4, 5, 6) for seed in range(10)]
+    assert asked == [[clusters.Start(k, seed) for k in (3, 4, 5, 6) for seed in range(10)]]
 
 
 def test_draws_are_all_made(spark, sf_dir, monkeypatch):

@@ -9,14 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from upland.functions import ranks, series
+from upland.operators import clusters
+from upland.sources.store import cut
 
 
 def with_label(df: DataFrame, signals: list[str], share: float = 0.90, least: int = 2, voters: int = 4) -> DataFrame:
@@ -55,20 +55,18 @@ def amplify(df: DataFrame, signals: list[str], trees: int = 200, least_positives
 
 def cluster(df: DataFrame, signals: list[str], ks: tuple[int, ...] = (3, 4, 5, 6), seeds: tuple[int, ...] = tuple(range(10))) -> tuple[DataFrame, list[list[float]]]:
     """The rows with their cluster, and the clusters' centres: for each k the start with the least cost, of the ks the
-    best silhouette. Values are scaled by median and quartiles."""
+    best silhouette. Values are scaled by median and quartiles. All starts of all ks go through the rows together."""
     rows = imputed(df, signals)
     stages = [VectorAssembler(inputCols=[f"{s}_full" for s in signals], outputCol="raw"), RobustScaler(inputCol="raw", outputCol="features", withCentering=True)]
-    ready = Pipeline(stages=stages).fit(rows).transform(rows).persist()
-    score, best = ClusteringEvaluator(), None
-    for k in ks:
-        models = [KMeans(k=k, seed=seed).fit(ready) for seed in seeds]
-        model = min(models, key=lambda m: m.summary.trainingCost)
-        value = score.evaluate(model.transform(ready))
-        if best is None or value > best[0]:
-            best = value, model
-    ready.unpersist()
-    found = best[1].transform(ready).withColumnRenamed("prediction", "cluster").drop("raw", "features", *[f"{s}_full" for s in signals])
-    return found, [list(map(float, c)) for c in best[1].clusterCenters()]
+    ready = Pipeline(stages=stages).fit(rows).transform(rows).withColumn("x", vector_to_array("features"))
+    ready = cut(ready.select(*df.columns, "x"), "profiles")
+    best = clusters.best_of(ready, ks, seeds, len(signals))
+    if not best:
+        return ready.withColumn("cluster", F.lit(0)).drop("x"), []
+    sets = [best[k] for k in ks]
+    scores = clusters.silhouettes(ready, lambda x: (clusters.assigned(x, c)[0] for c in sets), [len(c) for c in sets], len(signals))
+    first = max(range(len(sets)), key=lambda i: (not np.isnan(scores[i]), scores[i], -i))
+    return clusters.with_cluster(ready, sets[first]), sets[first].tolist()
 
 
 #: Share of all rows beyond which a cluster is the background, its name, and weights of the growth that clusters are
@@ -125,7 +123,7 @@ def named_clusters(df: DataFrame, signals: list[str], rule: str, **options) -> D
     """The rows with cluster and archetype_name, which is the column `rule` where all clusters bear one name."""
     rows, centres = cluster(df, signals, **options)
     counts = {r["cluster"]: r["n"] for r in rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most six
-    names = cluster_names(centres, [counts.get(k, 0) for k in range(len(centres))], signals)
+    names = cluster_names(centres, [counts.get(k, 0) for k in range(len(centres))], signals) or [""]
     named = rows.withColumn("archetype_name", F.element_at(F.array(*map(F.lit, names)), F.col("cluster") + 1))
     return guarded_names(named, "archetype_name", rule)
 

@@ -3,10 +3,11 @@ for a model that is saved and loaded."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upland.operators import ml, scoring
+from upland.operators import clusters, ml, scoring
 from upland.plans import oracle as o
 from upland.plans.features import grown, rounded
 from upland.plans.fullrun import with_signals
@@ -41,5 +42,35 @@ def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ml.round_trip(_main(spark, sf_dir), SIGNALS, new_folder(spark, "model")), "most_apart")
 
 
-QUERIES = {f.__name__: f for f in (gbt_amplifier, kmeans_archetypes, tree_attribution, model_round_trip)}
-ORACLE_SQL: dict[str, str] = {"model_round_trip": f"WITH {o.GROWN} SELECT count(*) AS n, 0.0::DOUBLE AS most_apart FROM grown WHERE is_main"}
+def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Lloyd step of the main track from given centres, the means of four groups of ids: what each centre then has."""
+    rows = _main(spark, sf_dir).select("id", F.array(F.coalesce("ntl_growth_log", F.lit(0.0)), F.coalesce(F.col("ghsl_change").cast("double"), F.lit(0.0)) / 97).alias("x"))
+    rows = cut(rows, "step-rows")
+    start = clusters.Start(4, 0)
+    means = rows.groupBy((F.col("id") % 4).alias("g")).agg(F.avg(F.col("x")[0]).alias("a"), F.avg(F.col("x")[1]).alias("b")).orderBy("g").collect()  # four rows
+    centres = np.array([[r["a"], r["b"]] for r in means]).reshape(-1, 2)
+    found = clusters.one_pass(rows, {start: centres})[start]
+    after = clusters.moved(centres, found)
+    listed = [(k, int(found.n[k]), float(found.cost[k]), *map(float, after[k])) for k in range(len(centres))]
+    return rounded(spark.createDataFrame(listed, "cluster int, n long, cost double, growth double, settlement double"), "cost", "growth", "settlement", places=5)
+
+
+def track_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the two tracks part the entities by their first and last night lights."""
+    rows = grown(spark, sf_dir).select("ntl_2019", "ntl_2024", F.when(scoring.is_main(), 1).otherwise(0).alias("track"))
+    return rounded(clusters.labelled_silhouette(rows, ["ntl_2019", "ntl_2024"], F.col("track"), 2), "silhouette", places=5)
+
+
+QUERIES = {f.__name__: f for f in (kmeans_step, track_silhouette, gbt_amplifier, kmeans_archetypes, tree_attribution, model_round_trip)}
+ORACLE_SQL: dict[str, str] = {
+    "kmeans_step": f"""WITH {o.GROWN}, p AS (SELECT id, coalesce(ntl_growth_log, 0)::DOUBLE AS a, coalesce(ghsl_change::DOUBLE, 0) / 97 AS b FROM grown WHERE is_main),
+      c AS (SELECT (id % 4)::INT AS k, avg(a) AS a, avg(b) AS b FROM p GROUP BY 1),
+      d AS (SELECT p.id, p.a, p.b, c.k, c.a AS ca, c.b AS cb, (p.a - c.a) * (p.a - c.a) + (p.b - c.b) * (p.b - c.b) AS d2 FROM p CROSS JOIN c),
+      m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, k) AS rn FROM d), s AS (SELECT k, count(*) AS n, sum(d2) AS cost, avg(a) AS a, avg(b) AS b FROM m WHERE rn = 1 GROUP BY k)
+      SELECT c.k AS cluster, coalesce(n, 0) AS n, round(coalesce(cost, 0), 5) AS cost, round(coalesce(s.a, c.a), 5) AS growth, round(coalesce(s.b, c.b), 5) AS settlement FROM c LEFT JOIN s ON c.k = s.k""",
+    "track_silhouette": f"""WITH {o.GROWN}, p AS (SELECT id, ntl_2019 AS a, ntl_2024 AS b, is_main AS t FROM grown WHERE ntl_2019 IS NOT NULL AND ntl_2024 IS NOT NULL),
+      d AS (SELECT x.id, x.t, avg((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) FILTER (WHERE x.t = y.t AND x.id <> y.id) AS inside,
+        avg((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) FILTER (WHERE x.t <> y.t) AS outside FROM p x CROSS JOIN p y GROUP BY x.id, x.t)
+      SELECT round(avg(CASE WHEN inside IS NULL THEN 0 ELSE coalesce((outside - inside) / nullif(greatest(outside, inside), 0), 0) END), 5) AS silhouette, count(*) AS n FROM d""",
+    "model_round_trip": f"WITH {o.GROWN} SELECT count(*) AS n, 0.0::DOUBLE AS most_apart FROM grown WHERE is_main",
+}
