@@ -7,13 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from upland.functions import spatial as sp
-
-
-def grid(spark, rows: int, cols: int, value: Column, nodata: float, hole: Column) -> DataFrame:
-    """A synthetic band: `value` of row and col, with a block of nodata."""
-    cells = spark.range(rows * cols).select((F.col("id") / cols).cast("long").alias("row"), (F.col("id") % cols).alias("col"))
-    return cells.withColumn("value", F.when(hole, F.lit(nodata)).otherwise(value))
+from upland.operators import pixels
 
 
 def sample(points: DataFrame, band: DataFrame, x0: float, y0: float, step: float, nodata: float, scale: float = 1.0) -> DataFrame:
@@ -45,39 +39,15 @@ def radar_composite(scenes: DataFrame, most_null: float = 0.95) -> DataFrame:
     return rows.join(used, ["cell", "scene"], "left_semi").groupBy("cell", "row", "col").agg(F.median("db").alias("db"))
 
 
-#: Rows and columns of the tiles that zones are joined on.
-TILE = 64
-
-
-def _tile(c: str) -> Column:
-    return F.floor(F.col(c) / TILE).cast("long")
-
-
 def zonal_polygons(zones: DataFrame, band: DataFrame, x0: float, y0: float, step: float, nodata: float, klass: float) -> DataFrame:
     """id, mean and share of class `klass` of the cells whose centres lie in each zone's edges (x1, y1, x2, y2)."""
-    x, y = F.lit(x0) + (F.col("col") + 0.5) * step, F.lit(y0) - (F.col("row") + 0.5) * step
-    ends = lambda c: (F.array_min(F.transform("edges", lambda e: F.least(e[f"{c}1"], e[f"{c}2"]))), F.array_max(F.transform("edges", lambda e: F.greatest(e[f"{c}1"], e[f"{c}2"]))))
-    (west, east), (south, north) = ends("x"), ends("y")
-    box = {"r0": F.floor((F.lit(y0) - north) / step), "r1": F.floor((F.lit(y0) - south) / step), "c0": F.floor((west - x0) / step), "c1": F.floor((east - x0) / step)}
-    boxed = zones.withColumns({k: v.cast("long") for k, v in box.items()})
-    by_row = boxed.withColumn("tile_r", F.explode(F.sequence(_tile("r0"), _tile("r1"))))
-    dealt = by_row.withColumn("tile_c", F.explode(F.sequence(_tile("c0"), _tile("c1"))))
-    own = band.filter(F.col("value") != nodata).withColumns({"tile_r": _tile("row"), "tile_c": _tile("col"), "x": x, "y": y})
-    cells = dealt.join(own, ["tile_r", "tile_c"]).filter(sp.inside(F.col("x"), F.col("y"), F.col("edges")))
-    found = cells.groupBy("id").agg(F.avg("value").alias("mean"), F.avg((F.col("value") == klass).cast("double")).alias("share"))
+    found = pixels.zonal_sums(pixels.zone_spans(zones, x0, y0, step), pixels.summed_tiles(band, nodata, klass))
     return zones.select("id").join(found, "id", "left")
 
 
 def zonal(zones: DataFrame, band: DataFrame, nodata: float, klass: float) -> DataFrame:
-    """id, mean and share of class `klass` of the cells in each zone's rows r0..r1 and columns c0..c1.
-
-    Zones and cells are dealt to tiles of rows and columns, so the join is on the tile."""
-    by_row = zones.withColumn("tile_r", F.explode(F.sequence(_tile("r0"), _tile("r1"))))
-    dealt = by_row.withColumn("tile_c", F.explode(F.sequence(_tile("c0"), _tile("c1"))))
-    own = band.filter(F.col("value") != nodata).withColumns({"tile_r": _tile("row"), "tile_c": _tile("col")})
-    inside = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
-    cells = dealt.join(own, ["tile_r", "tile_c"]).filter(inside)
-    found = cells.groupBy("id").agg(F.avg("value").alias("mean"), F.avg((F.col("value") == klass).cast("double")).alias("share"))
+    """id, mean and share of class `klass` of the cells in each zone's rows r0..r1 and columns c0..c1."""
+    found = pixels.zonal_sums(pixels.box_spans(zones), pixels.summed_tiles(band, nodata, klass))
     return zones.select("id").join(found, "id", "left")
 
 
@@ -89,11 +59,7 @@ def mosaic(tiles: DataFrame, nodata: float) -> DataFrame:
 
 def to_tiles(band: DataFrame, size: int = 64) -> DataFrame:
     """tile_r, tile_c and pixels of square tiles, row by row; a cell without a row in the band is null."""
-    at = (F.col("row") % size * size + F.col("col") % size).cast("int")
-    dealt = band.select((F.col("row") / size).cast("long").alias("tile_r"), (F.col("col") / size).cast("long").alias("tile_c"), at.alias("at"), "value")
-    cells = F.map_from_entries(F.collect_list(F.struct("at", "value")))  # at most size * size of them
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.try_element_at("cells", k))
-    return dealt.groupBy("tile_r", "tile_c").agg(cells.alias("cells")).select("tile_r", "tile_c", pixels.alias("pixels"))
+    return pixels.filled_tiles(band, size)
 
 
 def from_tiles(tiles: DataFrame, size: int = 64) -> DataFrame:
