@@ -173,7 +173,7 @@ def test_replayed_batches_are_taken_once(spark, tmp_path):
     incremental.merge_panel(spark, source, schema, sink, mark)
     row = incremental.merged_panel(spark, sink, schema).first()
     assert (row.ntl_2019, row.ntl_2020, row.ntl_2021) == (5.0, 7.0, None)
-    assert spark.read.parquet(sink).count() == 3
+    assert incremental.panel_rows(spark, sink, schema).count() == 2  # what was taken is merged, once
 
 
 def test_shared_folder_is_needed_on_a_cluster():

@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
@@ -234,26 +234,51 @@ def base_rank(df: DataFrame, score: str, out: str = "base_rank") -> DataFrame:
     return rows.crossJoin(F.broadcast(total)).withColumn(out, rank).drop("negated_score", "pct", "rows_of_table")  # one row
 
 
+def _measures(coverage: dict[str, float], most: dict[str, float]) -> list[Column]:
+    shares = [F.avg(F.col(c).isNotNull().cast("double")).alias(f"share of {c}") for c in coverage]
+    return [F.count(F.lit(1)).cast("double").alias("rows"), *shares, *[F.max(c).cast("double").alias(f"most of {c}") for c in most]]
+
+
+def cut_and_measured(df: DataFrame, name: str, coverage: dict[str, float], most: dict[str, float]) -> tuple[DataFrame, dict[str, float | None]]:
+    """The table as written in the shared folder, and what its checks measure: observed while it is written, so they take
+    no pass of their own."""
+    seen = Observation(name)
+    table = cut(df.observe(seen, *_measures(coverage, most)), name)
+    return table, {k: seen.get[k] for k in ("rows", *[f"share of {c}" for c in coverage], *[f"most of {c}" for c in most])}
+
+
 def contract(df: DataFrame, rows: int, coverage: dict[str, float], most: dict[str, float]) -> DataFrame:
-    """check_name, found, bound and passed of each check, from one aggregate over the table."""
-    one = df.agg(
-        F.count(F.lit(1)).cast("double").alias("rows"),
-        *[F.round(F.avg(F.col(c).isNotNull().cast("double")), 6).alias(f"share of {c}") for c in coverage],
-        *[F.round(F.max(c), 6).alias(f"most of {c}") for c in most],
-    )
-    bounds = {"rows": float(rows)} | {f"share of {c}": v for c, v in coverage.items()} | {f"most of {c}": v for c, v in most.items()}
-    long = one.unpivot([], list(bounds), "check_name", "found")
-    bound = F.element_at(F.create_map(*[F.lit(x) for k, v in bounds.items() for x in (k, float(v))]), F.col("check_name"))
-    passed = F.when(F.col("check_name").startswith("most of"), F.col("found") <= F.col("bound")).otherwise(F.col("found") >= F.col("bound"))
-    return long.withColumn("bound", bound).withColumn("passed", F.coalesce(passed, F.lit(False)))
+    """check_name, found, bound and passed of each check, measured while the table is written."""
+    _, found = cut_and_measured(df, "contract", coverage, most)
+    bounds = {"rows": float(rows)} | {f"share of {c}": float(v) for c, v in coverage.items()} | {f"most of {c}": float(v) for c, v in most.items()}
+    kept = lambda k, v, b: v is not None and (v <= b if k.startswith("most of") else v >= b)
+    shown = {k: round(v, 6) if v is not None else None for k, v in found.items()}
+    listed = [(k, shown[k], b, kept(k, shown[k], b)) for k, b in bounds.items()]
+    return df.sparkSession.createDataFrame(listed, "check_name string, found double, bound double, passed boolean")
+
+
+def checked(df: DataFrame, name: str, required: list[str], rows: int, coverage: dict[str, float], most: dict[str, float]) -> DataFrame:
+    """The table, written; a ValueError that names all it lacks if it breaks its contract."""
+    missing = [f"missing column {c}" for c in required if c not in df.columns]
+    if missing:
+        raise ValueError("; ".join(missing))
+    table, found = cut_and_measured(df, name, coverage, most)
+    lacks = _lacks(found, rows, coverage, most)
+    if lacks:
+        raise ValueError("; ".join(lacks))
+    return table
+
+
+def _lacks(found: dict[str, float | None], rows: int, coverage: dict[str, float], most: dict[str, float]) -> list[str]:
+    out = [f"{int(found['rows'])} rows, {rows} needed"] if found["rows"] < rows else []
+    out += [f"{c}: {found[f'share of {c}']} present, {v} needed" for c, v in coverage.items() if (found[f"share of {c}"] or 0) < v]
+    return out + [f"{c}: {found[f'most of {c}']} above {v}" for c, v in most.items() if found[f"most of {c}"] is not None and found[f"most of {c}"] > v]
 
 
 def check_contract(df: DataFrame, required: list[str], rows: int, coverage: dict[str, float], most: dict[str, float]) -> list[str]:
-    """What a table lacks: columns, rows, shares of non-null values, upper bounds; one aggregate over it."""
+    """What a table that isn't to be written lacks: columns, rows, shares of non-null values, upper bounds; one aggregate
+    over it. `checked` measures a table while it is written."""
     missing = [c for c in required if c not in df.columns]
     if missing:
         return [f"missing column {c}" for c in missing]
-    found = df.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(F.col(c).isNotNull().cast("double")).alias(f"share_{c}") for c in coverage], *[F.max(c).alias(f"max_{c}") for c in most]).first()
-    out = [f"{found['rows']} rows, {rows} needed"] if found["rows"] < rows else []
-    out += [f"{c}: {found[f'share_{c}']} present, {v} needed" for c, v in coverage.items() if (found[f"share_{c}"] or 0) < v]
-    return out + [f"{c}: {found[f'max_{c}']} above {v}" for c, v in most.items() if found[f"max_{c}"] is not None and found[f"max_{c}"] > v]
+    return _lacks(df.agg(*_measures(coverage, most)).first().asDict(), rows, coverage, most)

@@ -123,20 +123,25 @@ def json_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def literal_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(ACCESS_2011.items()), "state_name string, access double")
+    """The states of the literal table with the customers that fall to each by their number."""
+    states = [(i, k, v) for i, (k, v) in enumerate(ACCESS_2011.items())]
+    known = spark.createDataFrame(states, "place long, state_name string, access double")
+    counts = src.table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % len(states)).alias("place")).agg(F.count(F.lit(1)).alias("customers"))
+    return known.join(counts, "place", "left").select("state_name", "access", F.coalesce("customers", F.lit(0).cast("long")).alias("customers"))
 
 
 def binary_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of four grid files, read from their bytes; a seventh of the cells have no data."""
+    """Cells of four grid files, written from order lines and read from their bytes; cells without a line have no data."""
 
     def file(rows: pd.DataFrame) -> pd.DataFrame:
-        k = int(rows["id"].iloc[0])
-        at = np.arange(30 * 40)
-        values = np.where(at % 7 == k % 7, np.nan, (at * 37 + k * 11) % 100 / 4)
+        k, values = int(rows["tile"].iloc[0]), np.full(30 * 40, np.nan)
+        values[rows["cell"]] = rows["value"]
         body = grids.grid_bytes(68.0 + 4 * k, 37.5 - 3 * k, 0.1, values.reshape(30, 40), -999.5)
         return pd.DataFrame({"path": [f"tile{k}"], "content": [body]})
 
-    blobs = spark.range(4).groupBy("id").applyInPandas(file, "path string, content binary")
+    lines = src.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("tile"), (F.col("l_partkey") % 1200).alias("cell"), "l_quantity")
+    cells = lines.groupBy("tile", "cell").agg((F.min(F.col("l_quantity").cast("double")) / 4).alias("value"))  # 1200 a tile at most
+    blobs = cells.groupBy("tile").applyInPandas(file, "path string, content binary")
     return rounded(grids.cells(cut(blobs, "grids")), "longitude", "latitude", "value")
 
 
@@ -299,7 +304,11 @@ def _tiles(spark: SparkSession) -> DataFrame:
 
 
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tiles(spark)
+    """The cells of three degrees over the extent, with the entities in each."""
+    at = [F.floor((F.col("latitude") - 7.5) / 3).alias("r"), F.floor((F.col("longitude") - 68.0) / 3).alias("c")]
+    counts = src.entities(spark, sf_dir).groupBy(*at).agg(F.count(F.lit(1)).alias("entities"))
+    own = _tiles(spark).withColumns({"r": F.round((F.col("south") - 7.5) / 3).cast("long"), "c": F.round((F.col("west") - 68.0) / 3).cast("long")})
+    return own.join(counts, ["r", "c"], "left").select("west", "south", "east", "north", F.coalesce("entities", F.lit(0).cast("long")).alias("entities"))
 
 
 def tile_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,8 +397,9 @@ def incremental_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(src.dense_panel(spark, sf_dir).select("id", "year", "value"), "dense")
     wrong = rows.filter("year <= 2020").withColumn("value", F.col("value") + 1)
     for part in (wrong, rows.filter("year > 2020"), rows.filter("year <= 2020")):
-        part.coalesce(1).write.mode("append").parquet(source)
+        part.write.mode("append").parquet(source)
         incremental.merge_panel(spark, source, schema, sink, mark)
+    incremental.compact(spark, sink)
     return rounded(incremental.merged_panel(spark, sink, schema), *src.NTL)
 
 
@@ -459,10 +469,11 @@ ORACLE_SQL = {
     "json_vertices": f"""WITH {o.TOWERS}, p AS (SELECT n_regionkey AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY s_suppkey) - 1 AS k, latitude, longitude
       FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN towers ON tower_id = s_suppkey) SELECT id, k, round(latitude, 6) AS lat, round(longitude, 6) AS lon FROM p WHERE k % 5 = 0""",
     "json_envelopes": "SELECT n_nationkey AS k, n_name AS name FROM nation",
-    "literal_access": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in ACCESS_2011.items()) + ") t(state_name, access)",
-    "binary_grid": """WITH t AS (SELECT k.range AS k, a.range AS cell FROM range(4) k CROSS JOIN range(1200) a) SELECT 'tile' || k::VARCHAR AS path, (cell // 40)::INT AS row, (cell % 40)::INT AS col,
-      round(68 + 4 * k + (cell % 40) * 0.1::DOUBLE, 6) AS longitude, round(37.5 - 3 * k - (cell // 40) * 0.1::DOUBLE, 6) AS latitude,
-      CASE WHEN cell % 7 <> k % 7 THEN ((cell * 37 + k * 11) % 100) / 4.0::DOUBLE END AS value FROM t""",
+    "literal_access": "WITH s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', {v}::DOUBLE)" for i, (k, v) in enumerate(ACCESS_2011.items())) + f""") t(place, state_name, access)),
+      c AS (SELECT c_custkey % {len(ACCESS_2011)} AS place, count(*) AS n FROM customer GROUP BY 1) SELECT state_name, access, coalesce(n, 0) AS customers FROM s LEFT JOIN c ON s.place = c.place""",
+    "binary_grid": """WITH t AS (SELECT k.range AS k, a.range AS cell FROM range(4) k CROSS JOIN range(1200) a), v AS (SELECT l_suppkey % 4 AS k, l_partkey % 1200 AS cell, min(l_quantity)::DOUBLE / 4 AS value FROM lineitem GROUP BY 1, 2)
+      SELECT 'tile' || t.k::VARCHAR AS path, (t.cell // 40)::INT AS row, (t.cell % 40)::INT AS col, round(68 + 4 * t.k + (t.cell % 40) * 0.1::DOUBLE, 6) AS longitude,
+      round(37.5 - 3 * t.k - (t.cell // 40) * 0.1::DOUBLE, 6) AS latitude, value FROM t LEFT JOIN v ON t.k = v.k AND t.cell = v.cell WHERE t.k IN (SELECT k FROM v)""",
     "raster_tile_round_trip": "SELECT o_orderkey % 300 AS row, o_custkey % 200 AS col, min(o_orderkey)::DOUBLE AS value FROM orders GROUP BY 1, 2",
     "content_types": """WITH t AS (SELECT p_partkey AS id, p_name || '.' || ['csv', 'json', 'html', 'tif', 'bin'][p_partkey % 5 + 1] AS path FROM part)
       SELECT id, path, ['text/csv', 'application/json', 'text/html', 'image/tiff', 'application/octet-stream'][id % 5 + 1] AS content_type FROM t""",
@@ -492,8 +503,9 @@ ORACLE_SQL = {
       SELECT id, round({_MIN_KM.format('cities')}, 6) AS dist_city_km, round({_MIN_KM.format('road')}, 6) AS dist_highway_km FROM a""",
     "exact_duplicates": f"WITH {o.ENTITY} SELECT min(id) AS id, min_by(village_name, id) AS village_name FROM entity GROUP BY latitude, longitude",
     "settlement_dedup": "",
-    "grid_cells": """SELECT 68.0::DOUBLE + 3 * c.range AS west, 7.5::DOUBLE + 3 * r.range AS south, least(71.0::DOUBLE + 3 * c.range, 97.5) AS east, 10.5::DOUBLE + 3 * r.range AS north
-      FROM range(10) r CROSS JOIN range(10) c""",
+    "grid_cells": f"""WITH {o.ENTITY}, g AS (SELECT r.range AS r, c.range AS c, 68.0::DOUBLE + 3 * c.range AS west, 7.5::DOUBLE + 3 * r.range AS south, least(71.0::DOUBLE + 3 * c.range, 97.5) AS east, 10.5::DOUBLE + 3 * r.range AS north
+      FROM range(10) r CROSS JOIN range(10) c), n AS (SELECT floor((latitude - 7.5) / 3)::BIGINT AS r, floor((longitude - 68.0) / 3)::BIGINT AS c, count(*) AS n FROM entity GROUP BY 1, 2)
+      SELECT west, south, east, north, coalesce(n, 0) AS entities FROM g LEFT JOIN n ON g.r = n.r AND g.c = n.c""",
     "tile_points": f"WITH {o.ENTITY}, {_TILE_POINTS} SELECT id, tile FROM tile_points",
     "tile_union": f"WITH {o.ENTITY}, {_TILE_POINTS} SELECT id, min(tile) AS tile FROM tile_points GROUP BY id",
     "zonal_polygons": _zone_sql(),
