@@ -18,7 +18,11 @@ def degrees2(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return (lat1 - lat2) * (lat1 - lat2) + (lon1 - lon2) * (lon1 - lon2)
 
 
+def crossings(x: Column, y: Column, edges: Column) -> Column:
+    """How many of the edges (x1, y1, x2, y2) a ray from the point to the right crosses."""
+    return F.size(F.filter(edges, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])))
+
+
 def inside(x: Column, y: Column, edges: Column) -> Column:
-    """Whether a ray from the point crosses an odd number of edges (x1, y1, x2, y2)."""
-    crossed = F.filter(edges, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]))
-    return F.size(crossed) % 2 == 1
+    """Whether a ray from the point crosses an odd number of edges."""
+    return crossings(x, y, edges) % 2 == 1

@@ -40,20 +40,47 @@ def spatial_lag(points: DataFrame, value: str, k: int = 10) -> DataFrame:
     return near.join(values, "other_id").groupBy("id").agg(F.avg("v").alias("spatial_lag"))
 
 
+#: By how much an edge must clear a cell to be taken as beside it or through it, against the last bits of a crossing.
+CLEAR = 1e-9
+
+
+def cell_cover(polygons: DataFrame, cell: float = 1.0) -> DataFrame:
+    """cell_r, cell_c, name, odd, turns and edges of the cells that each polygon meets; `polygons` has name and edges (x1, y1, x2, y2).
+
+    Of a row of cells only the edges of its own band of latitudes count, clipped to the band. For one cell those on its
+    left are never crossed by a ray to the right. One on its right is crossed from its lower end up to its upper end, so
+    whether a ray at y crosses an odd number of them is whether an odd number of their ends lies at or below y: ends
+    that two of them share cancel out, ends below the band are one bit, `odd`, and the few left are `turns`. A cell
+    without edges and turns lies wholly inside, or outside and has no row; border cells keep the edges near them."""
+    low, high = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
+    edges = polygons.select("name", F.explode("edges").alias("e")).select("name", *[F.col(f"e.{c}").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], low.alias("low"), high.alias("high"))
+    rows = edges.withColumn("cell_r", F.explode(F.sequence(F.floor(F.col("low") / cell).cast("long"), F.floor(F.col("high") / cell).cast("long"))))
+    south, north = F.col("cell_r") * cell, (F.col("cell_r") + 1) * cell
+    at = lambda y: F.col("x1") + (F.col("x2") - F.col("x1")) * (F.greatest(F.least(y, F.col("high")), F.col("low")) - F.col("y1")) / (F.col("y2") - F.col("y1"))
+    flat = F.col("low") == F.col("high")
+    ends = [F.when(flat, F.col("x1")).otherwise(at(south)), F.when(flat, F.col("x2")).otherwise(at(north))]
+    clipped = rows.select("name", "cell_r", F.least(*ends).alias("west"), F.greatest(*ends).alias("east"), F.struct("x1", "y1", "x2", "y2").alias("edge"))
+    banded = clipped.groupBy("name", "cell_r").agg(F.min("west").alias("west"), F.max("east").alias("east"), F.collect_list(F.struct("west", "east", "edge")).alias("band"))
+    dealt = banded.select("name", "cell_r", "band", F.explode(F.sequence(F.floor((F.col("west") - CLEAR) / cell).cast("long"), F.floor((F.col("east") + CLEAR) / cell).cast("long"))).alias("cell_c"))
+    left, right = F.col("cell_c") * cell, (F.col("cell_c") + 1) * cell
+    beyond = F.filter("band", lambda e: e["west"] >= right + CLEAR)
+    ends = F.array_sort(F.concat(F.transform(beyond, lambda e: e["edge"]["y1"]), F.transform(beyond, lambda e: e["edge"]["y2"])))
+    single = lambda held, y: F.when((F.size(held) > 0) & (F.try_element_at(held, F.lit(-1)) == y), F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(y)))
+    near = F.transform(F.filter("band", lambda e: (e["west"] < right + CLEAR) & (e["east"] > left - CLEAR)), lambda e: e["edge"]).alias("edges")
+    cells = dealt.select("cell_r", "cell_c", "name", F.aggregate(ends, F.array().cast("array<double>"), single).alias("ends"), near)
+    odd = (F.size(F.filter("ends", lambda y: y <= south - CLEAR)) % 2).alias("odd")
+    turns = F.filter("ends", lambda y: (y > south - CLEAR) & (y < north + CLEAR)).alias("turns")
+    return cells.select("cell_r", "cell_c", "name", odd, turns, "edges").filter((F.col("odd") == 1) | (F.size("turns") > 0) | (F.size("edges") > 0))
+
+
 def in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
     """id and name of each polygon that holds the point; `polygons` has name and edges (x1, y1, x2, y2).
 
-    Polygons are dealt to the cells of their bounding boxes, points to their own cell. A ray meets only edges of its own
-    band of latitudes, so a row of cells gets no others."""
-    lows = lambda a, b: F.floor(F.array_min(F.transform("edges", lambda e: F.least(e[a], e[b]))) / cell).cast("long")
-    highs = lambda a, b: F.floor(F.array_max(F.transform("edges", lambda e: F.greatest(e[a], e[b]))) / cell).cast("long")
-    boxed = polygons.withColumns({"c0": lows("x1", "x2"), "c1": highs("x1", "x2")})
-    rows = boxed.withColumn("cell_r", F.explode(F.sequence(lows("y1", "y2"), highs("y1", "y2"))))
-    south, north = F.col("cell_r") * cell, (F.col("cell_r") + 1) * cell
-    banded = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= south) & (F.least(e["y1"], e["y2"]) <= north))
-    dealt = rows.withColumn("edges", banded).withColumn("cell_c", F.explode(F.sequence("c0", "c1"))).drop("c0", "c1")
+    Points are joined with the polygons' cells; a point in a cell that lies wholly inside meets no edge."""
     at = points.select("id", "latitude", "longitude", *_cells(F.col("latitude"), F.col("longitude"), cell, cell))
-    return at.join(dealt, ["cell_r", "cell_c"]).filter(sp.inside(F.col("longitude"), F.col("latitude"), F.col("edges"))).select("id", "name")
+    crossed = sp.crossings(F.col("longitude"), F.col("latitude"), F.col("edges"))
+    turned = F.size(F.filter("turns", lambda y: y <= F.col("latitude")))
+    return at.join(cell_cover(polygons, cell), ["cell_r", "cell_c"]).filter((F.col("odd") + turned + crossed) % 2 == 1).select("id", "name")
 
 
 def fill_blank(points: DataFrame, polygons: DataFrame, column: str, is_blank: Column) -> DataFrame:
