@@ -379,7 +379,8 @@ def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def regrouped(full: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Postings of the nodes by all of their tokens, rare ones among these nodes first."""
     sets = keyed_join(full, nodes, ["node"], "inner")
-    at = cut(sets.select("node", "tokens").mapInArrow(_tokens_of, "node long, token long"), "tokens-of-large")
+    dealt = sets.select("node", "tokens").repartition("node")  # the join may have left the sets of a large cluster in few tasks
+    at = cut(dealt.mapInArrow(_tokens_of, "node long, token long"), "tokens-of-large")
     prefix = (F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1).alias("prefix")
     meta = cut(sets.select("node", "n", prefix), "large-nodes")
 
