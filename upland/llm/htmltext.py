@@ -5,7 +5,8 @@ headers, footers, sidebars, forms and the like, by element, class, id or role, a
 mostly links; blocks with enough stop words are good; short blocks, and those inside an article with few stop
 words, are ambiguous. The second pass gives ambiguous blocks the label of the nearest decided block of their
 region, and of the two sides at equal distance the good one; where nothing in the region is decided, blocks of
-an article are good and others bad.
+an article are good and others bad. Where that leaves a page without any text, as in a language without stop words in
+the list, the region with most text that is neither boilerplate nor links is the text.
 
 Names are no proof: a name that says what the page has, lacks or does (`with-sidebar`, `no-sidebar`,
 `share-enabled`) marks nothing, and a marked element that holds most of the page's stop words is text all the
@@ -18,6 +19,7 @@ repeated rows give repeated results; only page_id, url and html are read; an emp
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -69,16 +71,45 @@ STOP_WORDS = frozenset(
 SHORT, LONG, FEW_STOPS, MANY_STOPS, MANY_LINKS = 70, 200, 0.06, 0.12, 0.33
 
 _OPEN = r"(?=[\s/>])[^>]*"
-_PARTS = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)}){_OPEN}(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    rf"|<(?P<closed>{'|'.join(CLOSED)}){_OPEN}(?:/>|>.*?</(?P=closed)\s*>)"
-    rf"|<(?P<flat>{'|'.join(FLAT)}){_OPEN}(?:/>|>(?:(?!<(?P=flat)[\s/>]|</?(?:p|div|article|section|main|h\d)[\s>]).)*?</(?P=flat)\s*>|>[^<]*)"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<more>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))"
-    r"|<[!?][^>]*(?:>|\Z)|[^<]+|<",
-    re.S | re.I,
-)
+
+
+@functools.lru_cache(1 << len(CLOSED))
+def _parts(ended: tuple[str, ...]) -> re.Pattern:
+    """What a page consists of; elements of the kinds `ended` go up to their end tags."""
+    closed = "|".join(ended) or "(?!)"
+    return re.compile(
+        r"<!--.*?(?:-->|\Z)"
+        rf"|<(?P<raw>{'|'.join(RAW)}){_OPEN}(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+        rf"|<(?P<closed>{closed}){_OPEN}(?:/>|>.*?</(?P=closed)\s*>)"
+        rf"|<(?P<flat>{'|'.join(FLAT)}){_OPEN}(?:/>|>(?:(?!<(?P=flat)[\s/>]|</?(?:p|div|article|section|main|h\d)[\s>]).)*?</(?P=flat)\s*>|>[^<]*)"
+        r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+        r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<more>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))"
+        r"|<[!?][^>]*(?:>|\Z)|[^<]+|<",
+        re.S | re.I,
+    )
+
+
+_END = re.compile(rf"</({'|'.join(CLOSED)})\s*>", re.I)
+
+
+def parts_of(page: str) -> Iterator[re.Match]:
+    """The page's parts in order.
+
+    An element of a kind in CLOSED is sought up to its end tag, but not after the last end tag of its kind, where every
+    start would read the rest of the page in vain: so the time is linear in the page, whatever is left open."""
+    last = {m[1].lower(): m.start() for m in _END.finditer(page)}
+    at = 0
+    for edge in (*sorted(set(last.values())), len(page)):
+        ended = tuple(sorted(k for k, v in last.items() if v >= at))
+        if at > edge:
+            continue
+        for m in _parts(ended).finditer(page, at):
+            if m.start() > edge:
+                break
+            at = max(m.end(), m.start() + 1)
+            yield m
+
+
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -182,7 +213,7 @@ def blocks_of(page: str) -> list[Block]:
             raw.append((text, linked, at, heading, len(steps)))
         parts, linked, breaks = [], 0, 0
 
-    for m in _PARTS.finditer(page):
+    for m in parts_of(page):
         tag = m["tag"]
         if tag is None:
             piece = m[0]
@@ -281,10 +312,27 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
     return out
 
 
+def densest(blocks: list[Block]) -> list[bool]:
+    """Where no block is main text by its stop words, as in a language that has none in the list: the blocks of the
+    region with most text that are neither boilerplate nor links, if one of them is of some length. Bytes of UTF-8 measure
+    it, as scripts differ in what a character says."""
+    length = [len(b.text.encode()) for b in blocks]
+    fit = [not b.bad and b.linked <= MANY_LINKS * len(b.text) for b in blocks]
+    size: dict[int, int] = {}
+    for b, good, n in zip(blocks, fit, length, strict=True):
+        size[b.region] = size.get(b.region, 0) + good * n
+    best = max(size, key=lambda r: (size[r], -r), default=-1)
+    kept = [good and b.region == best for b, good in zip(blocks, fit, strict=True)]
+    return kept if any(good and n >= SHORT for good, n in zip(kept, length, strict=True)) else [False] * len(blocks)
+
+
 def extract(page: str) -> str:
     """The page's main text, blocks joined by an empty line."""
     blocks = blocks_of(page)
-    return "\n\n".join(b.text for b, good in zip(blocks, second_pass(blocks, [first_pass(b) for b in blocks]), strict=True) if good)
+    kept = second_pass(blocks, [first_pass(b) for b in blocks])
+    if not any(kept):
+        kept = densest(blocks)
+    return "\n\n".join(b.text for b, good in zip(blocks, kept, strict=True) if good)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
