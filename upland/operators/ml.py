@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -73,50 +75,55 @@ def cluster(df: DataFrame, signals: list[str], ks: tuple[int, ...] = (3, 4, 5, 6
 #: taken in the order of (fixed values).
 BACKGROUND, BACKGROUND_NAME = 0.40, "Steady Grower"
 GROWTH = {"ntl_growth_pct": 0.4, "ndbi_growth": 0.3, "ghsl_change": 0.2, "tower_growth": 0.1}
-#: Names of clusters by which signals lie above (+) and not above or below (-) the clusters' mean; the first that is
-#: free is taken (fixed values).
-CLUSTER_RULES = [
-    ("Urban Fringe Surge", "+ntl_growth_pct +ndbi_growth <dist_city_km"),
-    ("Construction Boom", "+ntl_growth_pct +ndbi_growth"),
-    ("Industrial Corridor", "+ntl_growth_pct <dist_highway_km"),
-    ("Rural Electrification", "+ntl_growth_pct -ndbi_growth"),
-    ("Agricultural Shift", "-ntl_growth_pct +ndbi_growth"),
-    ("Connectivity-Led Growth", "-ntl_growth_pct -ndbi_growth +tower_growth"),
+
+
+class Profile(NamedTuple):
+    """Signals in which a cluster's centre lies above the centres' mean, and those that are there in which it lies below."""
+
+    above: set[str]
+    below: set[str]
+
+
+#: Names of clusters and what must hold of the profile; the first that is free is taken (fixed values).
+CLUSTER_RULES: list[tuple[str, Callable[[Profile], bool]]] = [
+    ("Urban Fringe Surge", lambda p: {"ntl_growth_pct", "ndbi_growth"} <= p.above and "dist_city_km" in p.below),
+    ("Construction Boom", lambda p: {"ntl_growth_pct", "ndbi_growth"} <= p.above),
+    ("Industrial Corridor", lambda p: "ntl_growth_pct" in p.above and "dist_highway_km" in p.below),
+    ("Rural Electrification", lambda p: "ntl_growth_pct" in p.above and "ndbi_growth" not in p.above),
+    ("Agricultural Shift", lambda p: "ntl_growth_pct" not in p.above and "ndbi_growth" in p.above),
+    ("Connectivity-Led Growth", lambda p: "tower_growth" in p.above and not {"ntl_growth_pct", "ndbi_growth"} & p.above),
 ]
 #: Names of clusters that no rule fits, by descending growth (fixed values).
 SPARE_NAMES = ["Active Growth", "Emerging Growth", "Latent Potential", "Stable Base", "Low Activity"]
 
 
+def profiles(centres: list[list[float]], signals: list[str]) -> list[Profile]:
+    x = np.array(centres, float).reshape(len(centres), len(signals))
+    apart = np.sign(x - x.mean(0)) if len(x) else x
+    return [Profile({s for s, v in zip(signals, row, strict=True) if v > 0}, {s for s, v in zip(signals, row, strict=True) if v < 0}) for row in apart]
+
+
 def cluster_names(centres: list[list[float]], sizes: list[int], signals: list[str]) -> list[str]:
-    """A name for each cluster by how its centre compares with the others', each name once.
-
-    Background clusters are named first and may be renamed by a rule; a signal that isn't there is 0 for the order and
-    for "+" and "-", and "<" fails."""
-    at = [{s: c[signals.index(s)] if s in signals else 0.0 for s in {*GROWTH, "dist_city_km", "dist_highway_km"}} for c in centres]
-    mean = {s: float(np.mean([c[s] for c in at])) for s in at[0]}
-    order = sorted(range(len(at)), key=lambda k: -sum(w * at[k][s] for s, w in GROWTH.items()))
-    names, used = [""] * len(at), set()
-
-    def fits(k: int, rule: str) -> bool:
-        tests = {"+": lambda s: at[k][s] > mean[s], "-": lambda s: not at[k][s] > mean[s], "<": lambda s: s in signals and at[k][s] < mean[s]}
-        return all(tests[part[0]](part[1:]) for part in rule.split())
-
-    def take(k: int, name: str) -> bool:
-        if name in used:
-            return False
-        used.add(name)
-        names[k] = name
-        return True
-
-    for k, n in enumerate(sizes):
-        if n > BACKGROUND * sum(sizes):
-            take(k, BACKGROUND_NAME)
-    for k in order:
-        any(fits(k, rule) and take(k, name) for name, rule in CLUSTER_RULES)
-    for k in order:
-        if not names[k]:
-            any(take(k, name) for name in SPARE_NAMES)
-    return names
+    """A name for each cluster by how its centre compares with the others', each name once; a signal that isn't there counts
+    as neither above nor below.
+
+    A cluster with most rows is the background unless a rule names it; clusters choose in the order of their growth,
+    and one that neither a rule nor the background names takes a spare name, if any is left."""
+    at = np.array(centres, float).reshape(len(centres), len(signals))
+    growth = sum((w * at[:, signals.index(s)] for s, w in GROWTH.items() if s in signals), np.zeros(len(at)))
+    order = np.argsort(-np.round(growth, 12), kind="stable").tolist()  # ties to the last bits go by number
+    found = profiles(centres, signals)
+    crowd = next((k for k, n in enumerate(sizes) if n > BACKGROUND * sum(sizes)), None)
+    given: dict[int, str] = {} if crowd is None else {crowd: BACKGROUND_NAME}
+    taken = set(given.values())
+    fitting = {k: [name for name, holds in CLUSTER_RULES if holds(found[k])] for k in order}
+    for choices in (fitting, dict.fromkeys(order, SPARE_NAMES)):
+        for k in order:
+            free = next((name for name in choices.get(k, []) if name not in taken), None)
+            if free and (choices is fitting or k not in given):
+                given[k] = free
+                taken.add(free)
+    return [given.get(k, "") for k in range(len(centres))]
 
 
 def named_clusters(df: DataFrame, signals: list[str], rule: str, **options) -> DataFrame:
