@@ -82,6 +82,19 @@ def test_no_cell_meets_a_polygon(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_a_tile_meets_zones_in_units(spark):
+    """Spans outnumber the zones whose size Spark knows, so they are never broadcast, and many zones take a tile once."""
+    cells, band = band_of(spark)
+    zones = spark.range(600).select("id", (F.col("id") % 70).alias("r0"), (F.col("id") % 70 + 20).alias("r1"), F.lit(3).alias("c0"), F.lit(90).alias("c1"))
+    spans, tiles = pixels.box_spans(zones), pixels.summed_tiles(band, 99.0, 5.0)
+    found = pixels.zonal_sums(spans, tiles)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    few = {r.id: (r["mean"], r.share) for r in pixels.zonal_sums(spans, tiles, unit=500).collect()}
+    assert few == {r.id: (pytest.approx(r["mean"]), r.share) for r in found.collect()} and len(few) == 600
+    own = [v for (r, c), v in cells.items() if v != 99 and 69 <= r <= 89 and 3 <= c <= 90]
+    assert few[69] == (pytest.approx(np.mean(own)), pytest.approx(own.count(5.0) / len(own)))
+
+
 def test_the_curve_and_its_runs():
     r, c = np.array([-5, 0, 3, 900, -1]), np.array([7, 0, -3, 12, -1])
     assert len(set(pixels.curve(r, c).tolist())) == 5

@@ -4,7 +4,7 @@ A band is a table of row, col and value, a row for each cell that it has. Its ti
 
 * Zonal sums: a zone becomes spans of columns, those cells of each row whose centres lie in it, dealt to tiles; a tile
   carries sums along its rows, so a span of any length costs two look-ups a tile row. Cells meet no polygon, and what
-  is joined are tiles and packed spans.
+  is joined are tiles and units of many zones' spans.
 * Windows: tiles are written in the order of a Z curve, so tiles that lie together share row groups; a window is a few
   runs of the curve, and the filter on them skips the other row groups by their statistics.
 """
@@ -131,16 +131,11 @@ def zone_spans(zones: DataFrame, x0: float, y0: float, step: float, size: int =
 def box_spans(zones: DataFrame, size: int = TILE) -> DataFrame:
     """`zone_spans` of zones that are rows r0 to r1 and columns c0 to c1."""
     rows = zones.select("id", *[F.col(c).cast("long").alias(c) for c in ("r0", "r1", "c0", "c1")]).filter("r0 <= r1 and c0 <= c1")
-    schema = StructType([zones.schema["id"], *_fields(zones, SPAN)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, (r0, r1, c0, c1) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("r0", "r1", "c0", "c1")), strict=True)):
-                for r in range(r0, r1 + 1, SPANS):
-                    row = np.arange(r, min(r + SPANS, r1 + 1))
-                    yield from _span_batch(batch.column("id").slice(k, 1), _dealt(row, np.full(len(row), c0), np.full(len(row), c1), size), schema.names)
-
-    return rows.mapInArrow(run, schema)
+    tiles = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / size).cast("long"), F.floor(F.col(high) / size).cast("long")))
+    dealt = rows.withColumn("tile_r", tiles("r0", "r1")).withColumn("tile_c", tiles("c0", "c1"))
+    row = F.sequence(F.greatest(F.col("r0") - F.col("tile_r") * size, F.lit(0)).cast("int"), F.least(F.col("r1") - F.col("tile_r") * size, F.lit(size - 1)).cast("int"))
+    ends = {"a": F.greatest(F.col("c0") - F.col("tile_c") * size, F.lit(0)), "b": F.least(F.col("c1") - F.col("tile_c") * size, F.lit(size - 1)) + 1}
+    return dealt.withColumn("r", row).select("id", "tile_r", "tile_c", "r", *[F.array_repeat(e.cast("int"), F.size("r")).alias(c) for c, e in ends.items()])
 
 
 def _fields(df: DataFrame, ddl: str) -> list[StructField]:
@@ -155,22 +150,31 @@ def _span_batch(own: pa.Array, dealt: Iterator[tuple[int, int, np.ndarray, np.nd
         yield pa.RecordBatch.from_arrays([own.take(pa.array(np.zeros(len(found), np.int64))), *tiles, *lists], names=names)
 
 
-def zonal_sums(spans: DataFrame, tiles: DataFrame, size: int = TILE) -> DataFrame:
-    """id, mean and share of each zone that has a cell: what its spans add up to over the tiles."""
+def zonal_sums(spans: DataFrame, tiles: DataFrame, size: int = TILE, unit: int = SPANS) -> DataFrame:
+    """id, mean and share of each zone that has a cell: what its spans add up to over the tiles; `spans` is read twice.
+
+    A tile meets its spans in units of about `unit`, so it is sent once for each of these, not once for each zone, and a
+    tile that all zones meet is many units. Spans outnumber the table they are made of, so no side's size is guessed."""
+    keys = ["tile_r", "tile_c"]
     schema = StructType([spans.schema["id"], *_fields(spans, "total double, n long, k long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r, a, b, *sums in zip(*(batch.column(c) for c in ("r", "a", "b", "sums", "cells", "hits")), strict=True):
-                row = r.values.to_numpy().astype(np.int64) * (size + 1)
-                low, high = row + a.values.to_numpy(), row + b.values.to_numpy()
-                out.append([float((v := s.values.to_numpy())[high].sum() - v[low].sum()) for s in sums])
-            total, n, k = zip(*out, strict=True) if out else ((), (), ())
-            columns = [pa.array(total, pa.float64()), *(pa.array([int(x) for x in c], pa.int64()) for c in (n, k))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=schema.names)
-
-    parts = spans.join(tiles, ["tile_r", "tile_c"]).select("id", "r", "a", "b", "sums", "cells", "hits").mapInArrow(run, schema)
+            for held, *sums in zip(*(batch.column(c) for c in ("held", "sums", "cells", "hits")), strict=True):
+                r, a, b = (held.values.field(c) for c in ("r", "a", "b"))
+                n = r.value_lengths().to_numpy()
+                row = r.flatten().to_numpy().astype(np.int64) * (size + 1)
+                low, high = row + a.flatten().to_numpy(), row + b.flatten().to_numpy()
+                first = np.cumsum(n) - n
+                found = [np.add.reduceat((v := s.values.to_numpy())[high] - v[low], first) for s in sums]
+                columns = [pa.array(x, t) for x, t in zip(found, (pa.float64(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([held.values.field("id"), *columns], names=schema.names)
+
+    spans = spans.filter(F.size("r") > 0)
+    load = spans.groupBy(*keys).agg(F.ceil(F.sum(F.size("r")) / unit).cast("long").alias("units"))
+    dealt = spans.hint("merge").join(load, keys).withColumn("unit", F.pmod(F.xxhash64("id"), "units"))
+    packed = dealt.groupBy(*keys, "unit").agg(F.collect_list(F.struct("id", "r", "a", "b")).alias("held"))  # about `unit` spans
+    parts = packed.hint("merge").join(tiles, keys).select("held", "sums", "cells", "hits").mapInArrow(run, schema)
     added = parts.groupBy("id").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("k").alias("k")).filter("n > 0")
     return added.select("id", (F.col("total") / F.col("n")).alias("mean"), (F.col("k") / F.col("n")).alias("share"))
 

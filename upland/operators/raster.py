@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from upland.operators import pixels
+from upland.sources.store import cut
 
 
 def sample(points: DataFrame, band: DataFrame, x0: float, y0: float, step: float, nodata: float, scale: float = 1.0) -> DataFrame:
@@ -41,14 +42,14 @@ def radar_composite(scenes: DataFrame, most_null: float = 0.95) -> DataFrame:
 
 def zonal_polygons(zones: DataFrame, band: DataFrame, x0: float, y0: float, step: float, nodata: float, klass: float) -> DataFrame:
     """id, mean and share of class `klass` of the cells whose centres lie in each zone's edges (x1, y1, x2, y2)."""
-    found = pixels.zonal_sums(pixels.zone_spans(zones, x0, y0, step), pixels.summed_tiles(band, nodata, klass))
+    found = pixels.zonal_sums(cut(pixels.zone_spans(zones, x0, y0, step), "spans"), pixels.summed_tiles(band, nodata, klass))
     return zones.select("id").join(found, "id", "left")
 
 
 def zonal(zones: DataFrame, band: DataFrame, nodata: float, klass: float) -> DataFrame:
     """id, mean and share of class `klass` of the cells in each zone's rows r0..r1 and columns c0..c1."""
     found = pixels.zonal_sums(pixels.box_spans(zones), pixels.summed_tiles(band, nodata, klass))
-    return zones.select("id").join(found, "id", "left")
+    return zones.select("id").hint("merge").join(found, "id", "left")
 
 
 def mosaic(tiles: DataFrame, nodata: float) -> DataFrame:
