@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 
 from upland.functions import spatial as sp
 from upland.operators.balanced import nearest, radius_count
+from upland.sources.store import cut
 
-__all__ = ["fill_blank", "first_polygon", "in_polygons", "metre_pairs", "named_pairs", "nearest", "planar_nearest_km", "radius_count", "spatial_lag", "within_radius"]
+__all__ = [
+    "fill_blank", "first_polygon", "in_polygons", "metre_links", "named_links", "named_pairs", "nearest", "planar_nearest_km", "radius_count", "radius_links",
+    "spatial_lag", "within_radius",
+]
+#: Ids of one place that are packed together, about.
+CHUNK = 256
 
 
 def _cells(lat: Column, lon: Column, size_lat: float, size_lon: float) -> list[Column]:
@@ -29,7 +35,8 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame
     a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns], *_cells(F.col("latitude"), F.col("longitude"), radius, radius))
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], *_cells(F.col("latitude"), F.col("longitude"), radius, radius))
     near = sp.degrees2(F.col("l_latitude"), F.col("l_longitude"), F.col("r_latitude"), F.col("r_longitude")) <= radius * radius
-    return _ring(a).join(b, ["cell_r", "cell_c"]).filter(near).drop("cell_r", "cell_c")
+    # the ring is nine times the table whose size Spark knows, so no side is broadcast by that
+    return _ring(a).hint("merge").join(b, ["cell_r", "cell_c"]).filter(near).drop("cell_r", "cell_c")
 
 
 def spatial_lag(points: DataFrame, value: str, k: int = 10) -> DataFrame:
@@ -96,11 +103,10 @@ def first_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
     return points.join(held, "id", "left")
 
 
-def metre_pairs(points: DataFrame, metres: float, latitude: float = 20.0) -> DataFrame:
-    """a < b of points at most `metres` apart on a plane true at one latitude."""
+def metre_links(points: DataFrame, metres: float, latitude: float = 20.0) -> tuple[DataFrame, DataFrame]:
+    """`radius_links` of points at most `metres` apart on a plane true at one latitude."""
     flat = points.select("id", "latitude", (F.col("longitude") * math.cos(math.radians(latitude))).alias("longitude"))
-    pairs = within_radius(flat, flat, metres / 111_000.0).filter("l_id < r_id")
-    return pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    return radius_links(flat, metres / 111_000.0)
 
 
 def planar_nearest_km(points: DataFrame, others: DataFrame) -> DataFrame:
@@ -110,13 +116,70 @@ def planar_nearest_km(points: DataFrame, others: DataFrame) -> DataFrame:
     return nearest(shrink(points), shrink(others), 1).select("id", "other_id", (F.sqrt("d2") * 111.0).alias("km"))
 
 
+def _chunks(rows: DataFrame, place: list[str]) -> DataFrame:
+    """The columns `place`, which rows share, with the ids of at most about CHUNK of them and the least of these, `head`."""
+    many = rows.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    dealt = rows.hint("merge").join(many, place).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks"))
+    packed = dealt.groupBy(*place, "chunk").agg(F.collect_list("id").alias("ids"), F.min("id").alias("head"))
+    return cut(packed.drop("chunk"), "places")
+
+
+def _lattice(places: DataFrame, radius_km: float) -> tuple[DataFrame, DataFrame]:
+    """`places` at each cell around them and at their own. Bands of latitude are as high as the radius; each is parted into
+    cells as wide as two places at most the radius apart, one of them in the band, can lie from one another."""
+    step = radius_km / 111.0
+    band = F.floor(F.col("latitude") / step)
+    reach = math.sin(min(radius_km / sp.EARTH_KM / 2, math.pi / 2))
+    shrunk = F.cos(F.radians(F.least((F.abs(F.col("band") + 0.5) + 1.5) * step, F.lit(90.0))))
+    wide = F.degrees(F.asin(F.least(F.lit(reach) / F.greatest(shrunk, F.lit(1e-9)), F.lit(1.0)))) * 2 + 1e-6
+    cells = F.greatest(F.floor(F.lit(360.0) / wide), F.lit(1)).cast("long")
+    column = F.least(F.floor(F.pmod("longitude", F.lit(360.0)) / (F.lit(360.0) / F.col("cells"))).cast("long"), F.col("cells") - 1)
+    own = places.withColumn("band", band).withColumn("cells", cells).withColumn("cell", column).drop("cells")
+    around = places.withColumn("band", F.explode(F.array(*[band + k for k in (-1, 0, 1)]))).withColumn("cells", cells).withColumn("cell", column)
+    near = F.array_distinct(F.array(*[F.pmod(F.col("cell") + k, F.col("cells")) for k in (-1, 0, 1)]))
+    return around.withColumn("cell", F.explode(near)).drop("cells"), own
+
+
+def _near(places: DataFrame, radius_km: float, *own: str) -> DataFrame:
+    """Pairs of two of the named places at most `radius_km` apart, each with itself too, by ascending `head`: base, km, and
+    a_ and b_ of the columns `own`."""
+    around, at = _lattice(places, radius_km)
+    keys, kept = ["base", "band", "cell"], ["latitude", "longitude", "head", *[c for c in own if c != "head"]]
+    a, b = (df.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in kept]) for df, side in ((around, "a"), (at, "b")))
+    km = sp.haversine(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude"))
+    # either side may be larger than the table it is made of
+    return a.hint("merge").join(b, keys).filter("a_head <= b_head").withColumn("km", km).filter(F.col("km") <= radius_km)
+
+
+def _named(points: DataFrame, name: Column) -> DataFrame:
+    return points.select("id", "latitude", "longitude", name.alias("base")).filter("base <> '' and latitude is not null and longitude is not null")
+
+
 def named_pairs(points: DataFrame, name: Column, radius_km: float) -> DataFrame:
     """a < b and km of points of one non-blank name at most `radius_km` apart on the sphere.
 
-    Names alone may repeat without bound, so latitude bands of the radius are part of the join key."""
-    band = radius_km / 111.0
-    base = points.select("id", "latitude", "longitude", name.alias("base")).filter("base <> ''").withColumn("band", F.floor(F.col("latitude") / band))
-    a = base.select(F.col("id").alias("a"), F.col("latitude").alias("lat1"), F.col("longitude").alias("lon1"), "base", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
-    b = base.select(F.col("id").alias("b"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"), "base", "band")
-    km = sp.haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, ["base", "band"]).filter("a < b").select("a", "b", km.alias("km")).filter(F.col("km") <= radius_km)
+    Names alone may repeat without bound, so cells of the radius are part of the join key. Distances are those of places;
+    the points of two places, in chunks, become pairs behind the join, so nothing that grows with the pairs is
+    shuffled."""
+    near = _near(_chunks(_named(points, name), ["base", "latitude", "longitude"]), radius_km, "ids")
+    each = near.select("km", (F.col("a_head") == F.col("b_head")).alias("same"), F.explode("a_ids").alias("x"), "b_ids").select("km", "same", "x", F.explode("b_ids").alias("y"))
+    return each.filter("not same or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "km")
+
+
+def named_links(points: DataFrame, name: Column, radius_km: float) -> tuple[DataFrame, DataFrame]:
+    """What `named_pairs` joins, without its pairs of points: id and its place's first id, `head`, for each point; a and b
+    of heads at most `radius_km` apart."""
+    place = ["base", "latitude", "longitude"]
+    rows = _named(points, name)
+    places = cut(rows.groupBy(*place).agg(F.min("id").alias("head")), "places")
+    links = _near(places, radius_km).filter("a_head < b_head").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    return rows.hint("merge").join(places, place).select("id", "head"), links
+
+
+def radius_links(points: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """`named_links` of points at most `radius` degrees apart, whatever their names."""
+    rows = points.select("id", "latitude", "longitude").filter("not isnan(latitude) and not isnan(longitude)")
+    places = cut(rows.groupBy("latitude", "longitude").agg(F.min("id").alias("id")), "places")
+    links = within_radius(places, places, radius).filter("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    heads = places.select("latitude", "longitude", F.col("id").alias("head"))
+    return rows.hint("merge").join(heads, ["latitude", "longitude"]).select("id", "head"), links

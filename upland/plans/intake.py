@@ -294,7 +294,7 @@ def settlement_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _named(spark, sf_dir).join(src.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("tags")), "id")
     named = F.length(F.coalesce("village_name", F.lit(""))) > 0
     order = [named.desc(), F.col("tags").desc(), F.col("id").asc()]
-    return scoring.keep_best(rows, spatial.metre_pairs(rows, 30_000.0), order).select("id", "village_name")
+    return scoring.keep_best_linked(rows, *spatial.metre_links(rows, 30_000.0), order).select("id", "village_name")
 
 
 def _tiles(spark: SparkSession) -> DataFrame:

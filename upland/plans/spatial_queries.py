@@ -64,17 +64,15 @@ def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_radius_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One entity of each group of one name within 100 km, the one with the best growth."""
     rows = cut(grown(spark, sf_dir).select("id", "village_name", "latitude", "longitude", "ntl_growth_log"), "grown")
-    pairs = spatial.named_pairs(rows, scoring.base_name(F.col("village_name")), 100.0)
+    linked = spatial.named_links(rows, scoring.base_name(F.col("village_name")), 100.0)
     best = [F.round(F.coalesce("ntl_growth_log", F.lit(-1.0)), 9).desc(), F.col("id").asc()]
-    return scoring.keep_best(rows, pairs, best).select("id", "village_name")
+    return scoring.keep_best_linked(rows, *linked, best).select("id", "village_name")
 
 
 def near_duplicate_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One entity of each chain of entities within 0.3 degrees, the one with the longest name."""
     rows = src.entities(spark, sf_dir)
-    pairs = spatial.within_radius(rows.select("id", "latitude", "longitude"), rows.select("id", "latitude", "longitude"), 0.3)
-    pairs = pairs.filter("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-    return scoring.keep_best(rows, pairs, [F.length("village_name").desc(), F.col("id").asc()]).select("id", "village_name")
+    return scoring.keep_best_linked(rows, *spatial.radius_links(rows, 0.3), [F.length("village_name").desc(), F.col("id").asc()]).select("id", "village_name")
 
 
 def planar_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
