@@ -81,3 +81,16 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_texts_are_not_shuffled_to_draw_a_sample(spark):
+    rows = spark.createDataFrame([(k, f"text of row {k}", "ab"[k % 2]) for k in range(400)], "doc_id long, text string, lang string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sample = langid.drawn_rows(rows, 20)
+        plan = sample._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert 10 < sample.count() < 90

@@ -135,6 +135,17 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def drawn_rows(train: DataFrame, per_language: int) -> DataFrame:
+    """lang, doc_id and text of about `per_language` distinct rows of each language."""
+    mark = F.xxhash64(F.lit("langid"), "doc_id", "text")
+    marked = train.withColumn("mark", mark)
+    sizes = marked.groupBy("lang").agg(F.approx_count_distinct("mark").alias("rows_of_lang"))
+    draw = F.shiftrightunsigned(F.col("mark"), 11) / F.lit(float(1 << 53))
+    # a row a language, as the model has too; texts aren't shuffled to be thrown away
+    drawn = marked.join(F.broadcast(sizes), "lang").filter(draw < F.lit(per_language) / F.col("rows_of_lang"))
+    return drawn.select("lang", "doc_id", "text", "mark").dropDuplicates(["lang", "mark"]).drop("mark")
+
+
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
     """Learn from `doc_id`, `text` and `lang` of `train`: one pass over all texts, one over the sample."""
     train = train.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter("lang is not null and text is not null")
@@ -142,13 +153,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CEN
     df = np.zeros(FEATURES + 1)
     df[found.cell.to_numpy()] = found.n.to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + np.float32(0.05)
-    mark = F.xxhash64(F.lit("langid"), "doc_id", "text")
-    marked = train.withColumn("mark", mark)
-    sizes = marked.groupBy("lang").agg(F.approx_count_distinct("mark").alias("rows_of_lang"))
-    draw = F.shiftrightunsigned(F.col("mark"), 11) / F.lit(float(1 << 53))
-    # few languages have a row here each, so AQE sees that the side is small
-    drawn = marked.join(sizes, "lang").filter(draw < F.lit(per_language) / F.col("rows_of_lang"))
-    sample = drawn.select("lang", "doc_id", "text", "mark").dropDuplicates(["lang", "mark"]).drop("mark")
+    sample = drawn_rows(train, per_language)
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "counts"])
