@@ -3,11 +3,13 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from upland.operators import scoring, spatial
+from upland.operators import scoring, spatial, validation
 from upland.operators.components import components
+from upland.sources import panel
 
 SCHEMA = "id long, latitude double, longitude double, name string"
 
@@ -63,3 +65,19 @@ def test_a_component_is_cut_to_a_row_before_it_is_shuffled(spark):
     kept = scoring.first_of_components(df, groups, [F.desc("s"), F.asc("id")])
     assert {r.id for r in kept.collect()} == {r.id for r in df.collect() if r.s in (39, 38)}
     assert "WindowGroupLimit" in plan_of(kept)
+
+
+def test_arrays_of_all_draws_are_never_broadcast(spark, monkeypatch):
+    plans, real = [], validation.cut
+    monkeypatch.setattr(validation, "cut", lambda df, name: (plans.append((name, plan_of(df))), real(df, name))[1])
+    df = spark.range(300).select("id", (F.col("id") * 7 % 31).cast("double").alias("latitude"), (F.col("id") * 11 % 37).cast("double").alias("longitude"), (F.col("id") % 5).cast("double").alias("v"))
+    validation.moran_permutations(df, "v", 4, draws=12)
+    assert "BroadcastHashJoin" not in dict(plans)["statistics"] and "BroadcastHashJoin" not in dict(plans)["edges-of-blocks"]
+
+
+def test_batches_are_bounded_by_their_bytes(spark, sf_dir):
+    """Rows that hold 256 KB each come to a Python worker a few at a time."""
+    panel.table(spark, sf_dir, "part")
+    rows = spark.range(200).coalesce(1).select("id", F.array_repeat(F.col("id"), 32768).alias("x"))
+    most = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"id": [b.num_rows]}) for b in batches), "id long").agg(F.max("id")).first()[0]
+    assert most < 64

@@ -120,13 +120,14 @@ def moran_permutations(points: DataFrame, value: str, k: int = 8, draws: int = 9
     one = cut(placed(dev.select("id", "x", F.lit(0).alias("draw")), hashed, "place").drop("draw"), "places")
     drawn = dev.select("id", "x", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     packed = placed(drawn, hashed, "place").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("draw", "x"))).alias("given"))  # a value a draw
-    values = one.join(packed, "place").select("id", F.concat(F.array("x"), F.col("given.x")).alias("xs"))
+    # an array of all draws is kilobytes, of which Spark guesses a few bytes: no side that has them is broadcast
+    values = one.hint("merge").join(packed, "place").select("id", F.concat(F.array("x"), F.col("given.x")).alias("xs"))
 
     near = cut(spatial.nearest(dev, dev.select(F.col("id").alias("other_id"), "latitude", "longitude"), k, exclude_self=True).select("id", "other_id"), "neighbours")
     _, leaves = balanced.plane(dev.select("id", *[F.col(c).cast("double").alias(c) for c in ("latitude", "longitude")]).na.drop(), ["id"], None)
     home = leaves.select("leaf", F.inline("members")).select("leaf", "id")
-    edges = cut(near.join(home, "id").select("leaf", "id", "other_id"), "edges-of-blocks")
-    needed = home.unionByName(edges.select("leaf", F.col("other_id").alias("id"))).distinct().join(values, "id")
+    edges = cut(near.hint("merge").join(home, "id").select("leaf", "id", "other_id"), "edges-of-blocks")
+    needed = home.unionByName(edges.select("leaf", F.col("other_id").alias("id"))).distinct().hint("merge").join(values, "id")
     both = edges.groupBy("leaf").cogroup(needed.groupBy("leaf"))
     sums = both.applyInArrow(lambda e, v: _products(e, v) if e.num_rows else NO_SUMS, "draw int, xl double, xx double")
     stats = sums.groupBy("draw").agg((F.sum("xl") / F.sum("xx")).alias("i"))
