@@ -72,8 +72,8 @@ def scored_main(rows: DataFrame, amplifier: bool = False) -> DataFrame:
 
 def one_of_a_name(rows: DataFrame) -> DataFrame:
     """Of entities with one base name near one another, the best."""
-    pairs = spatial.named_pairs(rows, scoring.base_name(F.col("village_name")), SAME_PLACE_KM)
-    return scoring.keep_best(rows, pairs, scoring.order_of())
+    linked = spatial.named_links(rows, scoring.base_name(F.col("village_name")), SAME_PLACE_KM)
+    return scoring.keep_best_linked(rows, *linked, scoring.order_of())
 
 
 def preferred() -> list[Column]:
