@@ -22,6 +22,11 @@ def growth_log(pct: Column) -> Column:
     return F.log1p(F.when(pct > 0, pct).when(pct.isNotNull(), 0.0))
 
 
+def bound(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often `use` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trend(columns: list[str] = NTL, years: tuple[int, ...] = YEARS, least: int = 3) -> tuple[Column, Column, Column]:
     """Slope, intercept and number of values of the least-squares line through the values present."""
     there = [F.col(c).isNotNull().cast("double") for c in columns]
@@ -35,31 +40,33 @@ def trend(columns: list[str] = NTL, years: tuple[int, ...] = YEARS, least: int =
     return slope, (sy - slope * sx) / F.nullif(n, F.lit(0.0)) - slope * years[0], n
 
 
-def _segment(columns: list[str], years: tuple[int, ...]) -> tuple[Column, Column, Column]:
-    """Slope, squared residuals and count of a segment; the years' mean and spread are the whole segment's."""
+def _segment(columns: list[str], years: tuple[int, ...]) -> Column:
+    """struct<slope, rss, n> of a segment, rss its squared residuals; the years' mean and spread are the whole segment's.
+
+    Mean and slope are computed once a row: written out, each would hold the one before it several times."""
     mid = sum(years) / len(years)
     off = [k - mid for k in years]
-    there = [F.col(c).isNotNull().cast("double") for c in columns]
-    n = total(there)
+    n = total([F.col(c).isNotNull().cast("double") for c in columns])
     mean = total([F.coalesce(F.col(c), F.lit(0.0)) for c in columns]) / F.nullif(n, F.lit(0.0))
-    slope = total([F.coalesce(F.col(c) - mean, F.lit(0.0)) * k for c, k in zip(columns, off, strict=True)]) / sum(k * k for k in off)
-    left = [F.coalesce(F.col(c) - (slope * k + mean), F.lit(0.0)) for c, k in zip(columns, off, strict=True)]
-    return slope, total([e * e for e in left]), n
+
+    slope = lambda m: total([F.coalesce(F.col(c) - m, F.lit(0.0)) * k for c, k in zip(columns, off, strict=True)]) / sum(k * k for k in off)
+    left = lambda s, m: [F.coalesce(F.col(c) - (s * k + m), F.lit(0.0)) for c, k in zip(columns, off, strict=True)]
+    fit = lambda s, m: F.struct(s.alias("slope"), total([e * e for e in left(s, m)]).alias("rss"), n.alias("n"))
+    return bound(mean, lambda m: bound(slope(m), lambda s: fit(s, m)))
 
 
 def changepoint(columns: list[str] = NTL, years: tuple[int, ...] = YEARS) -> Column:
     """struct<year, pre, post> of the break whose two lines leave least, the earliest of equals; both sides need two values."""
-    options = []
-    for k in range(2, len(years) - 1):
-        (pre, r1, n1), (post, r2, n2) = _segment(columns[:k], years[:k]), _segment(columns[k:], years[k:])
-        found = F.struct(F.round(r1 + r2, 9).alias("rss"), F.lit(years[k]).alias("year"), pre.alias("pre"), post.alias("post"))
-        options.append(F.when((n1 >= 2) & (n2 >= 2), found))
-    return F.array_min(F.filter(F.array(*options), lambda o: o.isNotNull()))
 
+    def option(k: int) -> Column:
+        def found(a: Column, b: Column) -> Column:
+            both = F.struct(F.round(a["rss"] + b["rss"], 9).alias("rss"), F.lit(years[k]).alias("year"), a["slope"].alias("pre"), b["slope"].alias("post"))
+            return F.when((a["n"] >= 2) & (b["n"] >= 2), both)
 
-def bound(value: Column, use) -> Column:
-    """`use` of a value that is computed once, however often `use` refers to it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+        return bound(_segment(columns[:k], years[:k]), lambda a: bound(_segment(columns[k:], years[k:]), lambda b: found(a, b)))
+
+    options = F.array(*[option(k) for k in range(2, len(years) - 1)])
+    return F.array_min(F.filter(options, lambda o: o.isNotNull()))
 
 
 def filled(columns: list[str] = NTL) -> Column:
