@@ -132,3 +132,24 @@ def test_permutations_in_many_blocks(spark, monkeypatch):
         y[order(0)] = x[order(d)]
         drawn.append(stat(y))
     assert plane is small and got.i == pytest.approx(stat(x)) and got.p_value == pytest.approx(np.mean(np.array(drawn) >= stat(x)))
+
+
+def test_bounds_of_ranges_are_found_once(spark, monkeypatch):
+    """Approximate quantiles depend on the order of their parts; here they differ whenever they are computed."""
+    drawn = F.udf(lambda top: sorted(random.SystemRandom().uniform(0, top) for _ in range(7)), "array<double>").asNondeterministic()
+    monkeypatch.setattr(ranks.F, "percentile_approx", lambda value, *_: drawn(F.max(value)))
+    monkeypatch.setattr(ranks, "RANGES", 8)
+    rows = [(k, k % 3, float(k * 37 % 500)) for k in range(900)]
+    df = spark.createDataFrame(rows, "id int, g int, composite_score double")
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # no result may rest on it
+    try:
+        within = ranks.with_pct_rank_within(df, F.col("composite_score"), ["g"], "p").collect()
+        numbers = ranks.with_row_numbers(df, "composite_score", "id", "p").collect()
+        placed = ranks.positions(df, "composite_score").collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    for r in within:
+        own = [v for _, g, v in rows if g == r.g]
+        assert r.p == pytest.approx((sum(v < r.composite_score for v in own) + (own.count(r.composite_score) + 1) / 2) / len(own) * 100)
+    assert [r.id for r in sorted(numbers, key=lambda r: r.p)] == [r[0] for r in sorted(rows, key=lambda r: (-r[2], r[0]))]
+    assert {r.value: r.before for r in placed} == {v: sum(w < v for _, _, w in rows) for _, _, v in rows}

@@ -20,10 +20,17 @@ RANGES = 64
 SMALL = 1_000_000
 
 
+def edges(df: DataFrame, value: Column, keys: list[str] | None = None) -> DataFrame:
+    """`bounds` of RANGES ranges of the value, one row, or one for each group. They are written, as their aggregate depends
+    on the order in which its parts come in: found once for the rows and once for the offsets, they might not agree."""
+    bounds = F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("bounds")
+    return cut(df.groupBy(*(keys or [])).agg(bounds), "bounds")
+
+
 def positions(df: DataFrame, column: str) -> DataFrame:
     """value, n, before (rows with a smaller value) of the non-null values."""
     values = df.select(F.col(column).alias("value")).filter("value is not null")
-    bounds = values.agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 1000).alias("bounds"))
+    bounds = edges(values, F.col("value"))
     counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     ranged = counted.crossJoin(F.broadcast(bounds)).withColumn("range", F.size(F.filter("bounds", lambda b: b <= F.col("value")))).drop("bounds")  # one row of bounds
     inside = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
@@ -37,7 +44,7 @@ def positions_within(values: DataFrame, keys: list[str]) -> DataFrame:
     """`positions` of the column `value` for each group, all groups at once: keys, value, n and before.
 
     A group's values are dealt into ranges of their own, so a group of any size is no single task."""
-    bounds = values.groupBy(*keys).agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 1000).alias("bounds"))
+    bounds = edges(values, F.col("value"), keys)
     counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     ranged = counted.join(bounds, keys).withColumn("range", F.size(F.filter("bounds", lambda b: b <= F.col("value")))).drop("bounds")
     inside = Window.partitionBy(*keys, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,9 +87,9 @@ def with_pct_rank(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def with_row_numbers(df: DataFrame, score: str, key: str, out: str) -> DataFrame:
     """Dense row numbers by descending score, to nine places, and ascending key, without all rows in one task; null scores
-    come last. `df` is read twice; write it first if dear."""
+    come last. `df` is read three times; write it first if dear."""
     value = F.round(score, 9)
-    bounds = df.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("bounds"))
+    bounds = edges(df, value)
     above = F.when(value.isNull(), RANGES + 1).otherwise(F.size(F.filter(F.coalesce("bounds", F.array().cast("array<double>")), lambda b: b > value)))
     ranged = df.crossJoin(F.broadcast(bounds)).withColumn("range_of_row", above).drop("bounds")  # one row of bounds
     totals = ranged.groupBy("range_of_row").agg(F.count(F.lit(1)).alias("rows"))
