@@ -4,25 +4,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from upland.functions import ranks
-from upland.operators import balanced, spatial
+from upland.operators import balanced, shuffles, spatial
 from upland.operators.topk import first_in_groups
 from upland.sources.store import cut
 
 
 #: Rows of a shuffle that one task orders, about.
 RANGE_ROWS = 1_000_000
-NO_SUMS = pa.table({"draw": pa.array([], pa.int32()), "xl": pa.array([], pa.float64()), "xx": pa.array([], pa.float64())})
+#: Values of a batch of shuffles, and the least draws of one; values that a task hashes, and that a block or part holds.
+AT_ONCE, LEAST_DRAWS, TASK_VALUES, VALUES = 1 << 25, 32, 1 << 20, 1 << 21
 
 
 def spearman(df: DataFrame, signals: list[str], least: int = 50) -> DataFrame:
@@ -79,59 +81,72 @@ def moran(points: DataFrame, value: str, k: int = 8) -> DataFrame:
     return dev.join(lag, "id").agg((F.sum(F.col("x") * F.col("spatial_lag")) / F.sum(F.col("x") * F.col("x"))).alias("i"), F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(k))
 
 
-def _products(edges: pa.Table, values: pa.Table) -> pa.Table:
-    """draw, and the sums over the points of one block of x times its neighbours' mean and of x squared: a sparse matrix of
-    neighbours times a matrix of the draws' values. `edges` has id and other_id, `values` id and xs, x in every draw."""
-    known = values.column("id").combine_chunks()
-    at, to = (pc.index_in(edges.column(c).combine_chunks(), value_set=known).to_numpy() for c in ("id", "other_id"))
-    order = np.argsort(at, kind="stable")
-    own, first, n = np.unique(at[order], return_index=True, return_counts=True)
-    xs = values.column("xs").combine_chunks()
-    x = xs.flatten().to_numpy().reshape(len(known), -1)
-    lag = np.add.reduceat(x[to[order]], first, axis=0) / n[:, None]
-    x = x[own]
-    return pa.table({"draw": np.arange(x.shape[1], dtype=np.int32), "xl": (x * lag).sum(0), "xx": (x * x).sum(0)})
+def _first_places(dev: DataFrame, seed: int) -> DataFrame:
+    """id and its place, from 0, in the order of the hash of draw 0; hashes are uniform, so their leading digits deal
+    points into ranges of about RANGE_ROWS rows, and no task orders more than a range."""
+    digits = max(0, math.ceil(math.log(max(1, dev.count() / RANGE_ROWS), 16)))
+    mark = F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit("0"), F.lit(str(seed))))
+    rows = dev.select("id", mark.alias("mark")).withColumn("range", F.substring("mark", 1, digits))
+    totals = rows.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    inside = rows.withColumn("inside", F.row_number().over(Window.partitionBy("range").orderBy("mark", "id")))
+    offsets = totals.select("range", F.coalesce(before, F.lit(0)).alias("offset"))
+    return inside.hint("merge").join(offsets, "range").select("id", (F.col("inside") + F.col("offset") - 1).alias("place"))
+
+
+@contextmanager
+def _shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Files of a query's shuffles go when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
 
 
 def moran_permutations(points: DataFrame, value: str, k: int = 8, draws: int = 999, seed: int = 42) -> DataFrame:
     """Share of value shuffles whose statistic reaches the observed one.
 
-    A shuffle gives each point the deviation of the point with the same place in the order of a hash of id and draw.
-    Hashes are uniform, so their leading digits deal a draw's points into ranges of about RANGE_ROWS rows, and no task
-    orders more than a range; places by id are found once, likewise. A point then carries its values of all draws as one
-    array, and meets its neighbours once: blocks of points that lie together, leaves of the balanced partition, get
-    the arrays of their own points and of the neighbours just outside, and add up all draws at once."""
+    A shuffle gives each point the deviation of the point with the same place in the order of a hash of id and draw; draw
+    0 so gives each its own. Draws go in batches of about AT_ONCE values, or LEAST_DRAWS, whose shuffled files are gone
+    before the next, so disk holds some draws of all points, never all. Within a batch all moves in packed arrays
+    (`shuffles`): ranges of about RANGE_ROWS hashes are ordered, blocks of places deal their values to parts of the plane,
+    leaves of the balanced partition that lie together, and a part adds up all draws at once over its neighbours, which
+    are found once."""
+    spark = points.sparkSession
     x = cut(points.filter(F.col(value).isNotNull()).select("id", "latitude", "longitude", value), "moran")
-    mean = x.agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    mean = x.agg(F.avg(value).alias("mean"))
     dev = cut(x.crossJoin(F.broadcast(mean)).select("id", "latitude", "longitude", (F.col(value) - F.col("mean")).alias("x")), "deviations")  # one row
-    digits = max(0, math.ceil(math.log(max(1, dev.count() / RANGE_ROWS), 16)))
-
-    def placed(rows: DataFrame, mark: Column, out: str) -> DataFrame:
-        rows = rows.withColumn("mark", mark).withColumn("range", F.substring("mark", 1, digits))
-        inside = F.row_number().over(Window.partitionBy("draw", "range").orderBy("mark", "id"))
-        if not digits:  # one range a draw
-            return rows.withColumn(out, inside).drop("mark", "range")
-        totals = rows.groupBy("draw", "range").agg(F.count(F.lit(1)).alias("rows"))
-        before = F.sum("rows").over(Window.partitionBy("draw").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-        offsets = totals.select("draw", "range", F.coalesce(before, F.lit(0)).alias("offset"))
-        return rows.withColumn("inside", inside).join(offsets, ["draw", "range"]).withColumn(out, F.col("inside") + F.col("offset")).drop("mark", "range", "inside", "offset")
-
-    hashed = F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("draw").cast("string"), F.lit(str(seed))))
-    one = cut(placed(dev.select("id", "x", F.lit(0).alias("draw")), hashed, "place").drop("draw"), "places")
-    drawn = dev.select("id", "x", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    packed = placed(drawn, hashed, "place").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("draw", "x"))).alias("given"))  # a value a draw
-    # an array of all draws is kilobytes, of which Spark guesses a few bytes: no side that has them is broadcast
-    values = one.hint("merge").join(packed, "place").select("id", F.concat(F.array("x"), F.col("given.x")).alias("xs"))
+    n = dev.count()
+    at_once = min(draws + 1, max(LEAST_DRAWS, AT_ONCE // max(1, n)))
+    width = max(balanced.LEAF, VALUES // at_once)  # places of a block, points of a part
 
+    places = cut(_first_places(dev, seed), "places")
     near = cut(spatial.nearest(dev, dev.select(F.col("id").alias("other_id"), "latitude", "longitude"), k, exclude_self=True).select("id", "other_id"), "neighbours")
     _, leaves = balanced.plane(dev.select("id", *[F.col(c).cast("double").alias(c) for c in ("latitude", "longitude")]).na.drop(), ["id"], None)
-    home = leaves.select("leaf", F.inline("members")).select("leaf", "id")
-    edges = cut(near.hint("merge").join(home, "id").select("leaf", "id", "other_id"), "edges-of-blocks")
-    needed = home.unionByName(edges.select("leaf", F.col("other_id").alias("id"))).distinct().hint("merge").join(values, "id")
-    both = edges.groupBy("leaf").cogroup(needed.groupBy("leaf"))
-    sums = both.applyInArrow(lambda e, v: _products(e, v) if e.num_rows else NO_SUMS, "draw int, xl double, xx double")
-    stats = sums.groupBy("draw").agg((F.sum("xl") / F.sum("xx")).alias("i"))
-    stats = cut(stats, "statistics")  # a row a draw
+    spread = leaves.select("leaf", F.posexplode("members").alias("pos", "member"))
+    part = F.floor(F.col("leaf") / (width // balanced.LEAF)) * (1 << 32) + F.floor(F.col("pos") / width)  # a crowded leaf is many
+    home = spread.select(part.cast("long").alias("part"), "member.id").hint("merge").join(places, "id")
+    others = places.select(F.col("id").alias("other_id"), F.col("place").alias("other"))
+    edges = near.hint("merge").join(home, "id").hint("merge").join(others, "other_id").select("part", "place", "other")
+    edges = cut(edges, "edges-of-blocks")
+    parts = cut(edges.groupBy("part").applyInArrow(shuffles.packed, shuffles.PARTS), "parts")
+    asked = cut(parts.mapInArrow(shuffles.asks(width), shuffles.ASKS), "asks")
+
+    ranges = max(1, math.ceil(n / RANGE_ROWS))
+    found = []
+    for first in range(0, draws + 1, at_once):
+        batch = range(first, min(draws + 1, first + at_once))
+        rows = dev.select(F.col("id").cast("string").alias("text"), "x").repartition(max(1, math.ceil(n * len(batch) / TASK_VALUES)))
+        hashes = rows.mapInArrow(shuffles.hashed(batch, seed, ranges), shuffles.HASHES)
+        pieces = hashes.groupBy("draw", "range").applyInArrow(shuffles.ordered(width), shuffles.PIECES)
+        given = pieces.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(shuffles.dealt(batch, width), shuffles.DEALT)
+        sums = given.groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(shuffles.products(batch), shuffles.SUMS)
+        with _shuffles_cleared(spark):
+            found.append(cut(sums.groupBy("draw").agg((F.sum("xl") / F.sum("xx")).alias("i")), "statistics"))
+    stats = reduce(DataFrame.unionByName, found)  # a row a draw
     seen = stats.filter("draw = 0").select(F.col("i").alias("seen"))
     reached = F.avg((F.col("i") >= F.col("seen")).cast("double")).alias("p_value")
     return stats.filter("draw > 0").crossJoin(F.broadcast(seen)).agg(reached, F.first("seen").alias("i"))  # one row
