@@ -160,7 +160,7 @@ def meetings(visits: DataFrame, leaves: DataFrame, unit: int = UNIT) -> DataFram
     dealt = visits.join(load, "leaf").withColumn("unit", F.pmod(F.xxhash64("id", "latitude", "longitude"), "units"))
     packed = dealt.groupBy("leaf", "unit").agg(F.collect_list(F.struct("id", "latitude", "longitude")).alias("points"))
     each = leaves.join(load, "leaf").select("leaf", "members", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)).alias("unit"))
-    return packed.join(each, ["leaf", "unit"]).select("leaf", "points", "members")
+    return packed.hint("merge").join(each, ["leaf", "unit"]).select("leaf", "points", "members")
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.StructArray, pa.StructArray]]:
@@ -292,7 +292,7 @@ def radius_count(points: DataFrame, others: DataFrame, radius: float, out: str,
     if places.count() <= leaf:
         members = _structs(places)
         few = rows.mapInArrow(lambda batches: (out for b in batches for out in count(b.to_struct_array(), members)), StructType([rows.schema["id"], number]))
-        return points.join(few.withColumnRenamed("n", out), "id", "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
+        return points.hint("merge").join(few.withColumnRenamed("n", out), "id", "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
 
     tree, leaves = plane(places, ["here"], "here", leaf)
     sent = spark.sparkContext.broadcast(tree)
@@ -316,4 +316,4 @@ def radius_count(points: DataFrame, others: DataFrame, radius: float, out: str,
     edge = meetings(found.filter("leaf is not null").drop("n"), leaves, unit)
     both = found.filter("leaf is null").select("id", "n").unionByName(edge.mapInArrow(border, StructType([rows.schema["id"], number])))
     counted = both.groupBy("id").agg(F.sum("n").alias(out))
-    return points.join(counted, "id", "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))
+    return points.hint("merge").join(counted, "id", "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long")))

@@ -44,7 +44,7 @@ def spatial_lag(points: DataFrame, value: str, k: int = 10) -> DataFrame:
     others = points.select(F.col("id").alias("other_id"), "latitude", "longitude")
     near = nearest(points, others, k, exclude_self=True)
     values = points.select(F.col("id").alias("other_id"), F.coalesce(F.col(value), F.lit(0.0)).alias("v"))
-    return near.join(values, "other_id").groupBy("id").agg(F.avg("v").alias("spatial_lag"))
+    return near.hint("merge").join(values, "other_id").groupBy("id").agg(F.avg("v").alias("spatial_lag"))
 
 
 #: By how much an edge must clear a cell to be taken as beside it or through it, against the last bits of a crossing.

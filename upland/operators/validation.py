@@ -78,7 +78,7 @@ def moran(points: DataFrame, value: str, k: int = 8) -> DataFrame:
     dev = x.crossJoin(F.broadcast(mean)).select("id", "latitude", "longitude", (F.col(value) - F.col("mean")).alias("x"))  # one row
     dev = cut(dev, "deviations")
     lag = spatial.spatial_lag(dev, "x", k)
-    return dev.join(lag, "id").agg((F.sum(F.col("x") * F.col("spatial_lag")) / F.sum(F.col("x") * F.col("x"))).alias("i"), F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(k))
+    return dev.hint("merge").join(lag, "id").agg((F.sum(F.col("x") * F.col("spatial_lag")) / F.sum(F.col("x") * F.col("x"))).alias("i"), F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(k))
 
 
 def _first_places(dev: DataFrame, seed: int) -> DataFrame:
